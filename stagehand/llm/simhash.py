@@ -277,7 +277,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows that stay: of each class the row of the smallest id, once; rows of null id stay if their whole class has none."""
     found = similar_classes(docs, id_col, text_col, **options)
     kept = cut(found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")))
+    # The same join at every size: what is kept grows with the input, so it is never broadcast.
+    rows = docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(F.col("_id")))
     single = rows.filter("_n = 1 or _id is null").drop("_id", "_n")
     again = rows.filter("_n > 1 and _id is not null").dropDuplicates([id_col]).drop("_id", "_n")
     return single.unionByName(again)
