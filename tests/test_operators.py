@@ -1,0 +1,82 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from stagehand.functions import dates, text
+from stagehand.operators import search, snapshots, windows
+
+D = datetime.date
+AS_OF = D(2026, 9, 7)
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("written,first,last", [
+    ("4 - 9 May 2026", D(2026, 5, 4), D(2026, 5, 9)),
+    ("28 Apr - 3 May 2026", D(2026, 4, 28), D(2026, 5, 3)),
+    ("7 May 2026", D(2026, 5, 7), D(2026, 5, 7)),
+    ("Tue 5 May to Fri 8 May 2026 at 7pm", D(2026, 5, 5), D(2026, 5, 8)),
+    ("2026 programme: 9 Jun", D(2026, 6, 9), D(2026, 6, 9)),
+    ("20 Nov 2026 - 14 Feb 2028", D(2026, 11, 20), D(2028, 2, 14)),
+    ("20 Dec - 6 Jan 2026", D(2026, 12, 20), D(2027, 1, 6)),
+    ("2nd - 11th June 2026", D(2026, 6, 2), D(2026, 6, 11)),
+    ("8 SEP - 2 OCT", D(2026, 9, 8), D(2026, 10, 2)),
+    ("Oct. 8, 2026", D(2026, 10, 8), D(2026, 10, 8)),
+    ("May 2027", D(2027, 5, 1), D(2027, 5, 31)),
+    ("Until 20 Oct 2026", AS_OF, D(2026, 10, 20)),
+    (None, None, None), ("", None, None), ("TBC", None, None), ("Every Monday", None, None),
+    ("1 Mar - 29 Feb 2027", None, None),
+])
+def test_date_ranges(spark, written, first, last):
+    got = one(spark, dates.parse_range(F.lit(written).cast("string"), F.lit(AS_OF)))
+    assert (got["first_date"], got["last_date"]) == (first, last)
+
+
+def test_runs_merge_and_first_wins(spark):
+    rows = spark.createDataFrame([("v", "a", 2, D(2026, 1, 5), D(2026, 1, 9), "short", 0.0), ("v", "a", 1, D(2026, 1, 1), D(2026, 1, 2), "longer", 5.0), ("v", "b", 3, None, None, None, None)], "venue string, key string, pos int, f date, l date, copy string, price double")
+    got = {r["key"]: r for r in windows.merge_runs(rows, ["venue", "key"], "pos", "f", "l", ["copy"], ["price"]).collect()}
+    assert (got["a"]["f"], got["a"]["l"], got["a"]["copy"], got["a"]["price"]) == (D(2026, 1, 1), D(2026, 1, 9), "longer", 5.0)
+    assert got["b"]["copy"] is None
+    assert {r["pos"] for r in windows.first_wins(rows, ["venue", "key"], ["pos"]).collect()} == {1, 3}
+    assert windows.first_wins(rows, ["venue"], ["pos"], F.col("key") == "a").count() == 3
+
+
+def test_interval_join_gives_each_pair_once(spark):
+    a = spark.createDataFrame([(1, D(2026, 1, 1), D(2026, 6, 1)), (2, D(2026, 3, 1), D(2026, 3, 1))], "a int, af date, al date")
+    b = spark.createDataFrame([(1, D(2026, 2, 1), D(2026, 5, 1)), (2, D(2027, 1, 1), D(2027, 1, 2))], "b int, bf date, bl date")
+    assert sorted((r["a"], r["b"]) for r in windows.interval_join(a, b, "af", "al", "bf", "bl").collect()) == [(1, 1), (2, 1)]
+
+
+def test_hook_and_chunks(spark):
+    long = "One sentence here that is long enough to be a hook for a show. Second one is also fairly long indeed. Third."
+    got = one(spark, text.split_hook(F.lit(long)))
+    assert got["byline"].startswith("One sentence") and got["description"] == "Third."
+    assert one(spark, text.split_copy(F.lit("Short.\n\n" + "A b c d. " * 60)))[0] == "Short."
+    assert one(spark, text.pattern_tags(F.lit("operation"), {"opera": r"\bopera\b"}, "theatre")) == ["theatre"]
+    assert text.split_query("jazz and opera, JAZZ") == ["jazz and opera, JAZZ", "jazz", "opera"]
+
+
+def test_scores_are_sums_of_maxima(spark):
+    chunks = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.6, 0.8])], "owner int, v array<float>")
+    owners = spark.createDataFrame([(0,), (1,), (2,)], "owner int")
+    got = {r["owner"]: round(r["score"], 4) for r in search.rank(chunks, [[1, 0], [0, 1]], "owner", "v", owners).collect()}
+    assert got == {0: 2.0, 1: 1.4, 2: -2.0}
+
+
+def test_shrink_guard(spark):
+    old = spark.createDataFrame([("a",), ("a",), ("b",)], "venue string")
+    assert snapshots.shrink_reason(old, old, "venue").first()["reason"] is None
+    assert snapshots.shrink_reason(old, old.limit(1), "venue").first()["reason"] == "shrunk"
+    gone = spark.createDataFrame([("a",), ("a",)], "venue string")
+    assert snapshots.shrink_reason(old, gone, "venue").first()["reason"] == "vanished"
+    assert snapshots.shrink_reason(old, gone, "venue", spark.createDataFrame([("b",)], "venue string")).first()["reason"] is None
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], check=True, timeout=120)
