@@ -13,6 +13,11 @@ def _month(name: Column) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(F.lower(name), 1, 3)), F.lit(0)).cast("int")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once and named, so that the expression doesn't grow with its uses."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _date(year: Column, month: Column, day: Column) -> Column:
     return F.concat(year.cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
 
@@ -32,28 +37,39 @@ def parse_range(text: Column, as_of: Column, default_year: Column | None = None)
     plain = lower
     for pattern, by in ((r"\b20\d\d\b", " "), (r"(?<=\d)(?:st|nd|rd|th)\b", ""), (rf"\b({MONTH})\.", "$1"), (r"\b(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:days?)?\b", " "), (r"\bat\b.*", " "), (r"\b\d{1,2}[:.]\d\d\s*(?:[ap]m)?\b", " "), (r"\b\d{1,2}\s*[ap]m\b", " ")):
         plain = F.regexp_replace(plain, pattern, by)
-    days = F.regexp_extract_all(plain, F.lit(rf"\b(\d{{1,2}})\b(?:\s*({MONTH})\b)?"), F.lit(1))
-    names = F.regexp_extract_all(plain, F.lit(rf"\b(\d{{1,2}})\b(?:\s*({MONTH})\b)?"), F.lit(2))
-    pairs = F.arrays_zip(days.alias("d"), names.alias("m"))
-    turned = F.arrays_zip(F.regexp_extract_all(plain, F.lit(rf"\b({MONTH})\s+(\d{{1,2}})\b"), F.lit(2)).alias("d"), F.regexp_extract_all(plain, F.lit(rf"\b({MONTH})\s+(\d{{1,2}})\b"), F.lit(1)).alias("m"))
     shape = lambda ps: F.filter(F.transform(ps, lambda p: F.struct(p["d"].cast("int").alias("d"), _month(F.nullif(p["m"], F.lit(""))).alias("m"))), lambda p: p["d"].between(1, 31))
-    some = lambda ps: F.exists(ps, lambda p: p["m"].isNotNull())
-    used = F.when(some(shape(pairs)), shape(pairs)).when(F.size(turned) > 0, shape(turned)).otherwise(shape(pairs))
-    months = F.filter(F.transform(used, lambda p: p["m"]), lambda m: m.isNotNull())
-    fill = F.get(months, F.size(months) - 1)
-    start_at, end_at = F.get(used, 0), F.get(used, F.size(used) - 1)
-    start = _date(first_year, F.coalesce(start_at["m"], fill), start_at["d"])
-    raw_end = _date(last_year, F.coalesce(end_at["m"], fill), end_at["d"])
-    moved = _date(last_year + 1, F.coalesce(end_at["m"], fill), end_at["d"])
-    end = F.when((raw_end < start) & (first_year == last_year), moved).otherwise(raw_end)
-    lone = _month(F.nullif(F.regexp_extract(plain, rf"\b({MONTH})\b", 1), F.lit("")))
-    whole = F.last_day(_date(last_year, lone, F.lit(1)))
-    until = lower.rlike(r"\buntil\b")
-    last = F.when(F.size(used) == 0, whole).otherwise(end)
-    first = F.when(F.size(used) == 0, _date(last_year, lone, F.lit(1))).otherwise(start)
-    first = F.when(until & last.isNotNull(), F.least(as_of, last)).otherwise(first)
-    good = first.isNotNull() & last.isNotNull()
-    return F.struct(F.when(good, first).alias("first_date"), F.when(good, last).alias("last_date"))
+    day_first, month_first = rf"\b(\d{{1,2}})\b(?:\s*({MONTH})\b)?", rf"\b({MONTH})\s+(\d{{1,2}})\b"
+
+    def pairs(plain: Column, pattern: str, d: int, m: int) -> Column:
+        found = lambda group: F.regexp_extract_all(plain, F.lit(pattern), F.lit(group))
+        return shape(F.zip_with(found(d), found(m), lambda x, y: F.struct(x.alias("d"), y.alias("m"))))
+
+    def read(plain: Column) -> Column:
+        lone = _month(F.nullif(F.regexp_extract(plain, rf"\b({MONTH})\b", 1), F.lit("")))
+        forward, turned = pairs(plain, day_first, 1, 2), pairs(plain, month_first, 2, 1)
+        choose = lambda v: F.when(F.exists(v["f"], lambda p: p["m"].isNotNull()) | (F.size(v["t"]) == 0), v["f"]).otherwise(v["t"])
+        used = _let(F.struct(forward.alias("f"), turned.alias("t")), choose)
+        return _let(F.struct(used.alias("used"), lone.alias("lone"), first_year.alias("y1"), last_year.alias("y2")), dated)
+
+    def dated(v: Column) -> Column:
+        used = v["used"]
+        months = F.filter(F.transform(used, lambda p: p["m"]), lambda m: m.isNotNull())
+        fill = F.get(months, F.size(months) - 1)
+        start_at, end_at = F.get(used, 0), F.get(used, F.size(used) - 1)
+        ends = lambda year: _date(year, F.coalesce(end_at["m"], fill), end_at["d"])
+        some = F.struct(
+            F.when(F.size(used) > 0, _date(v["y1"], F.coalesce(start_at["m"], fill), start_at["d"])).otherwise(_date(v["y2"], v["lone"], F.lit(1))).alias("a"),
+            F.when(F.size(used) > 0, ends(v["y2"])).otherwise(F.last_day(_date(v["y2"], v["lone"], F.lit(1)))).alias("b"),
+            ends(v["y2"] + 1).alias("c"), (v["y1"] == v["y2"]).alias("same"),
+        )
+        return _let(some, lambda d: F.struct(d["a"].alias("a"), F.when((d["b"] < d["a"]) & d["same"], d["c"]).otherwise(d["b"]).alias("b")))
+
+    def finish(d: Column) -> Column:
+        first = F.when(lower.rlike(r"\buntil\b"), F.least(as_of, d["b"])).otherwise(d["a"])
+        good = d["a"].isNotNull() & d["b"].isNotNull()
+        return F.struct(F.when(good, first).alias("first_date"), F.when(good, d["b"]).alias("last_date"))
+
+    return _let(_let(plain, read), finish)
 
 
 def iso_day(text: Column) -> Column:
