@@ -251,6 +251,12 @@ def rerank_order(spark, d):
     return search.rerank(hits, [7, 3, 7, 10**9], "vec_id", "r").select("vec_id", "place")
 
 
+@query("SELECT c_custkey, c_name, pos FROM customer JOIN (SELECT unnest([9, 4, 7]) AS id, unnest([0, 1, 2]) AS pos) ON c_custkey = id ORDER BY pos")
+def subset_order(spark, d):
+    named = spark.range(1).select(F.posexplode(F.array(*[F.lit(i).cast("long") for i in (9, 4, 7)])).alias("pos", "id"))
+    return table(spark, d, "customer").join(F.broadcast(named), F.col("c_custkey") == F.col("id")).select("c_custkey", "c_name", "pos").orderBy("pos")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def starred_semi(spark, d):
     starred = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
