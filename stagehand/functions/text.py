@@ -27,8 +27,8 @@ def slug_match(a: Column, b: Column) -> Column:
 
 def is_english(text: Column) -> Column:
     """Mostly Latin letters and, from 20 words, at least two distinct stopwords."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    latin = F.regexp_count(text, F.lit(r"\p{IsLatin}"))
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    latin = F.length(F.regexp_replace(text, r"\P{IsLatin}+", ""))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
     stops = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in STOPWORDS])))
     foreign = (letters >= LETTERS) & ((letters - latin) / letters >= NON_LATIN)
