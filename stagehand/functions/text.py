@@ -137,3 +137,55 @@ def split_query(query: str, least: int = 4, most: int = 8) -> list[str]:
         if p and (i == 0 or len(p) >= least):
             seen.setdefault(p.lower(), p)
     return list(seen.values())[:most]
+
+
+#: Patterns of paragraphs about booking, access and the venue.
+CHROME = [
+    "cookie", "book (?:now|tickets|your tickets)", "buy tickets", "add to (?:calendar|basket|cart)", "newsletter", "subscribe", "privacy policy",
+    "terms and conditions", "sign up", "follow us", "share this", "click here", "running time", "age guidance", "content warning", "strong language",
+    "ticket prices?", "the performance lasts", "including (?:one |an )?interval", "this production contains", "surtitles", "strobe effects",
+    "flashing lights", "access performances", "bsl interpreted", "audio described", "relaxed (?:environment|performance)", "captioned", "wheelchair",
+    "limited number of tickets", "priority booking", "multibuy", "members? offer", "% off", r"sold[-\s]?out", r"£\d", "videography",
+    "did you know we are a charity", "3d tour", "access for all", "join club", "recoup the cost", "access requirements", "please contact",
+    "please email", "call 020", "log ?in to", "sign in to", "e-tickets", "email preferences", "check out faster",
+    "check (?:online|back) (?:regularly )?for returns", "join the waiting list", "latecomers", "readmittance", "please note", "committed to ensuring",
+    "if you have any (?:questions|enquiries)", "get in touch by phone", r"\[email protected\]", "general sale", "goes on sale",
+    "on sale (?:now|from)", "presale", "mailing list", "under 18s? are not permitted", "this production has closed", "concessions are offered",
+    "no dates scheduled", r"was last on \d", "charitable company limited by guarantee", "charity registered",
+]
+#: Openings and endings of date stubs, producers' lines, quotes and ratings.
+STUBS = [
+    r"(?i)^(?:until|from|opens?)\s+\d{1,2}\s+\w{3}",
+    r"(?i)\bpresents?\s*:?$",
+    "^[⭐★☆“„\"'‘]",
+    r"[”\"']\s*[-–—]?\s*[A-Z][\w' ]{2,40}\.?$",
+    "[⭐★☆]{2}",
+]
+#: What a credit names, and words between its names.
+CREDIT_ROLES = "written adapted devised directed choreographed designed presented produced created composed".split()
+CREDIT_THINGS = "book music lyrics text words".split()
+CREDIT_LINKS = "and with the of by from &".split()
+
+
+def is_chrome(text: Column) -> Column:
+    """A paragraph about the booking rather than the show; null and empty ones are too. Built-in matching only."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    shouting = (F.length(t) < 160) & (t == F.upper(t)) & (t != F.lower(t))
+    found = t.rlike("(?i)" + "|".join(CHROME))
+    for stub in STUBS:
+        found = found | t.rlike(stub)
+    return (t == "") | shouting | found
+
+
+def is_credits(text: Column, limit: int = 200) -> Column:
+    """Up to ``limit`` characters, and every sentence is a role and one to six capitalised names."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    lead = rf"(?i)^(?:(?:{'|'.join(CREDIT_THINGS)}|choreography)\s+)?(?:{'|'.join(CREDIT_ROLES)})?\s*by:?\s+"
+    glue = F.array(*[F.lit(w) for w in (*CREDIT_LINKS, *CREDIT_ROLES, *CREDIT_THINGS)])
+
+    def credit(s: Column) -> Column:
+        rest = F.regexp_replace(F.trim(F.regexp_replace(s, lead, "")), r"[.!?]+$", "")
+        names = F.filter(F.split(rest, r"[\s,]+"), lambda w: (w != "") & ~F.array_contains(glue, F.regexp_replace(F.lower(w), ":+$", "")))
+        return s.rlike(lead) & F.size(names).between(1, 6) & F.forall(names, lambda w: w.rlike(r"^\p{Lu}"))
+
+    return (t != "") & (F.length(t) <= limit) & F.forall(F.filter(F.split(t, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != ""), credit)
