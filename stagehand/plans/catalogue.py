@@ -12,6 +12,7 @@ from stagehand.functions import text as tx
 from stagehand.operators import search, snapshots
 from stagehand.operators import windows as win
 from stagehand.session import table
+from stagehand.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -344,6 +345,23 @@ def event_windows(spark, d):
     return grouped.select(F.to_date("w.start").alias("day"), "event_type", "n", "total")
 
 
+@query("WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m) SELECT user_id, epoch_us(min(ts)) AS started, count(*) AS n FROM s GROUP BY user_id, k")
+def event_sessions(spark, d):
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.sessions(events).select("user_id", F.unix_micros("start").alias("started"), "n")
+
+
+_CHROME = "|".join(tx.CHROME)
+
+
+@query(f"""WITH p AS (SELECT doc_id, trim(regexp_replace(unnest(regexp_split_to_array(text, '\\n+')), '\\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, count(*) AS paragraphs, count(CASE WHEN t = '' OR (length(t) < 160 AND t = upper(t) AND t <> lower(t)) OR regexp_matches(t, '(?i){_CHROME}')
+ OR {" OR ".join("regexp_matches(t, '" + p.replace("'", "''") + "')" for p in tx.STUBS)} THEN 1 END) AS chrome FROM p GROUP BY 1""")
+def paragraph_chrome(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\n+")).alias("p"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count_if(tx.is_chrome(F.col("p"))).alias("chrome"))
+
+
 @query("SELECT min(o_orderdate)::DATE AS first_day, greatest(last_day(DATE '1998-06-15' + INTERVAL 2 MONTH), max(o_orderdate)::DATE) AS last_day FROM orders")
 def date_span(spark, d):
     from stagehand.functions.dates import date_span as span

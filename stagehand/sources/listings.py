@@ -10,17 +10,20 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stagehand.functions import markup
 from stagehand.functions.dates import iso_day, parse_range
 
-VENUE = "id string, name string, area string, strategy string, fetch_method string, whats_on_url string, endpoint string, dates_field string, show_url_pattern string, lookahead_weeks int, seasonal boolean, exclude array<string>, space_allow array<string>"
-COLUMNS = ["venue_id", "title", "credits", "url", "first_date", "last_date", "description", "source"]
-STRATEGIES = "auto jsonld wp_rest sanity skip".split()
+VENUE = "id string, name string, area string, strategy string, fetch_method string, whats_on_url string, endpoint string, dates_field string, show_url_pattern string, lookahead_weeks int, seasonal boolean, exclude array<string>, space_allow array<string>, require_space boolean, selectors map<string,string>"
+COLUMNS = ["venue_id", "title", "credits", "space", "url", "first_date", "last_date", "description", "venue_tags", "source"]
+STRATEGIES = "auto jsonld selectors wp_rest sanity skip".split()
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
@@ -151,15 +154,73 @@ def sanity(venues: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+CARD = T.ArrayType(T.StructType([*(T.StructField(name, T.StringType()) for name in ("title", "credits", "space", "url", "dates", "description")), T.StructField("tags", T.ArrayType(T.StringType()))]))
+ADDRESS = re.compile(r"goToUrl\('([^']+)'")
+
+
+def _card(card: markup.Node, by: dict[str, str], base: str) -> dict:
+    """The fields of one card; those without a selector or a match are None."""
+    first = lambda sel: next(iter(markup.select(card, sel)), None) if sel else None
+
+    def said(sel: str | None) -> str | None:
+        node = first(sel)
+        return None if node is None else node.text() or (node.attrs.get("alt", "").strip() if node.tag == "img" else "") or None
+
+    link = first(by.get("link")) or (card if card.tag == "a" and card.attrs.get("href") else first("a[href]"))
+    href = link.attrs.get("href", "") if link else ""
+    if not href or href.startswith("#"):
+        found = ADDRESS.search(" ".join(card.attrs.values()))
+        href = found.group(1) if found else ""
+    blurb = first(by.get("blurb"))
+    drop = {id(n) for n in markup.select(blurb, by["blurb_strip"])} if blurb and by.get("blurb_strip") else set()
+    tags = [n.text() for n in markup.select(card, by["tags"])] if by.get("tags") else []
+    return {
+        "title": said(by.get("title")), "credits": said(by.get("credits") or by.get("byline")), "space": said(by.get("space")),
+        "url": urljoin(base, href) if href else None, "dates": said(by["dates"]) if by.get("dates") else card.text(),
+        "description": (blurb.text(drop) or None) if blurb else None, "tags": list(dict.fromkeys(t for t in tags if t)),
+    }
+
+
+@F.pandas_udf(CARD)
+def cards(pages: pd.Series, selectors: pd.Series, bases: pd.Series) -> pd.Series:
+    """The cards of each page by its venue's selectors: a tree search, which no built-in does."""
+    def one(page, by, base):
+        by = dict(by) if by is not None else {}
+        return [_card(c, by, base or "") for c in markup.select(markup.tree(page or ""), by["show_card"])] if by.get("show_card") else []
+
+    return pd.Series([one(*x) for x in zip(pages, selectors, bases, strict=True)])
+
+
+def selectors(venues: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
+    """Rows of cards. Rooms outside ``space_allow``, missing rooms where one is required, and titles or urls with an ``exclude`` text go."""
+    at = venues.select(F.col("id").alias("venue_id"), "whats_on_url", "selectors", "exclude", "space_allow", F.coalesce("require_space", F.lit(False)).alias("require_space")).join(pages.select("url", "body"), F.col("whats_on_url") == F.col("url"))
+    rows = at.select("*", F.explode(cards("body", "selectors", "whats_on_url")).alias("e")).filter(F.col("e.title").isNotNull())
+    space = F.lower(F.coalesce("e.space", F.lit("")))
+    blob = F.lower(F.concat_ws(" ", "e.title", "e.url"))
+    holds = lambda names, where: F.exists(F.coalesce(names, F.array().cast("array<string>")), lambda x: where.contains(F.lower(x)))
+    open_to_all = F.coalesce(F.size("space_allow"), F.lit(0)) <= 0
+    kept = rows.filter((~F.col("require_space") | (space != "")) & (open_to_all | holds(F.col("space_allow"), space)) & ~holds(F.col("exclude"), blob))
+    cut = F.coalesce(F.element_at("selectors", "title_cut_dates"), F.lit("")).isin("", "false", "False")
+    title = F.when(cut, F.col("e.title")).otherwise(F.trim(F.get(F.split("e.title", r"\s+(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\b", 2), 0)))
+    kept = kept.withColumn("w", parse_range(F.col("e.dates"), as_of))
+    return kept.select("venue_id", title.alias("title"), "e.credits", "e.space", F.coalesce("e.url", "whats_on_url").alias("url"), "w.first_date", "w.last_date", "e.description", F.col("e.tags").alias("venue_tags"), F.lit("selectors").alias("source"))
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """All of ``COLUMNS``; fields that a strategy doesn't give are null."""
+    if "space" not in rows.columns:
+        rows = rows.withColumns({"space": F.lit(None).cast("string"), "venue_tags": F.lit(None).cast("array<string>")})
+    return rows.select(*COLUMNS)
+
+
 def extract(venues: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
-    """Rows of every venue by its strategy; ``auto`` reads linked data. Raises for a strategy not in ``STRATEGIES``."""
+    """Rows of every venue by its strategy; ``auto`` reads linked data, or cards where there is none. Raises for a strategy not in ``STRATEGIES``."""
     named = venues.withColumn("_by", strategy(venues))
     unknown = named.filter(~F.col("_by").isin(STRATEGIES)).select("id", "_by").first()
     if unknown:
         raise ValueError(f"unknown strategy {unknown['_by']!r} on {unknown['id']}")
-    parts = [(("auto", "jsonld"), jsonld), (("wp_rest",), wp_rest), (("sanity",), sanity)]
-    out = None
-    for names, read in parts:
-        rows = read(named.filter(F.col("_by").isin(*names)), pages, as_of).select(*COLUMNS)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    of = lambda *names: named.filter(F.col("_by").isin(*names))
+    linked = jsonld(of("auto", "jsonld"), pages, as_of)
+    bare = of("auto").join(linked.select(F.col("venue_id").alias("id")), "id", "left_anti")
+    read = [linked, selectors(of("selectors").unionByName(bare.select(*named.columns)), pages, as_of), wp_rest(of("wp_rest"), pages, as_of), sanity(of("sanity"), pages, as_of)]
+    return reduce(DataFrame.unionByName, map(_whole, read))

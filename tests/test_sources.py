@@ -4,12 +4,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from stagehand.functions import text
+from stagehand.functions import markup, text
 from stagehand.sources import listings, sinks
 from stagehand.streaming import events
 
 D = datetime.date
 AS_OF = D(2026, 9, 7)
+CARDS = """<div class="card big"><h3>Five</h3><span class=room>Studio 1</span><p><time>7 Oct 2026</time></p><a href="#">x</a><a href="/show/5">y</a><div class=b>A <i>(new)</i> tale</div><li>new</li><li>old</li><li>new</li></div>
+<div class="card big"><h3>Six</h3><span class=room>Cinema</span></div><div class="card"><h3>Seven</h3></div><div class="big card"><h3>Paris</h3><span class=room>studio</span></div>"""
 
 
 def test_paragraphs_about_the_booking(spark):
@@ -33,21 +35,36 @@ def test_listings_of_each_strategy(spark, tmp_path):
         {"id": "c", "strategy": "sanity", "whats_on_url": "http://c/on/", "endpoint": "http://c/api"},
         {"id": "d", "fetch_method": "js_rendered", "whats_on_url": "http://a/on"},
         {"id": "e"},
+        {"id": "f", "whats_on_url": "http://f/on", "space_allow": ["studio"], "exclude": ["paris"], "selectors": {"show_card": ".card.big", "title": "h3", "space": ".room", "dates": "p > time", "blurb": ".b", "blurb_strip": "i", "tags": "li", "link": "a[href*='/show/']"}},
     ]
     (tmp_path / "venues.json").write_text(json.dumps(venues))
     tree = {"@graph": [{"@type": "TheaterEvent", "name": "One", "startDate": "2026-10-01T19:00"}, {"@type": ["Event"], "name": "Two", "url": "http://a/2", "startDate": "1 - 3 Nov 2026"}, {"@type": "Place", "name": "x"}, {"@type": "Event", "name": ""}]}
     page = f'<script type="application/ld+json">{json.dumps(tree)}</script><script type="application/ld+json">not json</script>'
     rest = json.dumps([{"title": {"rendered": "Three"}, "producer": "P Co", "link": "http://b/3", "when": "4 - 9 May 2027", "excerpt": {"rendered": "<p>A &amp; B</p>"}}, {"title": {"rendered": ""}}])
     api = json.dumps({"result": [{"title": "Four", "slug": "four", "duration": {"start": "2026-09-10T10:00Z"}, "description": "Four at The Yard Theatre."}, {"slug": "none"}]})
-    pages = spark.createDataFrame([("http://a/on", page), ("http://b/api", rest), ("http://c/api", api)], "url string, body string")
+    pages = spark.createDataFrame([("http://a/on", page), ("http://b/api", rest), ("http://c/api", api), ("http://f/on", CARDS)], "url string, body string")
     got = {r["title"]: r for r in listings.extract(listings.registry(spark, str(tmp_path / "venues.json")), pages, F.lit(AS_OF)).collect()}
-    assert set(got) == {"One", "Two", "Three", "Four"}
+    assert set(got) == {"One", "Two", "Three", "Four", "Five"}
     assert (got["One"]["url"], got["One"]["first_date"], got["One"]["last_date"]) == ("http://a/on", D(2026, 10, 1), D(2026, 10, 1))
     assert (got["Two"]["url"], got["Two"]["first_date"], got["Two"]["last_date"]) == ("http://a/2", D(2026, 11, 1), D(2026, 11, 3))
     assert (got["Three"]["credits"], got["Three"]["description"], got["Three"]["last_date"]) == ("P Co", "A & B", D(2027, 5, 9))
     assert (got["Four"]["url"], got["Four"]["description"], got["Four"]["last_date"]) == ("http://c/on/four", None, D(2026, 9, 10))
 
 
+    five = got["Five"]
+    assert (five["space"], five["url"], five["first_date"], five["description"], five["venue_tags"]) == ("Studio 1", "http://f/show/5", D(2026, 10, 7), "A tale", ["new", "old"])
+
+
+def test_selectors():
+    root = markup.tree("<div id=x class='a b'><p>1<br>2<p class=b>3</div><img alt=z></i>")
+    assert [n.tag for n in markup.select(root, "div.a, img[alt]")] == ["div", "img"]
+    assert [n.text() for n in markup.select(root, "#x .b")] == ["3"]
+    assert markup.select(root, "img > p") == []
+    assert markup.tree("").text() == "" and len(markup.tree("<b>" * 5000).below()) == 5000
+    with pytest.raises(ValueError):
+        markup.select(root, "p:first-child")
+
+
 def test_unknown_strategy_is_an_error(spark):
     venues = spark.createDataFrame([("a", "magic")], "id string, strategy string").selectExpr(*[f"cast({f.name if f.name in ('id', 'strategy') else 'null'} as {f.dataType.simpleString()}) as {f.name}" for f in spark.createDataFrame([], listings.VENUE).schema])
     with pytest.raises(Exception, match="unknown strategy"):
