@@ -88,7 +88,7 @@ def test_pii_discloses_and_masks(spark):
     texts = [f"note {i} from Zanzibarov at z@y.org about things" for i in range(4)] + [f"note {i} about things from others" for i in range(40)] + [None]
     table = docs(spark, texts)
     spans = {r["doc_id"]: r["spans"] for r in pii.report(table).collect()}
-    assert "removed:12:22" in spans[0].replace("removed:12:22", "removed:12:22") or "removed" in spans[0]
+    assert "removed:12:22" in spans[0].split(",")
     assert spans[10] == ""
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(table).collect()}
     assert "[EMAIL]" in clean[0] and "Zanzibarov" not in clean[0] and "things" in clean[0]
