@@ -20,10 +20,11 @@ from pyspark.sql import types as T
 
 from stagehand.functions import markup
 from stagehand.functions.dates import iso_day, parse_range
+from stagehand.sources.details import dated_clusters
 
 VENUE = "id string, name string, area string, strategy string, fetch_method string, whats_on_url string, endpoint string, dates_field string, show_url_pattern string, lookahead_weeks int, seasonal boolean, exclude array<string>, space_allow array<string>, require_space boolean, selectors map<string,string>"
 COLUMNS = ["venue_id", "title", "credits", "space", "url", "first_date", "last_date", "description", "venue_tags", "source"]
-STRATEGIES = "auto jsonld selectors wp_rest sanity skip".split()
+STRATEGIES = "auto jsonld selectors dated_clusters wp_rest sanity skip".split()
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
@@ -222,5 +223,5 @@ def extract(venues: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     of = lambda *names: named.filter(F.col("_by").isin(*names))
     linked = jsonld(of("auto", "jsonld"), pages, as_of)
     bare = of("auto").join(linked.select(F.col("venue_id").alias("id")), "id", "left_anti")
-    read = [linked, selectors(of("selectors").unionByName(bare.select(*named.columns)), pages, as_of), wp_rest(of("wp_rest"), pages, as_of), sanity(of("sanity"), pages, as_of)]
+    read = [linked, selectors(of("selectors").unionByName(bare.select(*named.columns)), pages, as_of), dated_clusters(of("dated_clusters"), pages, as_of), wp_rest(of("wp_rest"), pages, as_of), sanity(of("sanity"), pages, as_of)]
     return reduce(DataFrame.unionByName, map(_whole, read))
