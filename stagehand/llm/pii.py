@@ -10,9 +10,11 @@ tells once the term is seen is its information content less the pointwise mutual
 information, log2 N/n(e) - log2 n(t,e) N / (n(t) n(e)). A term that leaves at most
 ``remove_bits`` discloses the entity and is removed; one that leaves at most
 ``generalise_bits`` is generalised. Only pairs seen in ``support`` different texts count,
-so copies of one text are no evidence. The spans are those near the mentions.
+so copies of one text are no evidence. A term is treated alike at every place in every
+text, near a mention or not: by its strongest finding, outside base spans.
 
-Everything is in DataFrame functions; no text is shuffled to find spans. Matches are
+Everything is in DataFrame functions. Each text is shuffled once, by its digest, to meet
+the disclosing terms that it holds. Matches are
 placed by summing the lengths of the pieces between them. The patterns are possessive
 where nothing can follow, so long runs need no stack, and start only at the end of a
 match or outside their first class, so that long runs are read once.
@@ -45,7 +47,7 @@ NEAR = 160
 OUT = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
-def _found(text: Column, pattern: str) -> Column:
+def _found(text: Column, pattern: str | Column) -> Column:
     """Matches as an array of (start, end, value), in code points, end exclusive."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
@@ -135,7 +137,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = 3, remove_bits: float = 0.5, generalise_bits: float = 1.0) -> DataFrame:
-    """(``digest``, ``extra``): for each text with disclosing terms, their spans (start, ord, end)."""
+    """(``digest``, ``terms``): for each text with disclosing terms, those terms and the place of their kind."""
     texts = found.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("rows"), F.first("mentions").alias("mentions"))
     seen = cut(texts.select("digest", "rows", F.explode("mentions").alias("m")).select("digest", "rows", "m.entity", F.explode_outer("m.near").alias("t")).select("digest", "rows", "entity", "t.*"))
     entities = seen.select("digest", "rows", "entity").distinct().groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= support).select("entity", "n_e")
@@ -147,29 +149,45 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", suppor
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
-        return docs.sparkSession.createDataFrame([], "digest string, extra array<struct<start:int,ord:int,end:int>>")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"))).alias("term"))
+        return docs.sparkSession.createDataFrame([], "digest string, terms map<string,int>")
+    words = docs.select(F.md5(text_col).alias("digest"), F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"))).alias("term"))
     # Up to a million terms of a mention's surroundings are some tens of MB; more join by shuffle.
-    counts = words.join(F.broadcast(terms) if n_terms <= 1_000_000 else terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    placed = lambda few: words.join(F.broadcast(few) if n_terms <= 1_000_000 else few, "term")
+    counts = placed(terms).groupBy("term").agg(F.count("*").alias("n_t"))
     left = F.log2(F.col("n_t") / F.col("n_te"))
-    flagged = pairs.join(counts, "term").select("entity", "term", F.when(left <= remove_bits, len(KINDS)).when(left <= generalise_bits, len(KINDS) + 1).alias("ord")).filter("ord is not null")
-    spans = seen.join(flagged, ["entity", "term"]).groupBy("digest", "start", "end").agg(F.min("ord").alias("ord"))
-    return cut(spans.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end"))).alias("extra")))
+    ord = F.when(left <= remove_bits, len(KINDS)).when(left <= generalise_bits, len(KINDS) + 1)
+    flagged = cut(pairs.join(counts, "term").select("term", ord.alias("ord")).filter("ord is not null").groupBy("term").agg(F.min("ord").alias("ord")))
+    hits = placed(flagged).select("digest", "term", "ord").distinct()
+    return cut(hits.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "ord"))).alias("terms")))
 
 
-def _joined(rows: DataFrame, extra: DataFrame) -> DataFrame:
-    """``rows`` with ``extra`` by digest; rows without a digest pass by the join."""
+def _terms(text: Column, base: Column, terms: Column) -> Column:
+    """The spans (start, ord, end) of all places of ``terms`` outside base spans."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.map_contains_key(terms, F.lower(w))))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    free = F.filter(_found(text, pattern), lambda t: ~F.exists(base, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
+    return F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.element_at(terms, F.lower(t["value"])).alias("ord"), t["end"].alias("end")))
+
+
+def _marked(docs: DataFrame, hits: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``_base`` and ``_every``: base spans, and those with the disclosing terms' spans; null and empty texts pass by the join."""
+    short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end")))
+    text = F.col(text_col)
     none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int>>)")
-    hit = rows.filter("digest is not null").join(extra, "digest", "left").withColumn("extra", F.coalesce("extra", none))
-    return hit.unionByName(rows.filter("digest is null").withColumn("extra", none))
+    full = F.coalesce(F.length(text) > 0, F.lit(False))
+    # The same join at every size: what discloses grows with the input, so it is never broadcast.
+    rows = docs.filter(full).withColumn("_digest", F.md5(text)).join(hits.select(F.col("digest").alias("_digest"), F.col("terms").alias("_terms")).hint("merge"), "_digest", "left")
+    rows = rows.withColumn("_base", short(base_spans(text)))
+    rows = rows.withColumn("_every", F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", _terms(text, F.col("_base"), F.col("_terms"))))))
+    return rows.drop("_digest", "_terms").unionByName(docs.filter(~full).withColumn("_base", none).withColumn("_every", none))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """``doc_id`` and ``OUT`` of every row."""
-    found = find(docs, id_col, text_col)
-    rows = _joined(found.drop("mentions"), disclosing(docs, found, text_col, **thresholds))
+    hits = disclosing(docs, find(docs, id_col, text_col), text_col, **thresholds)
+    rows = _marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), hits, "text").withColumnRenamed("_base", "base")
     counts = [_count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("_every")).alias("spans"))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -185,14 +203,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
-    """``docs`` with personal data masked and disclosing terms removed or generalised; null texts stay null.
-
-    Texts without base spans pass by the join; only texts that have some are shuffled.
-    """
-    extra = disclosing(docs, find(docs, id_col, text_col), text_col, **thresholds)
-    text = F.col(text_col)
-    marked = docs.withColumn("_base", F.when(text.isNotNull(), base_spans(text)))
-    marked = marked.withColumn("digest", F.when(F.size("_base") > 0, F.md5(text)))
-    rows = _joined(marked, extra)
-    spans = F.array_sort(F.concat(F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"))), "extra"))
-    return rows.withColumn(text_col, F.when(F.col("digest").isNotNull(), masked(text, spans)).otherwise(text)).select(*docs.columns)
+    """``docs`` with personal data masked and disclosing terms removed or generalised; null texts stay null."""
+    hits = disclosing(docs, find(docs, id_col, text_col), text_col, **thresholds)
+    rows, text = _marked(docs, hits, text_col), F.col(text_col)
+    return rows.withColumn(text_col, F.when(F.size("_every") > 0, masked(text, F.col("_every"))).otherwise(text)).select(*docs.columns)
