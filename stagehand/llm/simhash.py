@@ -36,29 +36,41 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = 1 << 15
 
 
-def bits_of(text: str | None, words: int = 4, seed: int = 42, lanes: int = 1) -> bytes:
-    """The fingerprint of a whole text, 8 bytes a lane; lanes after the first count the bits of remixed hashes."""
+def hashes_of(text: str | None, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """The XXH64 hashes of a text's shingles, ``CHUNK`` at a time; none without words."""
     from xxhash import xxh64_digest
 
     parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not parts:
-        return bytes(8 * lanes)
+        return
     whole = b" ".join(parts)
     ends = [e - 1 for e in accumulate(map(len, parts), lambda a, n: a + n + 1, initial=0)][1:]
     starts = [0, *(e + 1 for e in ends[:-1])]
     last = ends[words - 1 :] or [len(whole)]
-    ones = np.zeros(64 * lanes, dtype=np.int64)
     for i in range(0, len(last), CHUNK):
         to = last[i : i + CHUNK]
         digests = b"".join(map(xxh64_digest, [whole[a:b] for a, b in zip(starts[i : i + CHUNK], to)], repeat(seed)))
-        hashes = np.frombuffer(digests, ">u8").astype(np.uint64)
+        yield np.frombuffer(digests, ">u8").astype(np.uint64)
+
+
+def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes_of(text, words, seed)]))
+
+
+def bits_of(text: str | None, words: int = 4, seed: int = 42, lanes: int = 1, once: bool = False) -> bytes:
+    """The fingerprint of a whole text, 8 bytes a lane; lanes after the first count the bits of remixed hashes. ``once``: repeated shingles count once."""
+    ones, n = np.zeros(64 * lanes, dtype=np.int64), 0
+    every = shingle_set(text, words, seed) if once else None
+    for hashes in hashes_of(text, words, seed) if every is None else (every[i : i + CHUNK] for i in range(0, len(every), CHUNK)):
+        n += len(hashes)
         for lane in range(lanes):
             if lane:
                 hashes = hashes * np.uint64(0xD1342543DE82EF95) + np.uint64(0x9E3779B97F4A7C15)
             mixed = hashes if not lane else (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
             bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             ones[64 * lane : 64 * lane + 64] += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > len(last)).tobytes()
+    return np.packbits(2 * ones > n).tobytes()
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -66,19 +78,19 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(bits_of(text, words, seed), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
-    """(``doc_id``, ``fp``, ``bits``) of every row: ``fp`` is the fingerprint as a signed long, or its hash if it is longer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lanes: int = 1, with_text: bool = False) -> DataFrame:
+    """(``doc_id``, ``fp``, ``bits``, and ``text`` if asked for) of every row: ``fp`` is the fingerprint as a signed long, or the hash of a longer one, which counts each shingle once."""
     from xxhash import xxh64_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [bits_of(t.as_py(), words, lanes=lanes) for t in b.column(1)]
+            bits = [bits_of(t.as_py(), words, lanes=lanes, once=lanes > 1) for t in b.column(1)]
             short = bits if lanes == 1 else map(xxh64_digest, bits)
             fps = np.frombuffer(b"".join(short), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array(bits, pa.binary())], ["doc_id", "fp", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array(bits, pa.binary()), b.column(1)][: 3 + with_text], ["doc_id", "fp", "bits", "text"][: 3 + with_text])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long, bits binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long, bits binary" + ", text string" * with_text)
 
 
 def hamming(values: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -140,6 +152,26 @@ def forest(ids: np.ndarray, values: np.ndarray, left: np.ndarray | None, radius:
     return out
 
 
+def candidates(ids: np.ndarray, values: np.ndarray, left: np.ndarray | None, radius: int, sure: int) -> list[tuple[int, int]]:
+    """Pairs (larger id, smaller id) to verify: a spanning forest of the pairs within ``sure``, and all within ``radius`` between its parts."""
+    mine, other = (np.arange(len(ids)),) * 2 if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
+    label, out, met = np.arange(len(ids)), [], []
+    for node, near in BKTree(values[mine]).search(values[other], radius):
+        node, near = mine[node], other[near]
+        near = near[near != node]
+        distance = hamming(values[near], values[node])
+        met.append((node, near[distance > sure]))
+        close = near[distance <= sure]
+        parts, first = np.unique(label[close], return_index=True)
+        first = first[parts != label[node]]
+        if len(first):
+            out += [(int(ids[node]), int(ids[x])) for x in close[first]]
+            label[np.isin(label, parts)] = label[node]
+    for node, near in met:
+        out += [(int(ids[node]), int(ids[x])) for x in near[label[near] != label[node]]]
+    return list({(max(p), min(p)) for p in out if p[0] != p[1]})
+
+
 def masks(blocks: int, radius: int) -> list[int]:
     """For each choice of ``blocks - radius`` blocks, the mask of their bits, as a signed long."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -169,8 +201,8 @@ def keyed_by_draws(distinct: DataFrame, lanes: int, draws: int, size: int) -> Da
     return distinct.select("fp", "bits").mapInArrow(run, "fp long, bits binary, mask int, key long")
 
 
-def links(keyed: DataFrame, radius: int, tile: int = 1024) -> DataFrame:
-    """(``a``, ``b``), a > b: forests over the links of fingerprints that share a shard."""
+def links(keyed: DataFrame, radius: int, tile: int = 1024, sure: int | None = None) -> DataFrame:
+    """(``a``, ``b``), a > b: forests over the links of fingerprints that share a shard, or their ``candidates`` if ``sure`` is given."""
     # Shards of over a tile: at most (number of masks / tile) of the distinct fingerprints.
     hot = cut(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > tile))
     small = hot.count() <= 200_000
@@ -202,7 +234,8 @@ def links(keyed: DataFrame, radius: int, tile: int = 1024) -> DataFrame:
         for at in np.flatnonzero(np.diff(bounds) > 1):
             part = slice(bounds[at], bounds[at + 1])
             i, j = rows[2, bounds[at]], rows[3, bounds[at]]
-            found += forest(rows[5, part], values[part], None if i == j else rows[4, part] == i, radius)
+            left = None if i == j else rows[4, part] == i
+            found += forest(rows[5, part], values[part], left, radius) if sure is None else candidates(rows[5, part], values[part], left, radius, sure)
         a, b = zip(*found) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -256,21 +289,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8, draws: int = 24, size: int = 12) -> DataFrame:
-    """(``doc_id``, ``component_id``) by similarity of shingle sets, told from long fingerprints.
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The (``a``, ``b``) whose shingle sets have a Jaccard similarity of ``similarity`` or more; ``texts`` has (``fp``, ``text``)."""
 
-    Two sets of similarity J have, at equal sizes, the cosine 2J / (1 + J), and a bit differs
-    with the probability angle / pi; the radius is that share of the bits plus one standard
-    deviation, so that a pair at the threshold is told right five times in six or so.
-    Copies share some draw with a probability of 1 - (1 - (1 - share) ** size) ** draws,
-    0.97 at 0.8 and more above.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "hashes"])
+
+    pairs = cut(pairs)
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    # Up to a million nodes are 8 MB.
+    chosen = texts.join(F.broadcast(nodes) if nodes.count() <= 1_000_000 else nodes, "fp").groupBy("fp").agg(F.first("text").alias("text"))
+    sets = cut(chosen.mapInArrow(run, "fp long, hashes array<long>"))
+    side = lambda n: sets.select(F.col("fp").alias(n), F.col("hashes").alias(f"_{n}")).hint("merge")
+    both = F.size(F.array_intersect("_a", "_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(both >= similarity * (F.size("_a") + F.size("_b") - both)).select("a", "b")
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8, draws: int = 48, size: int = 12) -> DataFrame:
+    """(``doc_id``, ``component_id``) by the Jaccard similarity of shingle sets, each link verified.
+
+    Long fingerprints only propose pairs. Two sets of similarity J have, at equal sizes, the
+    cosine 2J / (1 + J), and a bit differs with the probability angle / pi; pairs within that
+    share of the bits plus three standard deviations are proposed. Those below the share less
+    three are nearly sure, so of them a spanning forest is enough. Copies share some draw with
+    a probability of 1 - (1 - (1 - share) ** size) ** draws, 0.999 at 0.8 and more above.
+    Texts of equal long fingerprints are one node.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * lanes
-    radius = round(bits * share + math.sqrt(bits * share * (1 - share)))
-    marked = cut(fingerprints(docs, id_col, text_col, words, lanes))
+    spread = 3 * math.sqrt(bits * share * (1 - share))
+    marked = cut(fingerprints(docs, id_col, text_col, words, lanes, with_text=True))
     distinct = cut(marked.groupBy("fp").agg(F.first("bits").alias("bits")))
-    return classes(marked.select("doc_id", "fp"), links(keyed_by_draws(distinct, lanes, draws, size), radius)).drop("fp")
+    proposed = links(keyed_by_draws(distinct, lanes, draws, size), round(bits * share + spread), sure=round(bits * share - spread))
+    return classes(marked.select("doc_id", "fp"), verified(proposed, marked.select("fp", "text"), words, similarity)).drop("fp")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

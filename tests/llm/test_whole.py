@@ -20,3 +20,24 @@ def test_disclosing_terms_go_everywhere(spark):
     assert all(clean[i] == texts[i] for i in range(5, len(texts)))
     spans = {r["doc_id"]: r["spans"] for r in pii.report(table).collect()}
     assert spans[4] == "removed:19:29" and spans[5] == spans[45] == ""
+
+
+def test_near_duplicates_are_verified(spark):
+    rng = random.Random(13)
+    draw = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts, want = [], 0
+    for changed in (43, 28):  # similarities near 0.75 and 0.83
+        for _ in range(30):
+            base = draw(300)
+            texts += [" ".join(base), " ".join(base[changed:] + draw(changed))]
+            want += 2 if changed == 43 else 1
+    passage = " ".join(draw(20))
+    for _ in range(2):
+        texts.append(" ".join([passage] * 40 + draw(200)))
+    sole = " ".join(draw(40))
+    texts += [sole, f"{sole} {sole}"]
+    want += 2 + 1
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs(spark, texts)).collect()}
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    assert all((i + 1 in kept) == (len(sets[i] & sets[i + 1]) < 0.8 * len(sets[i] | sets[i + 1])) for i in range(0, len(texts), 2))
+    assert len(kept) == want
