@@ -17,7 +17,9 @@ input columns that clash with the output are replaced.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -44,10 +46,11 @@ def family(language: str) -> str:
     return next((f for f, codes in FAMILIES.items() if language.split("-")[0].lower() in codes.split()), f"other:{language}")
 
 
+@cache
 def letter_classes() -> np.ndarray:
-    """For each 16-bit code point: 0 if it is no letter, 1 to 26 for a to z, else a class from 27 to 63."""
-    out = np.zeros(1 << 16, dtype=np.int32)
-    for c in range(1 << 16):
+    """For each code point: 0 if it is no letter, 1 to 26 for a to z, else a class from 27 to 63."""
+    out = np.zeros(sys.maxunicode + 1, dtype=np.int32)
+    for c in range(len(out)):
         if chr(c).isalpha():
             out[c] = c - 96 if 97 <= c <= 122 else 27 + c % 37
     return out
@@ -58,7 +61,7 @@ def features(text: str, classes: np.ndarray) -> np.ndarray | None:
     counts = np.zeros(DIM)
     for i in range(0, len(text), CHUNK):
         points = np.frombuffer(text[max(0, i - 2) : i + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.concatenate([[0], classes[np.where(points < 1 << 16, points, 0x4E00 + points % 512)], [0]])
+        c = np.concatenate([[0], classes[points], [0]])
         two = c[:-1] * 64 + c[1:]
         three = (two[:-1] * 64 + c[2:]).astype(np.uint64)
         middle = c[1:-1] > 0
@@ -169,6 +172,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.2) -> DataFrame:
-    """The rows of ``docs`` with a language: not ``und``, and a score of ``least`` or more."""
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a language: not ``und``, and a score of ``least`` or more.
+
+    A winner of all votes scores 0.25 at least with two families of two languages. On sf0.1, 2497 of
+    2499 held-out texts score 0.5 or more, and none of 600 texts of 30 or 300 random words does.
+    """
     return predict(docs.drop("lang_pred", "score"), model, text_col).filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*docs.columns)

@@ -41,3 +41,19 @@ def test_near_duplicates_are_verified(spark):
     sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
     assert all((i + 1 in kept) == (len(sets[i] & sets[i + 1]) < 0.8 * len(sets[i] | sets[i + 1])) for i in range(0, len(texts), 2))
     assert len(kept) == want
+
+
+def test_unlearned_languages_are_rejected(spark):
+    rng = random.Random(4)
+    speech = {"en": "the of and with this that from have", "de": "der die und mit das nicht von auch", "fr": "le les des avec dans que pour une", "es": "el los con para una que por como"}
+    texts = [" ".join(rng.choice(speech[k].split()) for _ in range(30)) for _ in range(40) for k in speech]
+    table = docs(spark, texts).withColumn("lang", F.element_at(F.array(*map(F.lit, speech)), (F.col("doc_id") % 4 + 1).cast("int")))
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)) for _ in range(10)]
+    found = langid.accepted(docs(spark, [*texts[:40], *junk, "\U0001F600 \U0001F44D"]), langid.fit(table, F.lit(True)))
+    assert {r["doc_id"] for r in found.collect()} == set(range(40))
+
+
+def test_only_letters_have_a_class():
+    classes = langid.letter_classes()
+    assert langid.features("\U0001F600 \U0001F44D 12", classes) is None
+    assert langid.features("\U00010400\U00020000", classes) is not None
