@@ -7,10 +7,9 @@ styles, reader comments, by element, role, class or id), or neither.
 
 Pages of a host are paired by URL path: in the order of paths each page is compared
 with its neighbours. The text lines of both are aligned by longest common subsequence
-and shared lines are deleted as the site's frame. Lines in the paragraphs of an article
-element are kept although shared: a passage that two articles quote is main text, and
-deleting it gave wrong results. So a page with an article element keeps that element's
-own blocks, and differencing decides the text of pages without one.
+and shared lines are deleted as the site's frame. In an article element a passage that
+two articles quote is main text, so there a line goes only if two neighbours align on it,
+and lines in paragraphs always stay.
 
 Large hosts are dealt in shards by a hash of the path, so that about ``shard`` pages
 stand in one order and a host may hold any share of the pages. A shard is read as a
@@ -43,11 +42,12 @@ RAW = set("script style noembed noframes iframe xmp".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 TOKENS = set("ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notification popup promo promoted related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "title"}
+STAYS = 9
 SPACE = re.compile(r"\s+")
 
 
 class Reader(HTMLParser):
-    """Collects (text, container) blocks; the container is "article", "main" or "", from the stack of open elements."""
+    """Collects (text, container) blocks; the container is "article", "paragraph" (in an article), "main" or "", from the stack of open elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -64,6 +64,8 @@ class Reader(HTMLParser):
         text = SPACE.sub(" ", "".join(self.text)).strip()
         self.text = []
         never, inside = self.state()
+        if inside == "article" and any(e == "p" and i == "article" for e, _, i in self.open):
+            inside = "paragraph"
         if text and not never:
             self.blocks.append((text, inside))
 
@@ -126,17 +128,17 @@ class Reader(HTMLParser):
             self.text.append(data)
 
 
-def blocks(html: str | None) -> list[tuple[str, bool]]:
-    """The blocks that may be main text, in page order, each with whether it is protected."""
+def blocks(html: str | None) -> list[tuple[str, int]]:
+    """The blocks that may be main text, in page order, each with how many neighbours must share it for it to go (``STAYS``: it never does)."""
     reader = Reader()
     reader.feed(html or "")
     HTMLParser.close(reader)  # what is still buffered
     reader.flush()
     if reader.found["article"]:
-        return [(t, True) for t, inside in reader.blocks if inside == "article"]
+        return [(t, STAYS if inside == "paragraph" else 2) for t, inside in reader.blocks if inside in ("article", "paragraph")]
     if reader.found["main"]:
-        return [(t, False) for t, inside in reader.blocks if inside == "main"]
-    return [(t, False) for t, _ in reader.blocks]
+        return [(t, 1) for t, inside in reader.blocks if inside == "main"]
+    return [(t, 1) for t, _ in reader.blocks]
 
 
 def shared(mine: list[str], other: list[str]) -> set[int]:
@@ -171,14 +173,15 @@ def shared(mine: list[str], other: list[str]) -> set[int]:
     return found
 
 
-def keep(page: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> str:
-    """The page's text without what it shares with its neighbours."""
-    gone: set[int] = set()
-    if not all(p for _, p in page):
+def keep(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
+    """The page's text without what it shares with enough of its neighbours."""
+    times = [0] * len(page)
+    if any(need <= len(neighbours) for _, need in page):
         lines = [t for t, _ in page]
         for n in neighbours:
-            gone |= shared(lines, [t for t, _ in n])
-    return "\n".join(t for i, (t, protected) in enumerate(page) if protected or i not in gone)
+            for i in shared(lines, [t for t, _ in n]):
+                times[i] += 1
+    return "\n".join(t for (t, need), n in zip(page, times) if n < need)
 
 
 def place(pages: DataFrame, url_col: str, shard: int) -> DataFrame:

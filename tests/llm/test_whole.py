@@ -57,3 +57,10 @@ def test_only_letters_have_a_class():
     classes = langid.letter_classes()
     assert langid.features("\U0001F600 \U0001F44D 12", classes) is None
     assert langid.features("\U00010400\U00020000", classes) is not None
+
+
+def test_html_frame_lines_inside_articles_go(spark):
+    page = "<article><div>Read this next</div><h1>Title {0}</h1><p>Own {0}</p><p>Quoted by all</p><ul><li>Print</li></ul></article>"
+    rows = spark.createDataFrame([(i, f"http://h/{i}", page.format(i)) for i in range(5)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
+    assert all(got[i] == f"Title {i}\nOwn {i}\nQuoted by all" for i in (1, 2, 3))
