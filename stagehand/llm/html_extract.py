@@ -6,16 +6,18 @@ element (or, without one, the main element), in a container that is never main t
 styles, reader comments, by element, role, class or id), or neither.
 
 Pages of a host are paired by URL path: in the order of paths each page is compared
-with its neighbours. The text lines of both are aligned by longest common subsequence
+with its neighbours, the two nearest pages that differ from it and from each other.
+Copies and near copies of a page (``ALIKE`` or more of the longer text is shared) tell
+nothing of the frame, so they are passed over. The text lines of both are aligned by longest common subsequence
 and shared lines are deleted as the site's frame. In an article element a passage that
 two articles quote is main text, so there a line goes only if two neighbours align on it,
-and lines in paragraphs always stay.
+and paragraphs and its title always stay.
 
 Large hosts are dealt in shards by a hash of the path, so that about ``shard`` pages
 stand in one order and a host may hold any share of the pages. A shard is read as a
-sorted stream, with two pages in memory.
+sorted stream, with the blocks of one shard in memory.
 
-Defined cases: a null or empty page has no text; a page without a neighbour is not
+Defined cases: a null or empty page has no text; a page without a neighbour, or with copies alone, is not
 differenced; pages of one path are neighbours in the order of their ids; a page of null
 URL has the host ''; unclosed and stray tags are tolerated; scripts, styles and
 comments are read to their end or, if it is missing, the page's.
@@ -43,11 +45,13 @@ ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu
 TOKENS = set("ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notification popup promo promoted related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "title"}
 STAYS = 9
+#: Share of the longer page's characters from which two pages are near copies.
+ALIKE = 0.9
 SPACE = re.compile(r"\s+")
 
 
 class Reader(HTMLParser):
-    """Collects (text, container) blocks; the container is "article", "paragraph" (in an article), "main" or "", from the stack of open elements."""
+    """Collects (text, container) blocks; the container is "article", "paragraph" (one or a title in an article), "main" or "", from the stack of open elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -64,7 +68,7 @@ class Reader(HTMLParser):
         text = SPACE.sub(" ", "".join(self.text)).strip()
         self.text = []
         never, inside = self.state()
-        if inside == "article" and any(e == "p" and i == "article" for e, _, i in self.open):
+        if inside == "article" and any(e in ("p", "h1") and i == "article" for e, _, i in self.open):
             inside = "paragraph"
         if text and not never:
             self.blocks.append((text, inside))
@@ -173,6 +177,27 @@ def shared(mine: list[str], other: list[str]) -> set[int]:
     return found
 
 
+def alike(page: list[tuple[str, int]], other: list[tuple[str, int]]) -> bool:
+    """Whether two pages are copies or near copies."""
+    mine, lines = [t for t, _ in page], [t for t, _ in other]
+    if mine == lines:
+        return True
+    a, b = sum(map(len, mine)), sum(map(len, lines))
+    return min(a, b) >= ALIKE * max(a, b) and sum(len(mine[i]) for i in shared(mine, lines)) >= ALIKE * max(a, b)
+
+
+def nearest(pages: list[list[tuple[str, int]]], at: int) -> list[list[tuple[str, int]]]:
+    """The two nearest pages that are near copies neither of the page nor of each other."""
+    found: list[list[tuple[str, int]]] = []
+    for step in range(1, len(pages)):
+        for i in (at - step, at + step):
+            if 0 <= i < len(pages) and not any(alike(pages[i], p) for p in (pages[at], *found)):
+                found.append(pages[i])
+                if len(found) == 2:
+                    return found
+    return found
+
+
 def keep(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
     """The page's text without what it shares with enough of its neighbours."""
     times = [0] * len(page)
@@ -203,24 +228,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ordered = placed.repartition("_host", "_shard").sortWithinPartitions("_host", "_shard", "_path", "_id", "_url")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, before = None, None  # the page that waits for its successor, and the one before it
+        held, group = [], None  # the pages of a shard
         done: list[tuple] = []
         for b in batches:
             for i, url, html, host, part in zip(b["_id"], b["_url"], b["_html"], b["_host"], b["_shard"]):
-                now = (i, url, blocks(html), (host, part))
-                if held is not None:
-                    done.append(finish(held, before, now))
-                before, held = held, now
+                if group != (host, part):
+                    done += finish(held)
+                    held, group = [], (host, part)
+                held.append((i, url, blocks(html)))
             if len(done) >= 256:
                 yield out(done)
                 done = []
-        if held is not None:
-            done.append(finish(held, before, None))
-        yield out(done)
+        yield out(done + finish(held))
 
-    def finish(page, before, after) -> tuple:
-        text = keep(page[2], [n[2] for n in (before, after) if n is not None and n[3] == page[3]])
-        return page[0], page[1], text, len(text)
+    def finish(held: list[tuple]) -> list[tuple]:
+        pages = [p for _, _, p in held]
+        texts = [keep(p, nearest(pages, i)) for i, p in enumerate(pages)]
+        return [(i, url, text, len(text)) for (i, url, _), text in zip(held, texts)]
 
     def out(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[id_col, url_col, "text", "n_chars"])

@@ -64,3 +64,15 @@ def test_html_frame_lines_inside_articles_go(spark):
     rows = spark.createDataFrame([(i, f"http://h/{i}", page.format(i)) for i in range(5)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
     assert all(got[i] == f"Title {i}\nOwn {i}\nQuoted by all" for i in (1, 2, 3))
+
+
+def test_html_copies_keep_their_text(spark):
+    own = "".join(f"<p>Passage {i} of the main text</p>" for i in range(30))
+    body = "<body><div>Site name</div>{}<div>End</div>"
+    free = [(i, "http://h/a", body.format(own)) for i in range(3)] + [(3, "http://h/a", body.format(own + "<p>Added</p>")), (4, "http://h/b", body.format("<p>Other</p>"))]
+    free += [(i, "http://g/a", body.format(own)) for i in (5, 6)]
+    rows = spark.createDataFrame(free, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
+    main = "\n".join(f"Passage {i} of the main text" for i in range(30))
+    assert [got[i] for i in range(5)] == [main, main, main, f"{main}\nAdded", "Other"]
+    assert main in got[5] and main in got[6]
