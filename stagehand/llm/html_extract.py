@@ -13,9 +13,9 @@ and shared lines are deleted as the site's frame. In an article element a passag
 two articles quote is main text, so there a line goes only if two neighbours align on it,
 and paragraphs and its title always stay.
 
-Large hosts are dealt in shards by a hash of the path, so that about ``shard`` pages
-stand in one order and a host may hold any share of the pages. A shard is read as a
-sorted stream, with the blocks of one shard in memory.
+Large hosts are dealt in ranges of about ``shard`` pages of that order, each with a few
+pages beyond its edges, so a host may hold any share of the pages. The blocks of one
+range are in memory at a time.
 
 Defined cases: a null or empty page has no text; a page without a neighbour, or with copies alone, is not
 differenced; pages of one path are neighbours in the order of their ids; a page of null
@@ -26,12 +26,13 @@ comments are read to their end or, if it is missing, the page's.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -145,6 +146,39 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
     return [(t, 1) for t, _ in reader.blocks]
 
 
+def prefix_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and every prefix of ``b``, with bits for ``b``'s lines."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def aligned(a: list[str], b: list[str]) -> set[int]:
+    """Places in ``a`` of a longest common subsequence, in linear memory (Hirschberg)."""
+    found, todo = set(), [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                found.add(a0)
+            continue
+        middle = (a0 + a1) // 2
+        ahead = prefix_lengths(a[a0:middle], b[b0:b1])
+        back = prefix_lengths(a[middle:a1][::-1], b[b0:b1][::-1])[::-1]
+        cut_at = b0 + int(np.argmax(ahead + back))
+        todo += [(a0, middle, b0, cut_at), (middle, a1, cut_at, b1)]
+    return found
+
+
 def shared(mine: list[str], other: list[str]) -> set[int]:
     """Places in ``mine`` of the lines that align with ``other``'s in a longest common subsequence."""
     low = 0
@@ -158,23 +192,7 @@ def shared(mine: list[str], other: list[str]) -> set[int]:
     common = set(a) & set(b)
     # Lines of one page only can't align.
     at = [i for i, x in enumerate(a) if x in common]
-    a, b = [a[i] for i in at], [x for x in b if x in common]
-    if len(a) * len(b) > 4_000_000:  # long pages: matching blocks, in linear memory
-        return found | {low + at[i] for m in SequenceMatcher(None, a, b, False).get_matching_blocks() for i in range(m.a, m.a + m.size)}
-    length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            length[i][j] = length[i + 1][j + 1] + 1 if a[i] == b[j] else max(length[i + 1][j], length[i][j + 1])
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            found.add(low + at[i])
-            i, j = i + 1, j + 1
-        elif length[i + 1][j] >= length[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return found
+    return found | {low + at[i] for i in aligned([a[i] for i in at], [x for x in b if x in common])}
 
 
 def alike(page: list[tuple[str, int]], other: list[tuple[str, int]]) -> bool:
@@ -209,17 +227,58 @@ def keep(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -
     return "\n".join(t for (t, need), n in zip(page, times) if n < need)
 
 
-def place(pages: DataFrame, url_col: str, shard: int) -> DataFrame:
-    """Adds ``_host``, ``_path`` and ``_shard``: hosts of over ``shard`` pages are dealt by their paths."""
+def order_of(path: str, page, url: str | None) -> tuple:
+    """The place of a page in its host, as Spark sorts it: nulls first."""
+    return path, (page is not None, page), (url is not None, url)
+
+
+def ranges(pages: DataFrame, shard: int, edge: int) -> dict[str, tuple[list, list, list]]:
+    """For hosts of over ``shard`` pages: where each next range starts, and where the ``edge`` pages before and after that start begin and end.
+
+    The driver gets three keys for each ``shard`` pages of large hosts, no page.
+    """
+    large = cut(pages.groupBy("_host").agg(F.count("*").alias("_pages")).filter(F.col("_pages") > shard).select("_host"))
+    n_large = large.count()
+    if not n_large:
+        return {}
+    # At most (pages / shard) hosts are large.
+    keys = pages.select("_host", "_path", "_id", "_url").join(F.broadcast(large) if n_large <= 100_000 else large, "_host")
+    order = ["_host", "_path", "_id", "_url"]
+    rows = cut(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before = Window.partitionBy("_host").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_host", "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    offsets = offsets.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).select("_host", "_part", "_shift")
+    ranked = rows.join(offsets, ["_host", "_part"]).withColumn("_rank", F.col("_row") + F.col("_shift"))
+    found: dict[str, tuple[list, list, list]] = {}
+    place = F.col("_rank") % shard
+    for r in ranked.filter(place.isin(0, edge, shard - edge)).select(*order, "_rank").collect():
+        kind = {0: 0, shard - edge: 1, edge: 2}[r["_rank"] % shard]
+        if r["_rank"] >= shard or kind == 1:
+            found.setdefault(r["_host"], ([], [], []))[kind].append(order_of(r["_path"], r["_id"], r["_url"]))
+    return {host: tuple(map(sorted, every)) for host, every in found.items()}
+
+
+def place(pages: DataFrame, url_col: str, shard: int, edge: int = 4) -> DataFrame:
+    """Adds ``_host``, ``_path``, ``_shard`` and ``_own``: hosts of over ``shard`` pages are dealt by ranges of their order; the ``edge`` pages beyond a range come as copies that aren't its own."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     pages = pages.withColumn("_host", F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)))
     pages = pages.withColumn("_path", F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*|[?#].*$", ""))
-    large = cut(pages.groupBy(F.col("_host").alias("_large")).agg(F.count("*").alias("_pages")).filter(F.col("_pages") > shard))
-    # At most (pages / shard) hosts are large.
-    large = F.broadcast(large) if large.count() <= 100_000 else large
-    placed = pages.join(large, F.col("_host") == F.col("_large"), "left")
-    shards = F.coalesce(F.ceil(F.col("_pages") / shard), F.lit(1))
-    return placed.withColumn("_shard", F.pmod(F.xxhash64("_path"), shards)).drop("_large", "_pages")
+    edge = max(1, min(edge, (shard - 1) // 2))
+    known = ranges(pages, shard, edge)
+    if not known:
+        return pages.withColumn("_shard", F.lit(0)).withColumn("_own", F.lit(True))
+
+    def deal(host, path, page, url):
+        if host not in known:
+            return [(0, True)]
+        key, (starts, begins, ends) = order_of(path, page, url), known[host]
+        own = bisect_right(starts, key)
+        # Past the begin of the next range's copies, or before the end of those of the range before.
+        after = [(own + 1, False)] if own < len(starts) and bisect_right(begins, key) > own else []
+        return [(own, True), *after, *([(own - 1, False)] if own and bisect_right(ends, key) < own else [])]
+
+    dealt = F.udf(deal, "array<struct<_shard:int,_own:boolean>>")("_host", "_path", "_id", url_col)
+    return pages.withColumn("_d", F.explode(dealt)).select(*pages.columns, "_d.*")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard: int = 64) -> DataFrame:
@@ -231,23 +290,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         held, group = [], None  # the pages of a shard
         done: list[tuple] = []
         for b in batches:
-            for i, url, html, host, part in zip(b["_id"], b["_url"], b["_html"], b["_host"], b["_shard"]):
+            for i, url, html, host, part, own in zip(b["_id"], b["_url"], b["_html"], b["_host"], b["_shard"], b["_own"]):
                 if group != (host, part):
                     done += finish(held)
                     held, group = [], (host, part)
-                held.append((i, url, blocks(html)))
+                held.append((i, url, blocks(html), own))
             if len(done) >= 256:
                 yield out(done)
                 done = []
         yield out(done + finish(held))
 
     def finish(held: list[tuple]) -> list[tuple]:
-        pages = [p for _, _, p in held]
-        texts = [keep(p, nearest(pages, i)) for i, p in enumerate(pages)]
-        return [(i, url, text, len(text)) for (i, url, _), text in zip(held, texts)]
+        pages = [p for _, _, p, _ in held]
+        texts = [(i, url, keep(p, nearest(pages, at))) for at, (i, url, p, own) in enumerate(held) if own]
+        return [(i, url, text, len(text)) for i, url, text in texts]
 
     def out(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[id_col, url_col, "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return ordered.select("_id", "_url", "_html", "_host", "_shard").mapInPandas(run, f"{id_col} {kind}, {url_col} string, text string, n_chars long")
+    return ordered.select("_id", "_url", "_html", "_host", "_shard", "_own").mapInPandas(run, f"{id_col} {kind}, {url_col} string, text string, n_chars long")
