@@ -3,9 +3,10 @@
 Base spans are assignments, access keys and long hex runs, each leftmost and without
 overlap within its kind. The method adds runs of key characters that a tokenizer's
 vocabulary compresses badly: ordinary words and names give three or more characters a
-token, random strings fewer than ``ratio``. Runs in a base span, known digests (hex of
-a digest's length, with their prefixes), UUIDs, numbers and identifiers made of words
-are excluded before the test.
+token, random strings fewer than ``ratio``. Runs of 16 characters or more are tested,
+letters alone too. Runs in a base span, known digests (hex of a digest's length, with
+their prefixes), UUIDs and runs without a letter are excluded before the test, and
+identifiers whose word parts give ``ratio`` characters a token or more.
 
 The vocabulary is a tiktoken file at ``vocabulary``; its bytes (under 1 MB) go with the
 tasks, so executors need no copy. It is never trained.
@@ -31,10 +32,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-:=_]?)?(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})|sha(?:256|384|512)-[A-Za-z0-9+/]+=*")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 WORDS = re.compile(r"[A-Za-z]?[a-z]*(?:[A-Z][a-z]+|[_/+=-]+[A-Za-z]?[a-z]+|[_/+=-]+[A-Z]+|[_/+=-]*[0-9]{1,4}(?![0-9]))*[_/+=-]*")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -64,9 +66,13 @@ def random_runs(text: str, base: list[tuple[int, int, int]], tokens: Callable[[s
     out = []
     for m in RUN.finditer(text):
         run = m.group()
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+        if not any(c.isalpha() for c in run):
             continue
-        if any(s < m.end() and m.start() < e for s, _, e in base) or DIGEST.fullmatch(run) or UUID.fullmatch(run) or WORDS.fullmatch(run):
+        if run.isalpha() and (text[m.start() - 1 : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha()):
+            continue  # a piece of a word with letters beyond ASCII
+        if any(s < m.end() and m.start() < e for s, _, e in base) or DIGEST.fullmatch(run) or UUID.fullmatch(run):
+            continue
+        if WORDS.fullmatch(run) and (parts := PART.findall(run)) and sum(map(len, parts)) >= ratio * sum(map(tokens, parts)):
             continue
         if len(run) / tokens(run) < ratio:
             out.append((m.start(), m.end()))

@@ -102,3 +102,11 @@ def _next_row(row, x, b):
     for j, y in enumerate(b):
         new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
     return new
+
+
+def test_short_and_letters_only_secrets():
+    tokens = secrets.encoder(open(secrets.VOCABULARY, "rb").read())
+    found = lambda t: secrets.describe(t, tokens)[4]
+    for secret in ("zX9qLm2RtV8pWk4Y", "qzxvkjwpmtrbnhgfdsqz12", "qzxvkjwpmtrbnhgfdsqz", "XqZvKjWpMtRbNhGfDs"):
+        assert found(f"key {secret} end") == f"random:4:{4 + len(secret)}", secret
+    assert found("some_long_identifier_of_words_here1 internationalization getUserAccountByName2 1234567890123456 ----------------") == ""
