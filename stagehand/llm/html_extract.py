@@ -1,26 +1,31 @@
 """Main text from HTML by nearest-URL page differencing.
 
-A page is read into blocks of text. Each block knows whether it stands in the article
-element (or, without one, the main element), in a container that is never main text
-(menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts,
-styles, reader comments, by element, role, class or id), or neither.
-
-Pages of a host are paired by URL path: in the order of paths each page is compared
-with its neighbours, the two nearest pages that differ from it and from each other.
-Copies and near copies of a page (``ALIKE`` or more of the longer text is shared) tell
-nothing of the frame, so they are passed over. The text lines of both are aligned by longest common subsequence
-and shared lines are deleted as the site's frame. In an article element a passage that
-two articles quote is main text, so there a line goes only if two neighbours align on it,
-and paragraphs and its title always stay.
-
-Large hosts are dealt in ranges of about ``shard`` pages of that order, each with a few
-pages beyond its edges, so a host may hold any share of the pages. The blocks of one
-range are in memory at a time.
-
-Defined cases: a null or empty page has no text; a page without a neighbour, or with copies alone, is not
-differenced; pages of one path are neighbours in the order of their ids; a page of null
-URL has the host ''; unclosed and stray tags are tolerated; scripts, styles and
-comments are read to their end or, if it is missing, the page's.
+A page is read into lines: the blocks of text that a browser would show, frame and all
+(scripts and styles are no text). The pages of a host stand in the order of path, query
+and id; each is compared with its ``NEIGHBOURS`` nearest pages of different content, at
+most ``edge`` places away. Copies and near copies of a page (``ALIKE`` or more of the
+longer text is shared) tell nothing of the frame, so they are passed over. Lines are
+aligned by longest common subsequence in linear memory, and a line that enough neighbours
+share is deleted: one neighbour is enough outside an article or main element, two are
+needed for a line inside one, and all ``NEIGHBOURS`` for its paragraphs and titles, as
+two or three articles may quote the same passage.
+
+What differencing leaves is cleaned by elements: containers that are never main text
+(menus, headers and footers of the page, sidebars, notices, adverts, forms, reader
+comments, by element, role, class or id) go even where they differ from page to page, and
+so does what stands outside the article element of a page that has one.
+
+A host may hold any share of the pages: it is dealt in ranges of that order, each with the
+``edge`` pages beyond its ends, so where a range ends changes no result. A task holds
+2 * edge + 1 pages at a time. The driver gets three keys for each range of a large host,
+and ranges grow so that there are at most ``most`` of them.
+
+Defined cases: a null or empty page has no text; a page without a neighbour, or with copies
+alone, is not differenced; pages of one URL are neighbours in the order of their ids; a
+page of null URL has the host ''; repeated rows are copies, each with its own result; more
+input columns, whatever their names, are ignored; an empty table gives an empty one;
+unclosed and stray tags are tolerated; scripts, styles and comments are read to their end
+or, if it is missing, the page's.
 """
 
 from __future__ import annotations
@@ -28,12 +33,16 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import zip_longest
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import cut
 
@@ -45,19 +54,29 @@ RAW = set("script style noembed noframes iframe xmp".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 TOKENS = set("ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notification popup promo promoted related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "title"}
-STAYS = 9
+#: How many nearest pages of different content a page is compared with.
+NEIGHBOURS = 4
 #: Share of the longer page's characters from which two pages are near copies.
 ALIKE = 0.9
 SPACE = re.compile(r"\s+")
 
 
+@dataclass(frozen=True)
+class Line:
+    text: str
+    #: How many neighbours must share the line for it to go.
+    need: int
+    #: False in a container that is never main text, and outside the page's article.
+    main: bool
+
+
 class Reader(HTMLParser):
-    """Collects (text, container) blocks; the container is "article", "paragraph" (one or a title in an article), "main" or "", from the stack of open elements."""
+    """Collects (text, container, never main text) blocks; the container is "article", "paragraph" (one or a title in an article), "main" or "", from the stack of open elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, str]] = []  # element, never main text, container
-        self.blocks: list[tuple[str, str]] = []
+        self.blocks: list[tuple[str, str, bool]] = []
         self.found = {"article": False, "main": False}
         self.text: list[str] = []
         self.raw = ""
@@ -68,11 +87,11 @@ class Reader(HTMLParser):
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         self.text = []
-        never, inside = self.state()
-        if inside == "article" and any(e in ("p", "h1") and i == "article" for e, _, i in self.open):
-            inside = "paragraph"
-        if text and not never:
-            self.blocks.append((text, inside))
+        if text:
+            never, inside = self.state()
+            if inside == "article" and not never and any(e in ("p", "h1") and i == "article" for e, _, i in self.open):
+                inside = "paragraph"
+            self.blocks.append((text, inside, never))
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK or tag in NEVER:
@@ -133,17 +152,15 @@ class Reader(HTMLParser):
             self.text.append(data)
 
 
-def blocks(html: str | None) -> list[tuple[str, int]]:
-    """The blocks that may be main text, in page order, each with how many neighbours must share it for it to go (``STAYS``: it never does)."""
+def lines(html: str | None) -> list[Line]:
+    """The lines of a page, in page order."""
     reader = Reader()
     reader.feed(html or "")
     HTMLParser.close(reader)  # what is still buffered
     reader.flush()
-    if reader.found["article"]:
-        return [(t, STAYS if inside == "paragraph" else 2) for t, inside in reader.blocks if inside in ("article", "paragraph")]
-    if reader.found["main"]:
-        return [(t, 1) for t, inside in reader.blocks if inside == "main"]
-    return [(t, 1) for t, _ in reader.blocks]
+    home = ("article", "paragraph") if reader.found["article"] else ("main",) if reader.found["main"] else ("",)
+    needs = {"paragraph": NEIGHBOURS, "article": 2, "main": 2}
+    return [Line(text, 1 if never else needs.get(inside, 1), not never and inside in home) for text, inside, never in reader.blocks]
 
 
 def prefix_lengths(a: list[str], b: list[str]) -> np.ndarray:
@@ -195,55 +212,69 @@ def shared(mine: list[str], other: list[str]) -> set[int]:
     return found | {low + at[i] for i in aligned([a[i] for i in at], [x for x in b if x in common])}
 
 
-def alike(page: list[tuple[str, int]], other: list[tuple[str, int]]) -> bool:
-    """Whether two pages are copies or near copies."""
-    mine, lines = [t for t, _ in page], [t for t, _ in other]
-    if mine == lines:
-        return True
-    a, b = sum(map(len, mine)), sum(map(len, lines))
-    return min(a, b) >= ALIKE * max(a, b) and sum(len(mine[i]) for i in shared(mine, lines)) >= ALIKE * max(a, b)
-
-
-def nearest(pages: list[list[tuple[str, int]]], at: int) -> list[list[tuple[str, int]]]:
-    """The two nearest pages that are near copies neither of the page nor of each other."""
-    found: list[list[tuple[str, int]]] = []
-    for step in range(1, len(pages)):
-        for i in (at - step, at + step):
-            if 0 <= i < len(pages) and not any(alike(pages[i], p) for p in (pages[at], *found)):
-                found.append(pages[i])
-                if len(found) == 2:
+class Page:
+    """A page's lines, and those that may be main text for telling copies."""
+
+    def __init__(self, html: str | None):
+        self.lines = lines(html)
+        self.texts = [x.text for x in self.lines]
+        self.body = [x.text for x in self.lines if x.main]
+        self.size = sum(map(len, self.body))
+        self.known = set(self.body)
+
+    def alike(self, other: Page) -> bool:
+        """Whether two pages are copies or near copies."""
+        if self.body == other.body:
+            return True
+        low, high = sorted((self.size, other.size))
+        if low < ALIKE * high or sum(len(x) for x in self.body if x in other.known) < ALIKE * high:
+            return False
+        return sum(len(self.body[i]) for i in shared(self.body, other.body)) >= ALIKE * high
+
+
+def nearest(page: Page, before: list[Page], after: list[Page]) -> list[Page]:
+    """Of the pages ``before`` and ``after`` (nearest first) the nearest that are near copies neither of the page nor of each other."""
+    found: list[Page] = []
+    for side in zip_longest(before, after):
+        for p in side:
+            if p is not None and not any(p.alike(x) for x in (page, *found)):
+                found.append(p)
+                if len(found) == NEIGHBOURS:
                     return found
     return found
 
 
-def keep(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
-    """The page's text without what it shares with enough of its neighbours."""
-    times = [0] * len(page)
-    if any(need <= len(neighbours) for _, need in page):
-        lines = [t for t, _ in page]
-        for n in neighbours:
-            for i in shared(lines, [t for t, _ in n]):
-                times[i] += 1
-    return "\n".join(t for (t, need), n in zip(page, times) if n < need)
+def difference(page: Page, neighbours: list[Page]) -> list[Line]:
+    """The page's lines without those that enough of its neighbours share."""
+    times = [0] * len(page.lines)
+    for n in neighbours:
+        for i in shared(page.texts, n.texts):
+            times[i] += 1
+    return [x for x, n in zip(page.lines, times) if n < x.need]
 
 
-def order_of(path: str, page, url: str | None) -> tuple:
+def main_text(page: Page, neighbours: list[Page]) -> str:
+    return "\n".join(x.text for x in difference(page, neighbours) if x.main)
+
+
+def order_of(path: str, query: str, page, url: str | None) -> tuple:
     """The place of a page in its host, as Spark sorts it: nulls first."""
-    return path, (page is not None, page), (url is not None, url)
+    return path, query, (page is not None, page), (url is not None, url)
 
 
-def ranges(pages: DataFrame, shard: int, edge: int) -> dict[str, tuple[list, list, list]]:
-    """For hosts of over ``shard`` pages: where each next range starts, and where the ``edge`` pages before and after that start begin and end.
+def ranges(pages: DataFrame, shard: int, edge: int, most: int) -> dict[str, tuple[list, list, list]]:
+    """For hosts of more than a range: where each next range starts, and where the ``edge`` pages before and after that start begin and end.
 
-    The driver gets three keys for each ``shard`` pages of large hosts, no page.
+    A range is of ``shard`` pages, or of as many more as keep the ranges under ``most``.
     """
-    large = cut(pages.groupBy("_host").agg(F.count("*").alias("_pages")).filter(F.col("_pages") > shard).select("_host"))
-    n_large = large.count()
-    if not n_large:
+    order = ["_host", "_path", "_query", "_id", "_url"]
+    sizes = cut(pages.groupBy("_host").agg(F.count("*").alias("_pages")))
+    total, hosts = sizes.filter(F.col("_pages") > shard).agg(F.coalesce(F.sum("_pages"), F.lit(0)), F.count("*")).first()
+    if not hosts:
         return {}
-    # At most (pages / shard) hosts are large.
-    keys = pages.select("_host", "_path", "_id", "_url").join(F.broadcast(large) if n_large <= 100_000 else large, "_host")
-    order = ["_host", "_path", "_id", "_url"]
+    shard = max(shard, -(-total // most))
+    # The same join at every size: hosts grow with the input.
+    keys = pages.select(*order).join(sizes.filter(F.col("_pages") > shard).select("_host").hint("merge"), "_host", "left_semi")
     rows = cut(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     before = Window.partitionBy("_host").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_host", "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
@@ -254,59 +285,82 @@ def ranges(pages: DataFrame, shard: int, edge: int) -> dict[str, tuple[list, lis
     for r in ranked.filter(place.isin(0, edge, shard - edge)).select(*order, "_rank").collect():
         kind = {0: 0, shard - edge: 1, edge: 2}[r["_rank"] % shard]
         if r["_rank"] >= shard or kind == 1:
-            found.setdefault(r["_host"], ([], [], []))[kind].append(order_of(r["_path"], r["_id"], r["_url"]))
+            found.setdefault(r["_host"], ([], [], []))[kind].append(order_of(r["_path"], r["_query"], r["_id"], r["_url"]))
     return {host: tuple(map(sorted, every)) for host, every in found.items()}
 
 
-def place(pages: DataFrame, url_col: str, shard: int, edge: int = 4) -> DataFrame:
-    """Adds ``_host``, ``_path``, ``_shard`` and ``_own``: hosts of over ``shard`` pages are dealt by ranges of their order; the ``edge`` pages beyond a range come as copies that aren't its own."""
+def place(pages: DataFrame, url_col: str, shard: int, edge: int, most: int) -> DataFrame:
+    """Adds ``_host``, ``_path``, ``_query``, ``_shard`` and ``_own``: large hosts are dealt by ranges of their order; the ``edge`` pages beyond a range come as copies that aren't its own."""
     url = F.coalesce(F.col(url_col), F.lit(""))
-    pages = pages.withColumn("_host", F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)))
-    pages = pages.withColumn("_path", F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*|[?#].*$", ""))
-    edge = max(1, min(edge, (shard - 1) // 2))
-    known = ranges(pages, shard, edge)
+    start = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
+    pages = pages.withColumn("_host", F.lower(F.regexp_extract(url, start + "([^/?#]*)", 1)))
+    pages = pages.withColumn("_path", F.regexp_replace(url, start + "[^/?#]*|[?#].*$", "")).withColumn("_query", F.regexp_extract(url, r"\?([^#]*)", 1))
+    known = ranges(pages, shard, edge, most)
     if not known:
         return pages.withColumn("_shard", F.lit(0)).withColumn("_own", F.lit(True))
 
-    def deal(host, path, page, url):
+    def deal(host, path, query, page, url):
         if host not in known:
             return [(0, True)]
-        key, (starts, begins, ends) = order_of(path, page, url), known[host]
+        key, (starts, begins, ends) = order_of(path, query, page, url), known[host]
         own = bisect_right(starts, key)
         # Past the begin of the next range's copies, or before the end of those of the range before.
         after = [(own + 1, False)] if own < len(starts) and bisect_right(begins, key) > own else []
         return [(own, True), *after, *([(own - 1, False)] if own and bisect_right(ends, key) < own else [])]
 
-    dealt = F.udf(deal, "array<struct<_shard:int,_own:boolean>>")("_host", "_path", "_id", url_col)
+    dealt = F.udf(deal, "array<struct<_shard:int,_own:boolean>>")("_host", "_path", "_query", "_id", url_col)
     return pages.withColumn("_d", F.explode(dealt)).select(*pages.columns, "_d.*")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard: int = 64) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard: int = 128, edge: int = 8, most: int = 50_000) -> DataFrame:
     """(id, url, ``text``, ``n_chars``) of every page."""
-    placed = place(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html")), "_url", shard)
-    ordered = placed.repartition("_host", "_shard").sortWithinPartitions("_host", "_shard", "_path", "_id", "_url")
+    if shard < 2 * edge + 1:
+        raise ValueError("a range must hold more than its two edges")
+    placed = place(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html")), "_url", shard, edge, most)
+    order = ["_host", "_shard", "_path", "_query", "_id", "_url"]
+    ordered = placed.repartition("_host", "_shard").sortWithinPartitions(*order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, group = [], None  # the pages of a shard
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        for b in batches:
-            for i, url, html, host, part, own in zip(b["_id"], b["_url"], b["_html"], b["_host"], b["_shard"], b["_own"]):
-                if group != (host, part):
-                    done += finish(held)
-                    held, group = [], (host, part)
-                held.append((i, url, blocks(html), own))
-            if len(done) >= 256:
+        for row in windows(rows for b in batches for rows in zip(*(c.to_pylist() for c in b.columns))):
+            done.append(row)
+            if len(done) == 256:
                 yield out(done)
                 done = []
-        yield out(done + finish(held))
-
-    def finish(held: list[tuple]) -> list[tuple]:
-        pages = [p for _, _, p, _ in held]
-        texts = [(i, url, keep(p, nearest(pages, at))) for at, (i, url, p, own) in enumerate(held) if own]
-        return [(i, url, text, len(text)) for i, url, text in texts]
-
-    def out(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[id_col, url_col, "text", "n_chars"])
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    return ordered.select("_id", "_url", "_html", "_host", "_shard", "_own").mapInPandas(run, f"{id_col} {kind}, {url_col} string, text string, n_chars long")
+        yield out(done)
+
+    def windows(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held: list[tuple] = []  # own, id, url, page: the last pages of the range, at most 2 * edge + 1
+        at, group = 0, None  # the next of them to be done
+        for host, part, own, i, url, html in rows:
+            if group != (host, part):
+                while at < len(held):
+                    yield from finish(held, at)
+                    at += 1
+                held, at, group = [], 0, (host, part)
+            held.append((own, i, url, Page(html)))
+            if len(held) - 1 - at == edge:
+                yield from finish(held, at)
+                at += 1
+            if at > edge:
+                del held[0]
+                at -= 1
+        while at < len(held):
+            yield from finish(held, at)
+            at += 1
+
+    def finish(held: list[tuple], at: int) -> Iterator[tuple]:
+        own, i, url, page = held[at]
+        if own:
+            near = [p for *_, p in held]
+            text = main_text(page, nearest(page, near[max(0, at - edge) : at][::-1], near[at + 1 : at + 1 + edge]))
+            yield i, url, text, len(text)
+
+    schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    types = to_arrow_schema(schema)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
+
+    return ordered.select("_host", "_shard", "_own", "_id", "_url", "_html").mapInArrow(run, schema)
