@@ -2,17 +2,21 @@
 
 Base spans are assignments, access keys and long hex runs, each leftmost and without
 overlap within its kind. The method adds runs of key characters that a tokenizer's
-vocabulary compresses badly: ordinary words and names give three or more characters a
-token, random strings fewer than ``ratio``. Runs of 16 characters or more are tested,
-letters alone too. Runs in a base span, known digests (hex of a digest's length, with
-their prefixes), UUIDs and runs without a letter are excluded before the test, and
-identifiers whose word parts give ``ratio`` characters a token or more.
-
-The vocabulary is a tiktoken file at ``vocabulary``; its bytes (under 1 MB) go with the
-tasks, so executors need no copy. It is never trained.
-
-Defined cases: a null text is an empty one; whole texts are scanned, whatever their
-length; repeated rows get equal spans; clashing input columns are replaced.
+vocabulary compresses badly: words give three or more characters a token, random strings
+fewer than two. Every run of ``LEAST`` characters or more outside base spans is tested,
+letters alone too. Left out before the test are known digests (hex of a digest's length,
+with their prefixes), UUIDs, runs without a letter, and identifiers: runs whose pieces
+between separators and humps are mostly single tokens or long for their tokens. A run is
+random if it has at most ``ratio - 3.2 / length`` characters a token, as short runs spread
+more. Every step is linear in the text.
+
+The vocabulary is a tiktoken file at ``vocabulary``, else the path in the session's
+``spark.stagehand.vocabulary``, else ``VOCABULARY``; the driver reads it and its bytes (under
+1 MB) go with the tasks, so executors need no copy. It is never trained.
+
+Defined cases: a null text is an empty one, with zero counts and no spans; whole texts are
+scanned, whatever their length; repeated rows get equal spans; an empty table gives an
+empty one; other input columns are ignored, clashing names too.
 """
 
 from __future__ import annotations
@@ -32,11 +36,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-:=_]?)?(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})|sha(?:256|384|512)-[A-Za-z0-9+/]+=*")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-WORDS = re.compile(r"[A-Za-z]?[a-z]*(?:[A-Z][a-z]+|[_/+=-]+[A-Za-z]?[a-z]+|[_/+=-]+[A-Z]+|[_/+=-]*[0-9]{1,4}(?![0-9]))*[_/+=-]*")
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+PIECE = re.compile(r"[A-Za-z0-9]+")
+HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+")
+LEAST, RATIO = 16, 2.2
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -61,25 +66,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def is_identifier(run: str, tokens: Callable[[str], int], ratio: float) -> bool:
+    """Whether four fifths of a run's letters are in words: pieces of one token, or humps of three letters or more that compress well; capitals count as if small."""
+    letters = words = 0
+    for piece in PIECE.findall(run):
+        plain = piece.rstrip("0123456789")
+        if plain.isalpha() and len(plain) < 8 and len(piece) - len(plain) <= 4 and tokens(plain.lower() if plain.isupper() else plain) == 1:
+            letters, words = letters + len(plain), words + len(plain)
+            continue
+        for hump in HUMP.findall(piece):
+            if hump[0].isalpha():
+                letters += len(hump)
+                if len(hump) > 2 and len(hump) >= ratio * tokens(hump.lower() if hump.isupper() else hump):
+                    words += len(hump)
+    return 5 * words >= 4 * letters
+
+
 def random_runs(text: str, base: list[tuple[int, int, int]], tokens: Callable[[str], int], ratio: float) -> list[tuple[int, int]]:
-    """Runs that the token-efficiency test exposes."""
-    out = []
+    """Runs that the token-efficiency test exposes; ``base`` is sorted."""
+    out, at, reach = [], 0, 0  # the next base span, and the furthest end of those before it
     for m in RUN.finditer(text):
-        run = m.group()
-        if not any(c.isalpha() for c in run):
+        run, start, end = m.group(), m.start(), m.end()
+        while at < len(base) and base[at][0] < end:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach > start or not any(c.isalpha() for c in run) or DIGEST.fullmatch(run) or UUID.fullmatch(run):
             continue
-        if run.isalpha() and (text[m.start() - 1 : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha()):
+        if run.isalpha() and (text[start - 1 : start].isalpha() or text[end : end + 1].isalpha()):
             continue  # a piece of a word with letters beyond ASCII
-        if any(s < m.end() and m.start() < e for s, _, e in base) or DIGEST.fullmatch(run) or UUID.fullmatch(run):
-            continue
-        if WORDS.fullmatch(run) and (parts := PART.findall(run)) and sum(map(len, parts)) >= ratio * sum(map(tokens, parts)):
-            continue
-        if len(run) / tokens(run) < ratio:
-            out.append((m.start(), m.end()))
+        least = ratio - 3.2 / len(run)
+        if not is_identifier(run, tokens, least) and len(run) <= least * tokens(run):
+            out.append((start, end))
     return out
 
 
-def describe(text: str | None, tokens: Callable[[str], int], ratio: float = 2.2) -> tuple:
+def describe(text: str | None, tokens: Callable[[str], int], ratio: float = RATIO) -> tuple:
     """The columns of ``SCHEMA``."""
     text = text or ""
     base = base_spans(text)
@@ -89,9 +110,9 @@ def describe(text: str | None, tokens: Callable[[str], int], ratio: float = 2.2)
     return *(sum(k == i for _, k, _ in base) for i in range(3)), hashlib.sha256(",".join(shown).encode()).hexdigest(), spans
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, ratio: float = 2.2) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
     """The id and ``SCHEMA`` of every row."""
-    with open(vocabulary, "rb") as f:
+    with open(vocabulary or docs.sparkSession.conf.get("spark.stagehand.vocabulary", VOCABULARY), "rb") as f:
         ranks = f.read()
     kind = docs.schema[id_col].dataType.simpleString()
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
