@@ -4,23 +4,28 @@ Base spans are e-mail addresses, IPv4 addresses, card and phone numbers, each fo
 leftmost and without overlap within its kind, then validated (parts, Luhn, digits).
 
 The values found are the protected entities. Terms (runs of letters and digits, lower
-case) within ``window`` words of a mention are candidates. Over all documents, n(e)
-have the entity, n(t) the term, n(t, e) both with the term near. What the entity still
-tells once the term is seen is its information content less the pointwise mutual
-information, log2 N/n(e) - log2 n(t,e) N / (n(t) n(e)). A term that leaves at most
-``remove_bits`` discloses the entity and is removed; one that leaves at most
-``generalise_bits`` is generalised. Only pairs seen in ``support`` different texts count,
-so copies of one text are no evidence. A term is treated alike at every place in every
-text, near a mention or not: by its strongest finding, outside base spans.
-
-Everything is in DataFrame functions. Each text is shuffled once, by its digest, to meet
-the disclosing terms that it holds. Matches are
-placed by summing the lengths of the pieces between them. The patterns are possessive
+case) within ``window`` terms of a mention, on either side and outside base spans, are
+candidates. Over all distinct texts, n(e) hold the entity, n(t) the term, n(t, e) both with
+the term near. What the entity still tells once the term is seen is its information content
+less the pointwise mutual information, log2 N / n(e) - log2 n(t, e) N / (n(t) n(e)), which
+is log2 n(t) / n(t, e). One more text with the term alone is always assumed, so one sighting
+is weak evidence and three are strong, and copies of one text are none: a term leaves
+log2 (n(t) + 1) / n(t, e) bits. At ``remove_bits`` or fewer it discloses the entity and is
+removed; at ``generalise_bits`` or fewer it is generalised to the longest of its prefixes
+of ``LEVELS`` characters that leaves more bits, counted alike over the surroundings of all
+mentions (a lower bound of all texts), and removed if none does. A term is treated alike at
+every place in every text, near a mention or not, outside base spans: by its strongest
+finding.
+
+Everything is in DataFrame functions. Spans are found once; they and the replacements of
+the terms in a text go to its rows by the text's digest, in one shuffle of the texts. Matches
+are placed by summing the lengths of the pieces between them. The patterns are possessive
 where nothing can follow, so long runs need no stack, and start only at the end of a
 match or outside their first class, so that long runs are read once.
 
 Defined cases: a null text is an empty one; rows of null id are ordinary; repeated rows
-get equal spans; an empty table gives an empty one; clashing input columns are replaced.
+get equal spans; an empty table gives an empty one; more input columns are ignored by
+``report`` and kept by ``sanitise``; names that start with ``_pii_`` are reserved.
 """
 
 from __future__ import annotations
@@ -39,12 +44,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must contain for a pattern to be tried.
-HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: What a text must hold for a pattern to be tried; all but the first are parts of the pattern.
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 TERM = r"[\p{L}\p{N}]+"
-MASK = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "generalised": "[TERM]"}
-NEAR = 160
+#: Up to ``window`` terms at the start of a text.
+OPENING = r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,%d}+"
+LEVELS = (3, 1)
+MASK = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 OUT = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+SPANS = "array<struct<start:int,ord:int,end:int>>"
 
 
 def _found(text: Column, pattern: str | Column) -> Column:
@@ -93,117 +101,144 @@ def base_spans(text: Column) -> Column:
 
 
 def _kind_spans(text: Column, place: int, kind: str) -> Column:
-    hint = text.rlike("[0-9]") if HINTS[kind] is None else text.contains(HINTS[kind])
+    hint = text.contains(HINTS[kind]) if kind == "email" else text.rlike(HINTS[kind])
     good = F.filter(_found(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
     shaped = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(place).alias("ord"), m["end"].alias("end"), m["value"].alias("value")))
     return F.when(hint, shaped).otherwise(F.expr(EMPTY))
 
 
-def _count(place: int) -> Column:
-    return F.size(F.filter("base", lambda s: s["ord"] == place)).cast("long")
-
-
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of spans with (start, ord, end), comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS + EXTRA])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["ord"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _outside(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that no base span overlaps."""
+    return F.filter(spans, lambda t: ~F.exists(base, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
+
+
 def _near(text: Column, span: Column, window: int) -> Column:
-    """Terms on both sides of a span, as (start, end, term); words cut by the edge of the view are left out."""
-    low = F.greatest(span["start"] - NEAR, F.lit(0))
-    left = F.substr(text, low + 1, span["start"] - low)
-    right = F.substr(text, span["end"] + 1, F.lit(NEAR))
+    """The ``window`` terms on either side of a span, as (start, end, term); a run of letters and digits that the span cuts is none."""
+    run = r"[\p{L}\p{N}]"
+    left, right = F.reverse(F.substr(text, F.lit(1), span["start"])), F.substr(text, span["end"] + 1)
+
+    def opening(side: Column, cuts: Column) -> tuple[Column, Column]:
+        skip = F.when(cuts, F.length(F.regexp_extract(side, f"^{run}*+", 0))).otherwise(0)
+        return skip, F.regexp_extract(F.substr(side, skip + 1), OPENING % window, 0)
 
-    def shape(found: Column, shift: Column) -> Column:
-        return F.transform(found, lambda m: F.struct((m["start"] + shift).alias("start"), (m["end"] + shift).alias("end"), F.lower(m["value"]).alias("term")))
+    def placed(piece: Column, shift: Column) -> Column:
+        return F.transform(_found(piece, TERM), lambda m: F.struct((m["start"] + shift).alias("start"), (m["end"] + shift).alias("end"), F.lower(m["value"]).alias("term")))
 
-    before = F.filter(_found(left, TERM), lambda m: (m["start"] > 0) | (low == 0))
-    after = F.filter(_found(right, TERM), lambda m: (m["end"] < F.length(right)) | (F.length(right) < NEAR))
-    before = F.reverse(F.slice(F.reverse(shape(before, low)), 1, window))
-    return F.concat(before, F.slice(shape(after, span["end"]), 1, window))
+    skipped, before = opening(left, span["value"].rlike(f"^{run}"))
+    passed, after = opening(right, span["value"].rlike(f"{run}$"))
+    return F.concat(placed(F.reverse(before), span["start"] - skipped - F.length(before)), placed(after, span["end"] + passed))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8) -> DataFrame:
-    """One row per document, written once: id, base spans and, if it has any, the text's digest and mentions."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
+def find(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
+    """(``digest``, ``base``, ``mentions``) of every distinct text with base spans, written once.
+
+    A mention is its entity and the terms near it.
+    """
+    rows = docs.select(F.col(text_col).alias("text")).filter(F.length("text") > 0).withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
     mention = F.transform("base", lambda s: F.struct(
         F.md5(F.concat(s["ord"].cast("string"), F.lit(":"), F.lower(s["value"]))).alias("entity"),
-        F.filter(_near(F.col("text"), s, window), lambda t: ~F.exists("base", lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"]))).alias("near"),
+        F.transform(_outside(_near(F.col("text"), s, window), F.col("base")), lambda t: t["term"]).alias("near"),
     ))
-    has = F.size("base") > 0
-    return cut(rows.select("doc_id", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"))).alias("base"), F.when(has, F.md5("text")).alias("digest"), F.when(has, mention).alias("mentions")))
-
-
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = 3, remove_bits: float = 0.5, generalise_bits: float = 1.0) -> DataFrame:
-    """(``digest``, ``terms``): for each text with disclosing terms, those terms and the place of their kind."""
-    texts = found.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("rows"), F.first("mentions").alias("mentions"))
-    seen = cut(texts.select("digest", "rows", F.explode("mentions").alias("m")).select("digest", "rows", "m.entity", F.explode_outer("m.near").alias("t")).select("digest", "rows", "entity", "t.*"))
-    entities = seen.select("digest", "rows", "entity").distinct().groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= support).select("entity", "n_e")
-    pairs = seen.filter("term is not null").select("digest", "rows", "entity", "term").distinct().groupBy("entity", "term").agg(F.sum("rows").alias("n_te"), F.count("*").alias("texts"))
-    # The rows with a term near any mention are no more than all its rows: a pair that fails by them fails by all.
-    around = seen.filter("term is not null").select("digest", "rows", "term").distinct().groupBy("term").agg(F.sum("rows").alias("least"))
-    pairs = pairs.filter(F.col("texts") >= support).join(entities, "entity").join(around, "term")
-    pairs = cut(pairs.filter(F.log2(F.col("least") / F.col("n_te")) <= max(remove_bits, generalise_bits)).select("entity", "term", "n_te", "n_e"))
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end")))
+    return cut(rows.select(F.md5("text").alias("digest"), base.alias("base"), mention.alias("mentions")).groupBy("digest").agg(F.first("base").alias("base"), F.first("mentions").alias("mentions")))
+
+
+def _prefix(term: Column, level: Column | int) -> Column:
+    return F.substr(term, F.lit(1), F.lit(level) if isinstance(level, int) else level)
+
+
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", remove_bits: float = 0.5, generalise_bits: float = 1.0) -> DataFrame:
+    """(``digest``, ``terms``): for each text with disclosing terms, those terms and what stands in for them ('': nothing)."""
+    most = max(remove_bits, generalise_bits)
+    bits = lambda t, te: F.log2((F.col(t) + 1) / F.col(te))
+    seen = cut(found.select("digest", F.explode("mentions").alias("m")).select("digest", "m.entity", F.explode(F.array_distinct("m.near")).alias("term")).distinct())
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    # The texts with a term near any mention are no more than all its texts: a pair that fails by them fails by all.
+    around = seen.select("digest", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    pairs = cut(pairs.join(around, "term").filter(bits("least", "n_te") <= most).select("entity", "term", "n_te"))
     terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
-        return docs.sparkSession.createDataFrame([], "digest string, terms map<string,int>")
-    words = docs.select(F.md5(text_col).alias("digest"), F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"))).alias("term"))
+    words = docs.filter(F.length(text_col) > 0).select(F.md5(text_col).alias("digest"), F.explode(F.array_distinct(F.transform(F.split(text_col, r"[^\p{L}\p{N}]+"), F.lower))).alias("term"))
+    few = terms.count()
     # Up to a million terms of a mention's surroundings are some tens of MB; more join by shuffle.
-    placed = lambda few: words.join(F.broadcast(few) if n_terms <= 1_000_000 else few, "term")
-    counts = placed(terms).groupBy("term").agg(F.count("*").alias("n_t"))
-    left = F.log2(F.col("n_t") / F.col("n_te"))
-    ord = F.when(left <= remove_bits, len(KINDS)).when(left <= generalise_bits, len(KINDS) + 1)
-    flagged = cut(pairs.join(counts, "term").select("term", ord.alias("ord")).filter("ord is not null").groupBy("term").agg(F.min("ord").alias("ord")))
-    hits = placed(flagged).select("digest", "term", "ord").distinct()
-    return cut(hits.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "ord"))).alias("terms")))
+    places = cut(words.join(F.broadcast(terms) if few <= 1_000_000 else terms, "term").distinct()) if few else words.limit(0)
+    counts = places.groupBy("term").agg(F.count("*").alias("n_t"))
+    flagged = cut(pairs.join(counts, "term").withColumn("left", bits("n_t", "n_te")).filter(F.col("left") <= most).select("entity", "term", "left"))
+    instead = _instead(flagged, seen, remove_bits, generalise_bits)
+    hits = places.join(instead, "term").select("digest", "term", "instead")
+    return hits.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "instead"))).alias("terms"))
+
+
+def _instead(flagged: DataFrame, seen: DataFrame, remove_bits: float, generalise_bits: float) -> DataFrame:
+    """(``term``, ``instead``): its longest prefix that discloses none of its entities, with a star, or '' if all do or the term must go."""
+    level = F.explode(F.array(*[F.lit(x) for x in LEVELS]))
+    # Only prefixes of flagged terms are counted.
+    wanted = flagged.filter(F.col("left") > remove_bits).select("entity", "term", level.alias("level")).filter(F.length("term") > F.col("level")).withColumn("class", _prefix(F.col("term"), F.col("level")))
+    classes = seen.select("digest", "entity", "term", level.alias("level")).withColumn("class", _prefix(F.col("term"), F.col("level"))).select("digest", "entity", "level", "class").distinct()
+    alone = classes.groupBy("entity", "level", "class").agg(F.count("*").alias("n_ce"))
+    around = classes.select("digest", "level", "class").distinct().groupBy("level", "class").agg(F.count("*").alias("n_c"))
+    safe = wanted.join(alone, ["entity", "level", "class"]).join(around, ["level", "class"]).groupBy("term", "level", "class").agg(F.min(F.log2((F.col("n_c") + 1) / F.col("n_ce"))).alias("left"))
+    best = safe.filter(F.col("left") > generalise_bits).groupBy("term").agg(F.max_by("class", "level").alias("class"))
+    strongest = flagged.groupBy("term").agg(F.min("left").alias("left"))
+    covered = F.when(F.col("left") > remove_bits, F.concat(F.lit("["), "class", F.lit("*]")))
+    return strongest.join(best, "term", "left").select("term", F.coalesce(covered, F.lit("")).alias("instead"))
 
 
 def _terms(text: Column, base: Column, terms: Column) -> Column:
-    """The spans (start, ord, end) of all places of ``terms`` outside base spans."""
+    """(start, ord, end, instead) of all places of ``terms`` outside base spans."""
     words = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.map_contains_key(terms, F.lower(w))))
+    # Letters and digits only, so nothing needs quoting.
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    free = F.filter(_found(text, pattern), lambda t: ~F.exists(base, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
-    return F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.element_at(terms, F.lower(t["value"])).alias("ord"), t["end"].alias("end")))
+    free = _outside(_found(text, pattern), base)
+    stands = lambda t: F.element_at(terms, F.lower(t["value"]))
+    shaped = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.when(stands(t) == "", len(KINDS)).otherwise(len(KINDS) + 1).alias("ord"), t["end"].alias("end"), stands(t).alias("instead")))
+    return F.when(F.size(words) > 0, shaped)
+
+
+def _marked(docs: DataFrame, text_col: str, window: int, **thresholds: float) -> DataFrame:
+    """``docs`` with ``_pii_base`` and ``_pii_every``: base spans, and all spans with what stands in for them."""
+    found = find(docs, text_col, window)
+    hits = disclosing(docs, found, text_col, **thresholds)
+    marks = cut(found.select("digest", "base").join(hits, "digest", "full_outer").select(F.col("digest").alias("_pii_digest"), F.col("base").alias("_pii_base"), F.col("terms").alias("_pii_terms")))
+    text, none = F.col(text_col), F.expr(f"cast(array() as {SPANS})")
+    # The same join at every size: what is found grows with the input, so it is never broadcast. Null and empty texts
+    # have no mark; each has a key of its own, so that they aren't one hot key.
+    key = F.coalesce(F.when(F.length(text) > 0, F.md5(text)), F.concat(F.lit("-"), F.spark_partition_id().cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    rows = docs.withColumn("_pii_digest", key).join(marks.hint("merge"), "_pii_digest", "left").withColumn("_pii_base", F.coalesce("_pii_base", none))
+    masks = F.array(*[F.lit(MASK[k]) for k in KINDS])
+    base = F.transform("_pii_base", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), F.element_at(masks, s["ord"] + 1).alias("instead")))
+    terms = F.when(F.col("_pii_terms").isNotNull(), _terms(text, F.col("_pii_base"), F.col("_pii_terms")))
+    return rows.withColumn("_pii_every", F.array_sort(F.concat(base, F.coalesce(terms, F.expr("cast(array() as array<struct<start:int,ord:int,end:int,instead:string>>)"))))).drop("_pii_digest", "_pii_terms")
 
 
-def _marked(docs: DataFrame, hits: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``_base`` and ``_every``: base spans, and those with the disclosing terms' spans; null and empty texts pass by the join."""
-    short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end")))
-    text = F.col(text_col)
-    none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int>>)")
-    full = F.coalesce(F.length(text) > 0, F.lit(False))
-    # The same join at every size: what discloses grows with the input, so it is never broadcast.
-    rows = docs.filter(full).withColumn("_digest", F.md5(text)).join(hits.select(F.col("digest").alias("_digest"), F.col("terms").alias("_terms")).hint("merge"), "_digest", "left")
-    rows = rows.withColumn("_base", short(base_spans(text)))
-    rows = rows.withColumn("_every", F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", _terms(text, F.col("_base"), F.col("_terms"))))))
-    return rows.drop("_digest", "_terms").unionByName(docs.filter(~full).withColumn("_base", none).withColumn("_every", none))
+def _count(place: int) -> Column:
+    return F.size(F.filter("_pii_base", lambda s: s["ord"] == place)).cast("long")
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, **thresholds: float) -> DataFrame:
     """``doc_id`` and ``OUT`` of every row."""
-    hits = disclosing(docs, find(docs, id_col, text_col), text_col, **thresholds)
-    rows = _marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), hits, "text").withColumnRenamed("_base", "base")
+    rows = _marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", window, **thresholds)
     counts = [_count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("_every")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(listed(F.col("_pii_base")), 256).alias("base_sha256"), listed(F.col("_pii_every")).alias("spans"))
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its mask; overlapping spans become the first one's."""
-    masks = F.array(*[F.lit(MASK[k]) for k in KINDS + EXTRA])
+    """The text with each span replaced by its ``instead``; overlapping spans become the first one's."""
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        piece = F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(masks, s["ord"] + 1))
+        piece = F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["instead"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", window: int = 8, **thresholds: float) -> DataFrame:
     """``docs`` with personal data masked and disclosing terms removed or generalised; null texts stay null."""
-    hits = disclosing(docs, find(docs, id_col, text_col), text_col, **thresholds)
-    rows, text = _marked(docs, hits, text_col), F.col(text_col)
-    return rows.withColumn(text_col, F.when(F.size("_every") > 0, masked(text, F.col("_every"))).otherwise(text)).select(*docs.columns)
+    rows, text = _marked(docs, text_col, window, **thresholds), F.col(text_col)
+    return rows.withColumn(text_col, F.when(F.size("_pii_every") > 0, masked(text, F.col("_pii_every"))).otherwise(text)).select(*docs.columns)
