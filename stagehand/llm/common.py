@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
-import atexit
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,15 +36,49 @@ def scratch_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    The written table survives lost executors; it goes when the driver's JVM ends.
+    The written table survives lost executors; it goes by ``forget``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _at(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    MADE.append(path)
+    return out
+
+
+#: Paths of the tables written by ``cut`` and not yet deleted, oldest first.
+MADE: list[str] = []
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by ``cut`` that nothing still to be run reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._cut)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.delete(at, True)
+    if path in MADE:
+        MADE.remove(path)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes what ``cut`` made inside the block, but the tables put into the list that it gives."""
+    before, keep = set(MADE), []
+    yield keep
+    kept = {t._cut for t in keep}
+    for path in [p for p in MADE if p not in before and p not in kept]:
+        _delete(spark, path)
 
 
 def n_words(text: Column) -> Column:
