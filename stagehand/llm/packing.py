@@ -5,9 +5,11 @@ chooses the bucket boundaries with the least padding in all. Inside a bucket the
 rows stand in a shuffled, repeatable order and are cut into batches of as many rows
 as the token budget holds at the bucket's length.
 
-The histogram is exact up to 4096 tokens and has 2048 bins for each doubling above
-(a bin keeps its largest length, its rows and its tokens), so the driver gets some
-tens of thousands of rows however large the table is. Row positions in a bucket come
+The histogram has a row for each length that occurs, up to 2**20 tokens, and 2**19 bins
+for each doubling above (a bin keeps its largest length, its rows and its tokens), where
+the boundaries may add 2e-6 of a text's length to its padding. So the driver gets a row
+for each length, not for each text: some tens of thousands for texts of up to 20,000
+words, and a million or two however large the table and the texts are. Row positions in a bucket come
 from a sharded running count, so a bucket may hold any share of the rows.
 
 Defined cases: a null or empty text has the length 0 and goes to the first bucket;
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, n_words, order_key, running_total, shards_for
 
-EXACT_BITS = 12
+EXACT_BITS = 20
 OUT = ("n_tokens", "bucket", "bucket_len", "batch", "slot", "padding")
 
 
 def bin_of(length: Column) -> Column:
-    """The histogram bin: the length itself up to 2**12, then the 12 leading bits of it."""
+    """The histogram bin: the length itself up to 2**20, then its 20 leading bits."""
     bits = F.length(F.bin(length))
     step = F.greatest(bits - EXACT_BITS, F.lit(0))
     unit = F.pow(F.lit(2.0), step)
