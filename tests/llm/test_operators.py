@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stagehand.llm import html_extract, langid, media, mixing, packing, pii, quality, secrets, simhash, topk
+from stagehand.llm import langid, media, mixing, packing, pii, quality, secrets, simhash, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -164,14 +164,3 @@ def test_secrets():
     n_assign, n_access, n_hex, _, spans = secrets.describe(text, tokens)
     assert (n_assign, n_access, n_hex) == (1, 1, 1) and spans.count("random") == 1
     assert secrets.describe(None, tokens)[:3] == (0, 0, 0)
-
-
-def test_html(spark):
-    frame = "<html><head><title>t</title><script>var x='</p>';</script></head><body><nav><a>Menu</a></nav><div class='ad'>Buy</div>"
-    page = frame + "<article><h1>A &amp; B</h1><p><b>One\n two<br>three<p>Four</p><div id='comments'>nice</div></article><footer>f"
-    assert [t for t, _ in html_extract.blocks(page)] == ["A & B", "One two three", "Four"]
-    free = [(i, f"http://h/{i}", f"<body><div>Site name</div><p>Own {i}</p><div>End</div>") for i in range(3)]
-    rows = spark.createDataFrame([*free, (7, None, None), (8, "http://other/", page)], "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
-    assert got == {0: "Own 0", 1: "Own 1", 2: "Own 2", 7: "", 8: "A & B\nOne two three\nFour"}
-    assert html_extract.extract(rows.limit(0)).count() == 0

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from stagehand.llm import html_extract, langid, pii, secrets, simhash
+from stagehand.llm import langid, pii, secrets, simhash
 
 from .test_operators import docs
 
@@ -59,51 +59,6 @@ def test_only_letters_have_a_class():
     assert langid.features("\U00010400\U00020000", classes) is not None
 
 
-def test_html_frame_lines_inside_articles_go(spark):
-    page = "<article><div>Read this next</div><h1>Title {0}</h1><p>Own {0}</p><p>Quoted by all</p><ul><li>Print</li></ul></article>"
-    rows = spark.createDataFrame([(i, f"http://h/{i}", page.format(i)) for i in range(5)], "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
-    assert all(got[i] == f"Title {i}\nOwn {i}\nQuoted by all" for i in (1, 2, 3))
-
-
-def test_html_copies_keep_their_text(spark):
-    own = "".join(f"<p>Passage {i} of the main text</p>" for i in range(30))
-    body = "<body><div>Site name</div>{}<div>End</div>"
-    free = [(i, "http://h/a", body.format(own)) for i in range(3)] + [(3, "http://h/a", body.format(own + "<p>Added</p>")), (4, "http://h/b", body.format("<p>Other</p>"))]
-    free += [(i, "http://g/a", body.format(own)) for i in (5, 6)]
-    rows = spark.createDataFrame(free, "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
-    main = "\n".join(f"Passage {i} of the main text" for i in range(30))
-    assert [got[i] for i in range(5)] == [main, main, main, f"{main}\nAdded", "Other"]
-    assert main in got[5] and main in got[6]
-
-
-def test_html_large_hosts_and_long_pages(spark):
-    page = "<body><div>Site</div><div>Section {}</div><p>Own {}</p></body>"
-    free = [(s * 40 + i, f"http://h/{s:02}/{i:02}", page.format(s, s * 40 + i)) for s in range(8) for i in range(40)]
-    rows = spark.createDataFrame(free, "page_id long, url string, html string").repartition(5)
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
-    assert len(got) == 320 and all(got[i] == f"Own {i}" for i in got)
-    mine = [f"{i % 7}" if i % 2 else f"a{i}" for i in range(5000)]
-    other = [f"{i % 7}" if i % 3 else f"b{i}" for i in range(5000)]
-    rng = random.Random(3)
-    for a, b in [(mine, other), *(([rng.choice("abcd") for _ in range(30)], [rng.choice("abcd") for _ in range(30)]) for _ in range(30))]:
-        best = int(html_extract.prefix_lengths(a, b)[-1])
-        assert len(html_extract.shared(a, b)) == best
-        if len(a) == 30:
-            row = [0] * 31
-            for x in a:
-                row = _next_row(row, x, b)
-            assert row[-1] == best
-
-
-def _next_row(row, x, b):
-    new = [0]
-    for j, y in enumerate(b):
-        new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
-    return new
-
-
 def test_short_and_letters_only_secrets():
     tokens = secrets.encoder(open(secrets.VOCABULARY, "rb").read())
     found = lambda t: secrets.describe(t, tokens)[4]
