@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagehand.llm import langid, mixing, packing, pii, simhash
-from stagehand.llm.common import cut
+from stagehand.llm.common import cut, forget, swept
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with swept(spark) as keep:
+            docs = cut(stage(spark, docs, sf_dir))
+            keep.append(docs)
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
