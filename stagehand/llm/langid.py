@@ -39,6 +39,8 @@ FAMILIES = {
 UNI, BI, TRI = 64, 4096, 4096
 DIM = UNI + BI + TRI
 UND = "und"
+#: The square of a constant feature, which makes the bias.
+BIAS = 0.09
 CHUNK = 1 << 20
 
 
@@ -75,31 +77,31 @@ def features(text: str, classes: np.ndarray) -> np.ndarray | None:
     return (counts / np.linalg.norm(counts)).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine with squared hinge loss, classes weighted alike, by accelerated descent."""
-    kernel = x.astype(np.float64) @ x.T.astype(np.float64) + 0.09  # a constant feature of 0.3 is the bias
+def fit_svm(kernel: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300) -> np.ndarray:
+    """The rows' coefficients of a linear machine with squared hinge loss, classes weighted alike, by accelerated descent; the weights stay in the span of the rows."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    v = np.ones(len(x))
+    v = np.ones(len(y))
     for _ in range(15):
         v = weight * (kernel @ v)
         v /= np.linalg.norm(v)
     rate = 1 / (2 * np.linalg.norm(weight * (kernel @ v)) + penalty)
-    # The weights stay in the span of the rows, so the descent is on the rows' coefficients.
-    a, ahead, t = np.zeros(len(x)), np.zeros(len(x)), 1.0
+    a, ahead, t = np.zeros(len(y)), np.zeros(len(y)), 1.0
     for _ in range(steps):
         gradient = penalty * ahead - 2 * weight * y * np.maximum(0, 1 - y * (kernel @ ahead))
         new, next_t = ahead - rate * gradient, (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, a, t = new + (t - 1) / next_t * (new - a), new, next_t
-    return (a @ x).astype(np.float32), float(0.09 * a.sum())
+    return a
 
 
-def fit_pairs(x: np.ndarray, names: np.ndarray) -> tuple[list[str], list[tuple[int, int, np.ndarray, float]]]:
-    """One machine for each pair of names: positive for the first."""
-    every = sorted(set(names.tolist()))
+def fit_pairs(x: np.ndarray, kernel: np.ndarray, names: np.ndarray, rows: np.ndarray) -> tuple[list[str], list[tuple[int, int, np.ndarray, float]]]:
+    """One machine for each pair of names among ``rows``: positive for the first."""
+    every = sorted(set(names[rows].tolist()))
     machines = []
     for i, j in combinations(range(len(every)), 2):
-        chosen = (names == every[i]) | (names == every[j])
-        machines.append((i, j, *fit_svm(x[chosen], np.where(names[chosen] == every[i], 1.0, -1.0))))
+        chosen = rows[(names[rows] == every[i]) | (names[rows] == every[j])]
+        a = np.zeros(len(x), np.float32)
+        a[chosen] = fit_svm(kernel[np.ix_(chosen, chosen)].astype(np.float64), np.where(names[chosen] == every[i], 1.0, -1.0))
+        machines.append((i, j, a @ x, BIAS * float(a.sum())))
     return every, machines
 
 
@@ -123,8 +125,9 @@ class Model:
 
     def __init__(self, x: np.ndarray, languages: np.ndarray):
         groups = np.array([family(n) for n in languages.tolist()], dtype=object)
-        self.families = fit_pairs(x, groups) if len(x) else ([], [])
-        self.within = {g: fit_pairs(x[groups == g], languages[groups == g]) for g in self.families[0]}
+        kernel = x @ x.T + np.float32(BIAS)
+        self.families = fit_pairs(x, kernel, groups, np.arange(len(x))) if len(x) else ([], [])
+        self.within = {g: fit_pairs(x, kernel, languages, np.flatnonzero(groups == g)) for g in self.families[0]}
 
     def predict(self, text: str | None, classes: np.ndarray) -> tuple[str, float]:
         x = features(text, classes) if text and self.within else None
@@ -154,7 +157,9 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     x = np.zeros((len(sample), DIM), dtype=np.float32)
     for i, r in enumerate(sample):
         x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["value"], np.float32)
-    return Model(x, np.array([r["lang"] for r in sample], dtype=object))
+    languages = np.array([r["lang"] for r in sample], dtype=object)
+    del sample
+    return Model(x, languages)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
