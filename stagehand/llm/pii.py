@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, swept
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("removed", "generalised")
@@ -46,7 +46,7 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried; all but the first are parts of the pattern.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-TERM = r"[\p{L}\p{N}]+"
+TERM, APART = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 #: Up to ``window`` terms at the start of a text.
 OPENING = r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,%d}+"
 LEVELS = (3, 1)
@@ -55,19 +55,26 @@ OUT = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 SPANS = "array<struct<start:int,ord:int,end:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _found(text: Column, pattern: str | Column) -> Column:
     """Matches as an array of (start, end, value), in code points, end exclusive."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    pattern = F.lit(pattern)
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
+        start = acc["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def placed(values: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+        return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+    return _let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)
 
 
 def _luhn(digits: Column) -> Column:
@@ -121,24 +128,25 @@ def _outside(spans: Column, base: Column) -> Column:
 def _near(text: Column, span: Column, window: int) -> Column:
     """The ``window`` terms on either side of a span, as (start, end, term); a run of letters and digits that the span cuts is none."""
     run = r"[\p{L}\p{N}]"
-    left, right = F.reverse(F.substr(text, F.lit(1), span["start"])), F.substr(text, span["end"] + 1)
+    terms = lambda piece, shift: F.transform(_found(piece, TERM), lambda m: F.struct((m["start"] + shift).alias("start"), (m["end"] + shift).alias("end"), F.lower(m["value"]).alias("term")))
 
-    def opening(side: Column, cuts: Column) -> tuple[Column, Column]:
-        skip = F.when(cuts, F.length(F.regexp_extract(side, f"^{run}*+", 0))).otherwise(0)
-        return skip, F.regexp_extract(F.substr(side, skip + 1), OPENING % window, 0)
+    def opening(side: Column, cuts: Column, use) -> Column:
+        skip = lambda s: F.struct(s.alias("s"), F.when(cuts, F.length(F.regexp_extract(s, f"^{run}*+", 0))).otherwise(0).alias("k"))
+        piece = lambda v: F.struct(v["k"].alias("k"), F.regexp_extract(F.substr(v["s"], v["k"] + 1), OPENING % window, 0).alias("p"))
+        return _let(_let(_let(side, skip), piece), use)
 
-    def placed(piece: Column, shift: Column) -> Column:
-        return F.transform(_found(piece, TERM), lambda m: F.struct((m["start"] + shift).alias("start"), (m["end"] + shift).alias("end"), F.lower(m["value"]).alias("term")))
+    def before(v: Column) -> Column:
+        return _let(span["start"] - v["k"] - F.length(v["p"]), lambda shift: terms(F.reverse(v["p"]), shift))
 
-    skipped, before = opening(left, span["value"].rlike(f"^{run}"))
-    passed, after = opening(right, span["value"].rlike(f"{run}$"))
-    return F.concat(placed(F.reverse(before), span["start"] - skipped - F.length(before)), placed(after, span["end"] + passed))
+    left = opening(F.reverse(F.substr(text, F.lit(1), span["start"])), span["value"].rlike(f"^{run}"), before)
+    right = opening(F.substr(text, span["end"] + 1), span["value"].rlike(f"{run}$"), lambda v: terms(v["p"], span["end"] + v["k"]))
+    return F.concat(left, right)
 
 
 def find(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
-    """(``digest``, ``base``, ``mentions``) of every distinct text with base spans, written once.
+    """(``digest``, ``base``, ``mentions``, ``terms``) of every distinct text with base spans, written once.
 
-    A mention is its entity and the terms near it.
+    A mention is its entity and the terms near it; ``terms`` are all of the text's.
     """
     rows = docs.select(F.col(text_col).alias("text")).filter(F.length("text") > 0).withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
     mention = F.transform("base", lambda s: F.struct(
@@ -146,7 +154,8 @@ def find(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
         F.transform(_outside(_near(F.col("text"), s, window), F.col("base")), lambda t: t["term"]).alias("near"),
     ))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end")))
-    return cut(rows.select(F.md5("text").alias("digest"), base.alias("base"), mention.alias("mentions")).groupBy("digest").agg(F.first("base").alias("base"), F.first("mentions").alias("mentions")))
+    terms = F.array_distinct(F.transform(F.split("text", APART), F.lower))
+    return cut(rows.select(F.md5("text").alias("digest"), base.alias("base"), mention.alias("mentions"), terms.alias("terms")).dropDuplicates(["digest"]))
 
 
 def _prefix(term: Column, level: Column | int) -> Column:
@@ -159,11 +168,11 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", remove
     bits = lambda t, te: F.log2((F.col(t) + 1) / F.col(te))
     seen = cut(found.select("digest", F.explode("mentions").alias("m")).select("digest", "m.entity", F.explode(F.array_distinct("m.near")).alias("term")).distinct())
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    # The texts with a term near any mention are no more than all its texts: a pair that fails by them fails by all.
-    around = seen.select("digest", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    # The texts with a term and any mention are no more than all its texts: a pair that fails by them fails by all.
+    around = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
     pairs = cut(pairs.join(around, "term").filter(bits("least", "n_te") <= most).select("entity", "term", "n_te"))
     terms = pairs.select("term").distinct()
-    words = docs.filter(F.length(text_col) > 0).select(F.md5(text_col).alias("digest"), F.explode(F.array_distinct(F.transform(F.split(text_col, r"[^\p{L}\p{N}]+"), F.lower))).alias("term"))
+    words = docs.filter(F.length(text_col) > 0).select(F.md5(text_col).alias("digest"), F.explode(F.array_distinct(F.split(text_col, APART))).alias("term")).withColumn("term", F.lower("term"))
     few = terms.count()
     # Up to a million terms of a mention's surroundings are some tens of MB; more join by shuffle.
     places = cut(words.join(F.broadcast(terms) if few <= 1_000_000 else terms, "term").distinct()) if few else words.limit(0)
@@ -191,20 +200,21 @@ def _instead(flagged: DataFrame, seen: DataFrame, remove_bits: float, generalise
 
 def _terms(text: Column, base: Column, terms: Column) -> Column:
     """(start, ord, end, instead) of all places of ``terms`` outside base spans."""
-    words = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.map_contains_key(terms, F.lower(w))))
+    shaped = lambda t, instead: F.struct(t["start"].alias("start"), F.when(instead == "", len(KINDS)).otherwise(len(KINDS) + 1).alias("ord"), t["end"].alias("end"), instead.alias("instead"))
+    spans = lambda pattern: F.transform(_outside(_found(text, pattern), base), lambda t: shaped(t, F.element_at(terms, F.lower(t["value"]))))
     # Letters and digits only, so nothing needs quoting.
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    free = _outside(_found(text, pattern), base)
-    stands = lambda t: F.element_at(terms, F.lower(t["value"]))
-    shaped = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.when(stands(t) == "", len(KINDS)).otherwise(len(KINDS) + 1).alias("ord"), t["end"].alias("end"), stands(t).alias("instead")))
-    return F.when(F.size(words) > 0, shaped)
+    pattern = lambda words: F.when(F.size(words) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])")))
+    words = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.map_contains_key(terms, F.lower(w))))
+    return _let(_let(words, pattern), lambda p: F.when(p.isNotNull(), spans(p)))
 
 
 def _marked(docs: DataFrame, text_col: str, window: int, **thresholds: float) -> DataFrame:
     """``docs`` with ``_pii_base`` and ``_pii_every``: base spans, and all spans with what stands in for them."""
-    found = find(docs, text_col, window)
-    hits = disclosing(docs, found, text_col, **thresholds)
-    marks = cut(found.select("digest", "base").join(hits, "digest", "full_outer").select(F.col("digest").alias("_pii_digest"), F.col("base").alias("_pii_base"), F.col("terms").alias("_pii_terms")))
+    with swept(docs.sparkSession) as keep:
+        found = find(docs, text_col, window)
+        hits = disclosing(docs, found, text_col, **thresholds)
+        marks = cut(found.select("digest", "base").join(hits, "digest", "full_outer").select(F.col("digest").alias("_pii_digest"), F.col("base").alias("_pii_base"), F.col("terms").alias("_pii_terms")))
+        keep.append(marks)
     text, none = F.col(text_col), F.expr(f"cast(array() as {SPANS})")
     # The same join at every size: what is found grows with the input, so it is never broadcast. Null and empty texts
     # have no mark; each has a key of its own, so that they aren't one hot key.
