@@ -18,7 +18,7 @@ where there are more fingerprints, so that shards don't grow with the input.
 Keys by similarity (``similar_classes``): at a similarity of 0.8 some ten of 64 bits differ,
 at which a BK-tree prunes nothing and blocks are of no use. Shards are bands of minima of
 permuted shingle hashes instead, wider and more of them as the input grows; the trees hold
-fingerprints of 256 bits, and what they propose is verified by the exact similarity of
+fingerprints of 256 bits, and what they find is verified by the exact similarity of
 the shingle sets.
 
 Hot shards, of over ``tile`` fingerprints, are not searched pair by pair. Their members are
@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, combinations, repeat
+from itertools import accumulate, combinations, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, forget
+from .common import cut, forget, swept
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = 1 << 15
@@ -139,15 +139,15 @@ class BKTree:
                 if len(group) > 1:
                     todo.append((int(group[0]), group[1:]))
 
-    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Yields (node, positions of the queries within the radius of it); all queries descend together."""
+    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Yields (node, positions of the queries within the radius of it, their distances); all queries descend together."""
         todo = [(0, np.arange(len(queries)))] if len(self.values) else []
         while todo:
             node, active = todo.pop()
             distance = hamming(queries[active], self.values[node])
-            near = active[distance <= radius]
+            near = np.flatnonzero(distance <= radius)
             if len(near):
-                yield node, near
+                yield node, active[near], distance[near]
             for d, child in self.children[node]:
                 follow = active[np.abs(distance - d) <= radius]
                 if len(follow):
@@ -157,17 +157,17 @@ class BKTree:
 Pairs = list[tuple[int, int]]
 
 
-def near_pairs(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(node, others) by place: those of ``right`` within the radius of each of ``left``, from a BK-tree of ``left``."""
-    for node, near in BKTree(values[left]).search(values[right], radius):
-        yield int(left[node]), right[near]
+def near_pairs(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(node, others, distances) by place: those of ``right`` within the radius of each of ``left``, from a BK-tree of ``left``."""
+    for node, near, distance in BKTree(values[left]).search(values[right], radius):
+        yield int(left[node]), right[near], distance
 
 
 def forest(ids: np.ndarray, values: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> Pairs:
     """A spanning forest, as (id, smallest id of its part), of the links between ``left`` and ``right``; rows of one label are one already."""
     label = np.unique(label, return_inverse=True)[1]
     first = label.copy()
-    for node, near in near_pairs(values, left, right, radius):
+    for node, near, _ in near_pairs(values, left, right, radius):
         found = label[near]
         if (found != label[node]).any():
             parts = np.unique(np.append(found, label[node]))
@@ -183,20 +183,50 @@ def forest(ids: np.ndarray, values: np.ndarray, label: np.ndarray, left: np.ndar
     return out
 
 
-def proposals(ids: np.ndarray, values: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, sure: int) -> Pairs:
-    """Pairs to verify: a spanning forest of the pairs within ``sure``, and all within ``radius`` between its parts; none of one label."""
-    part, out, met = np.unique(label, return_inverse=True)[1], [], []
-    for node, near in near_pairs(values, left, right, radius):
-        near = near[part[near] != part[node]]
-        distance = hamming(values[near], values[node])
-        met.append((node, near[distance > sure]))
-        close = near[distance <= sure]
-        parts, first = np.unique(part[close], return_index=True)
-        if len(parts):
-            out += [(int(ids[node]), int(ids[x])) for x in close[first]]
-            part[np.isin(part, parts)] = part[node]
-    for node, near in met:
-        out += [(int(ids[node]), int(ids[x])) for x in near[part[near] != part[node]]]
+def nearest_first(ids: np.ndarray, values: np.ndarray, radius: int) -> Pairs:
+    """Pairs to verify: a spanning forest of the pairs within the radius, of the least distances in all (Prim)."""
+    n, far = len(ids), radius + 1
+    every = np.arange(n)
+    distance = np.full((n, n), far, np.int16)
+    for node, near, d in near_pairs(values, every, every, radius):
+        distance[node, near] = d
+    np.fill_diagonal(distance, far)
+    out: Pairs = []
+    left, best, to = np.ones(n, bool), np.full(n, far, np.int16), np.zeros(n, np.int64)
+    for _ in range(n):
+        at = int(np.where(left, best, far + 1).argmin())
+        if best[at] < far:
+            out.append((int(ids[at]), int(ids[to[at]])))
+        left[at] = False
+        nearer = distance[at] < best
+        best[nearer], to[nearer] = distance[at][nearer], at
+    return out
+
+
+def alike(mine: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets ``others`` have a Jaccard similarity of ``similarity`` or more to the sorted set ``mine``; none is empty."""
+    sizes = np.array([len(x) for x in others])
+    joined = np.concatenate(others)
+    at = np.minimum(np.searchsorted(mine, joined), len(mine) - 1)
+    both = np.add.reduceat((mine[at] == joined).astype(np.int64), np.append(0, np.cumsum(sizes)[:-1]))
+    return both >= similarity * (len(mine) + sizes - both)
+
+
+def exact_links(mask: int, ids: np.ndarray, values: np.ndarray, label: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, radius: int, similarity: float) -> Pairs:
+    """A spanning forest of the exact links between ``left`` and ``right``; rows of one label are one already. A pair of several bands is tested in the first of them."""
+    part, out = np.unique(label, return_inverse=True)[1], []
+    sizes = np.array([len(x) for x in sets])
+    for node, near, distance in near_pairs(values, left, right, radius):
+        low, high = np.minimum(sizes[near], sizes[node]), np.maximum(sizes[near], sizes[node])
+        todo = near[np.argsort(distance, kind="stable")]
+        fits = (low > 0) & (low >= similarity * high) & ((keys[near] == keys[node]).argmax(axis=1) == mask)
+        todo = todo[fits[np.argsort(distance, kind="stable")]]
+        while len(todo := todo[part[todo] != part[node]]):
+            now, todo = todo[:64], todo[64:]
+            for x in now[alike(sets[node], [sets[x] for x in now], similarity)]:
+                if part[x] != part[node]:
+                    out.append((int(ids[node]), int(ids[x])))
+                    part[part == part[x]] = part[node]
     return out
 
 
@@ -252,6 +282,7 @@ def band_keys(hashes: np.ndarray, bands: int, wide: int) -> np.ndarray:
 
 
 DEALT = ("mask", "key", "i", "j", "left", "right", "fp", "label", "bits")
+GROUP = DEALT[:4]
 PIVOTS = 16
 
 
@@ -309,10 +340,9 @@ def second_round(keyed: DataFrame, shards: DataFrame, n_shards: int, classes: Da
     return shape(others, True).unionByName(shape(every, False))
 
 
-def searched(dealt: DataFrame, radius: int, sure: int | None, pivots: bool) -> DataFrame:
-    """(``mask``, ``key``, ``a``, ``b``), a > b: links in each group of ``dealt``, or pairs to verify if ``sure`` is given."""
-    group = ("mask", "key", "i", "j")
-    dealt = dealt.select(*DEALT).repartition(*group).sortWithinPartitions(*group)
+def searched(dealt: DataFrame, radius: int, exact: bool) -> DataFrame:
+    """(``mask``, ``key``, ``a``, ``b``), a > b: a forest of the links in each group of ``dealt``, or, if a link is only ``exact`` once verified, the nearest pairs to verify."""
+    dealt = dealt.select(*DEALT).repartition(*GROUP).sortWithinPartitions(*GROUP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, values = None, None
@@ -334,14 +364,14 @@ def searched(dealt: DataFrame, radius: int, sure: int | None, pivots: bool) -> D
         out: list[np.ndarray] = []
         for at in np.flatnonzero(np.diff(bounds) > 1):
             part = slice(bounds[at], bounds[at + 1])
-            ids, label, own = rows[6, part], rows[7, part], values[part]
+            ids, own = rows[6, part], values[part]
             left, right = np.flatnonzero(rows[4, part]), np.flatnonzero(rows[5, part])
-            if sure is None:
-                found = forest(ids, own, label, left, right, radius)
-            elif pivots and rows[3, bounds[at]]:
+            if not exact:
+                found = forest(ids, own, rows[7, part], left, right, radius)
+            elif rows[3, bounds[at]]:
                 found = nearest_pivots(ids, own, left, right, radius) if len(left) else []
             else:
-                found = proposals(ids, own, label, left, right, radius, sure)
+                found = nearest_first(ids, own, radius)
             found = list({(max(p), min(p)) for p in found if p[0] != p[1]})
             if found:
                 pairs = np.array(found, dtype=np.int64)
@@ -352,14 +382,33 @@ def searched(dealt: DataFrame, radius: int, sure: int | None, pivots: bool) -> D
     return dealt.mapInArrow(run, "mask int, key long, a long, b long")
 
 
+def searched_exactly(dealt: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(``a``, ``b``), a > b: forests of the exact links in each group of ``dealt``, which has ``keys`` and ``hashes``, the sets, too."""
+    dealt = dealt.select(*DEALT, "keys", "hashes").repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows in groupby((r for b in batches for r in zip(*(c.to_pylist() if i < 10 else map(_longs, c) for i, c in enumerate(b.columns)))), key=lambda r: r[:4]):
+            left, right, ids, label, bits, keys, sets = zip(*(r[4:] for r in rows))
+            values = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+            found = exact_links(group[0], np.array(ids), values, np.array(label), np.array(keys), list(sets), np.flatnonzero(left), np.flatnonzero(right), radius, similarity)
+            a, b = zip(*((max(p), min(p)) for p in found)) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _longs(one: pa.ListScalar) -> np.ndarray:
+    return one.values.to_numpy()
+
+
 def links(keyed: DataFrame, radius: int, tile: int = 1024) -> DataFrame:
     """(``a``, ``b``), a > b: forests over all links of fingerprints that share a shard."""
     hot, n_hot = hot_shards(keyed, tile)
-    found = searched(first_round(keyed, hot, n_hot), radius, None, True).select("a", "b").distinct()
+    found = searched(first_round(keyed, hot, n_hot), radius, False).select("a", "b").distinct()
     if not n_hot:
         return found
     found = cut(found)
-    return found.unionByName(searched(second_round(keyed, hot, n_hot, stars(found), tile), radius, None, False).select("a", "b").distinct())
+    return found.unionByName(searched(second_round(keyed, hot, n_hot, stars(found), tile), radius, False).select("a", "b").distinct())
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -396,36 +445,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     6, 35 at 7, 70 at 8); by default as many as the distinct fingerprints need.
     """
     marked = cut(fingerprints(docs, id_col, text_col, words))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    keyed = keyed_by_blocks(distinct, radius, blocks or blocks_for(distinct.count(), radius))
-    rooted = cut(stars(links(keyed, radius, tile)))
-    members = rooted.union(rooted.select("root", "root").distinct()).join(distinct, F.col("node") == F.col("fp")).select("node", "root", "least")
-    least = cut(members.groupBy("root").agg(F.min("least").alias("component_id")))
-    found = cut(members.join(least, "root").select(F.col("node").alias("fp"), "component_id"))
-    known = cut(distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    with swept(docs.sparkSession) as keep:
+        distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        keyed = keyed_by_blocks(distinct, radius, blocks or blocks_for(distinct.count(), radius))
+        rooted = cut(stars(links(keyed, radius, tile)))
+        members = rooted.union(rooted.select("root", "root").distinct()).join(distinct, F.col("node") == F.col("fp")).select("node", "root", "least")
+        least = cut(members.groupBy("root").agg(F.min("least").alias("component_id")))
+        found = cut(members.join(least, "root").select(F.col("node").alias("fp"), "component_id"))
+        known = cut(distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+        keep.append(known)
     # A fingerprint of many rows makes this side alone skewed, and the join splits it.
     out = marked.join(known, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The (``a``, ``b``) whose shingle sets have a Jaccard similarity of ``similarity`` or more, written; ``texts`` has (``fp``, ``text``)."""
+def shingle_sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(``fp``, ``hashes``), written: the sorted shingle set of each of ``nodes`` (``fp``); ``texts`` has (``fp``, ``text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), words).view(np.int64) for t in b.column(1)]
+            sets = [np.sort(shingle_set(t.as_py(), words).view(np.int64)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "hashes"])
 
-    pairs = cut(pairs.select("a", "b").distinct())
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    nodes = cut(nodes.distinct())
     # Up to a million nodes are 8 MB.
     chosen = texts.join(F.broadcast(nodes) if nodes.count() <= 1_000_000 else nodes, "fp").groupBy("fp").agg(F.first("text").alias("text"))
-    sets = cut(chosen.mapInArrow(run, "fp long, hashes array<long>"))
+    return cut(chosen.mapInArrow(run, "fp long, hashes array<long>"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The (``a``, ``b``) whose shingle sets have a Jaccard similarity of ``similarity`` or more, written; ``texts`` has (``fp``, ``text``)."""
+    pairs = cut(pairs.select("a", "b").distinct())
+    sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")), texts, words)
     side = lambda n: sets.select(F.col("fp").alias(n), F.col("hashes").alias(f"_{n}")).hint("merge")
     both = F.size(F.array_intersect("_a", "_b"))
-    out = cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(both >= similarity * (F.size("_a") + F.size("_b") - both)).select("a", "b"))
-    forget(nodes, sets, pairs)
-    return out
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(both >= similarity * (F.size("_a") + F.size("_b") - both)).select("a", "b"))
 
 
 def measured(docs: DataFrame, text_col: str, words: int, similarity: float, rows: int) -> DataFrame:
@@ -454,21 +508,21 @@ LANES = 4
 def roots(marked: DataFrame, text_col: str, words: int, similarity: float, tile: int) -> DataFrame:
     """(``_nd_fp``, ``_nd_root``) of every long fingerprint of ``measured`` rows that has a similar one."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = 3 * math.sqrt(64 * LANES * share * (1 - share))
-    radius, sure = round(64 * LANES * share + spread), round(64 * LANES * share - spread)
+    radius = round(64 * LANES * share + 3 * math.sqrt(64 * LANES * share * (1 - share)))
     distinct = cut(marked.groupBy(F.col("_nd_fp").alias("fp")).agg(F.first("_nd_bits").alias("bits"), F.first("_nd_keys").alias("keys")))
     keyed = distinct.select("fp", "bits", F.posexplode("keys").alias("mask", "key"))
     texts = marked.select(F.col("_nd_fp").alias("fp"), F.col(text_col).alias("text"))
     hot, n_hot = hot_shards(keyed, tile)
-    proposed = cut(searched(first_round(keyed, hot, n_hot), radius, sure, True))
+    proposed = cut(searched(first_round(keyed, hot, n_hot), radius, True))
     good = verified(proposed, texts, words, similarity)
-    # A pair that failed may have stood for others of its shard.
+    # A pair that failed stood for others of its shard.
     failed = proposed.join(good, ["a", "b"], "left_anti").select("mask", "key")
     again = cut(failed.union(hot.select("mask", "key")).distinct())
     n_again = again.count()
     if n_again:
-        rest = searched(second_round(keyed, again, n_again, cut(stars(good)), tile), radius, sure, False)
-        good = good.unionByName(verified(rest, texts, words, similarity))
+        dealt = cut(second_round(keyed, again, n_again, cut(stars(good)), min(tile, 256)))
+        sets = shingle_sets(dealt.select("fp"), texts, words)
+        good = good.unionByName(searched_exactly(dealt.join(sets.hint("merge"), "fp").join(distinct.select("fp", "keys").hint("merge"), "fp"), radius, similarity))
     rooted = stars(good)
     return rooted.union(rooted.select("root", "root").distinct()).toDF("_nd_fp", "_nd_root")
 
@@ -479,14 +533,16 @@ def similar_classes(docs: DataFrame, text_col: str = "text", words: int = 5, sim
     A pair at the threshold shares a band with a probability of 0.997 at least. Two sets of
     similarity J have, at equal sizes, the cosine 2J / (1 + J), and a bit differs with the
     probability angle / pi; pairs within that share of the bits plus three standard deviations
-    are proposed. Those below the share less three are nearly sure, so of them a spanning
-    forest is enough; where one of them fails, all pairs of its shard are proposed. Texts of
-    equal long fingerprints are one node.
+    count as near. Of each shard's near pairs a spanning forest, nearest first, is verified.
+    Where a pair of it fails, and in hot shards, every near pair of different classes of the
+    shard is tested exactly, where the members outside its largest class meet all others; only links
+    leave the task. Texts of equal long fingerprints are one node.
     """
     marked = measured(docs, text_col, words, similarity, docs.count())
-    rooted = cut(roots(marked, text_col, words, similarity, tile))
-    rows = marked.select("_nd_row", "_nd_fp").join(rooted, "_nd_fp", "left").select("_nd_row", F.coalesce("_nd_root", "_nd_fp").alias("_nd_root"))
-    return marked.drop("_nd_bits", "_nd_keys"), rows
+    with swept(docs.sparkSession) as keep:
+        rooted = cut(roots(marked, text_col, words, similarity, tile))
+        keep.append(rooted)
+    return marked, marked.select("_nd_row", "_nd_fp").join(rooted, "_nd_fp", "left").select("_nd_row", F.coalesce("_nd_root", "_nd_fp").alias("_nd_root"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
