@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stagehand.functions.columns import let
+
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 MONTH = "(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec)"
 
@@ -13,11 +15,6 @@ def _month(name: Column) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(F.lower(name), 1, 3)), F.lit(0)).cast("int")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once and named, so that the expression doesn't grow with its uses."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _date(year: Column, month: Column, day: Column) -> Column:
     return F.concat(year.cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
 
@@ -26,8 +23,8 @@ def parse_range(text: Column, as_of: Column, default_year: Column | None = None)
     """A struct (first_date, last_date), both null if no range is found.
 
     The start takes the first year named, the end the last; an end before the start moves a
-    year on if both years are equal. Days without a month take the last month named. A lone
-    month is all of it; after "until" the start is ``as_of``, or the end if that is past.
+    year on if both years are equal. Days without a month take the last month named. A month
+    alone counts with a year or after "until" and is all of it; after "until" the start is ``as_of``, or the end if that is past.
     """
     lower = F.lower(F.coalesce(text, F.lit("")))
     years = F.regexp_extract_all(lower, F.lit(r"\b(20\d\d)\b"), F.lit(1))
@@ -45,11 +42,12 @@ def parse_range(text: Column, as_of: Column, default_year: Column | None = None)
         return shape(F.zip_with(found(d), found(m), lambda x, y: F.struct(x.alias("d"), y.alias("m"))))
 
     def read(plain: Column) -> Column:
-        lone = _month(F.nullif(F.regexp_extract(plain, rf"\b({MONTH})\b", 1), F.lit("")))
+        named = F.coalesce(F.nullif(F.regexp_extract(lower, rf"\buntil\s+({MONTH})\b", 1), F.lit("")), F.nullif(F.regexp_extract(lower, rf"\b({MONTH})\s+20\d\d\b", 1), F.lit("")))
+        lone = _month(named)
         forward, turned = pairs(plain, day_first, 1, 2), pairs(plain, month_first, 2, 1)
         choose = lambda v: F.when(F.exists(v["f"], lambda p: p["m"].isNotNull()) | (F.size(v["t"]) == 0), v["f"]).otherwise(v["t"])
-        used = _let(F.struct(forward.alias("f"), turned.alias("t")), choose)
-        return _let(F.struct(used.alias("used"), lone.alias("lone"), first_year.alias("y1"), last_year.alias("y2")), dated)
+        used = let(F.struct(forward.alias("f"), turned.alias("t")), choose)
+        return let(F.struct(used.alias("used"), lone.alias("lone"), first_year.alias("y1"), last_year.alias("y2")), dated)
 
     def dated(v: Column) -> Column:
         used = v["used"]
@@ -62,14 +60,14 @@ def parse_range(text: Column, as_of: Column, default_year: Column | None = None)
             F.when(F.size(used) > 0, ends(v["y2"])).otherwise(F.last_day(_date(v["y2"], v["lone"], F.lit(1)))).alias("b"),
             ends(v["y2"] + 1).alias("c"), (v["y1"] == v["y2"]).alias("same"),
         )
-        return _let(some, lambda d: F.struct(d["a"].alias("a"), F.when((d["b"] < d["a"]) & d["same"], d["c"]).otherwise(d["b"]).alias("b")))
+        return let(some, lambda d: F.struct(d["a"].alias("a"), F.when((d["b"] < d["a"]) & d["same"], d["c"]).otherwise(d["b"]).alias("b")))
 
     def finish(d: Column) -> Column:
         first = F.when(lower.rlike(r"\buntil\b"), F.least(as_of, d["b"])).otherwise(d["a"])
         good = d["a"].isNotNull() & d["b"].isNotNull()
         return F.struct(F.when(good, first).alias("first_date"), F.when(good, d["b"]).alias("last_date"))
 
-    return _let(_let(plain, read), finish)
+    return let(let(plain, read), finish)
 
 
 def iso_day(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -71,14 +72,63 @@ def tree(page: str) -> Node:
 
 
 TOKEN = re.compile(r"""\s*([>,])\s*|(\s+)|([\w-]+|\*)|\.([\w-]+)|\#([\w-]+)|\[\s*([\w:-]+)\s*(?:([*^$~]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]""")
+PSEUDO = re.compile(r":([\w-]+)")
 COMPARE = {"=": str.__eq__, "*=": str.__contains__, "^=": str.startswith, "$=": str.endswith, "~=": lambda a, b: b in a.split()}
 
 
+def _argument(text: str, at: int) -> tuple[str | None, int]:
+    """What stands in the parentheses at ``at``, and where they end; None without any."""
+    if text[at : at + 1] != "(":
+        return None, at
+    depth, quote = 0, ""
+    for i in range(at, len(text)):
+        c = text[i]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth:
+                return text[at + 1 : i], i + 1
+    raise ValueError(f"selector not closed: {text!r}")
+
+
+def _place(node: Node, last: bool) -> int:
+    """Which of its parent's children of its tag a node is, from 1, or from the last."""
+    same = [n for n in node.parent.inside if isinstance(n, Node) and n.tag == node.tag] if node.parent else [node]
+    at = next(i for i, n in enumerate(same) if n is node)
+    return len(same) - at if last else at + 1
+
+
+def _pseudo(name: str, argument: str | None):
+    """A test of a node for a pseudo-class."""
+    if name in ("first-of-type", "last-of-type") and argument is None:
+        return lambda node: _place(node, name.startswith("last")) == 1
+    if name in ("nth-of-type", "nth-last-of-type") and (argument or "").strip().isdigit():
+        number = int(argument)
+        return lambda node: _place(node, "last" in name) == number
+    if name == "not" and argument:
+        ways = compiled(argument)
+        return lambda node: not any(_matches(node, w) for w in ways)
+    if name == "has" and argument:
+        ways = compiled(argument)
+        return lambda node: any(_matches(n, w) for n in node.below() for w in ways)
+    if name in ("-soup-contains", "contains") and argument:
+        texts = [a or b for a, b in re.findall(r"\"([^\"]*)\"|'([^']*)'", argument)] or [argument.strip()]
+        return lambda node: any(t in node.text() for t in texts)
+    raise ValueError(f"pseudo-class not supported: {name}")
+
+
 def compiled(selector: str) -> list[list[tuple[str, list]]]:
-    """Alternatives; each is steps (combinator, tests). Raises for what isn't supported, such as pseudo-classes."""
+    """Alternatives; each is steps (combinator, tests). Raises for what isn't supported."""
     out: list[list[tuple[str, list]]] = [[("", [])]]
     at, text = 0, selector.strip()
     while at < len(text):
+        if m := PSEUDO.match(text, at):
+            argument, at = _argument(text, m.end())
+            out[-1][-1][1].append(("pseudo", _pseudo(m.group(1), argument), ""))
+            continue
         m = TOKEN.match(text, at)
         if m is None or m.end() == at:
             raise ValueError(f"selector not supported: {selector!r}")
@@ -97,7 +147,10 @@ def compiled(selector: str) -> list[list[tuple[str, list]]]:
 
 def _fits(node: Node, tests: list) -> bool:
     for kind, name, value in tests:
-        if kind == "tag":
+        if kind == "pseudo":
+            if not name(node):
+                return False
+        elif kind == "tag":
             if name not in ("*", node.tag):
                 return False
         elif name not in node.attrs or (kind != "has" and not COMPARE[kind](node.attrs[name], value)):
@@ -120,6 +173,10 @@ def _matches(node: Node, steps: list) -> bool:
 
 
 def select(node: Node, selector: str) -> list[Node]:
-    """Nodes inside that fit, in page order."""
-    ways = compiled(selector)
+    """Nodes inside that fit, in page order; none for a selector that isn't supported, so that it stops one venue and not the job."""
+    try:
+        ways = compiled(selector)
+    except ValueError as e:
+        logging.getLogger(__name__).warning("%s", e)
+        return []
     return [n for n in node.below() if any(_matches(n, w) for w in ways)]

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import html
+import logging
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stagehand.functions.columns import filled, let, squeeze, strip
 
 #: English stopwords that tell the language of a copy.
-STOPWORDS = "the and of to in a is with for on by from at this that it as are an be his her their".split()
+STOPWORDS = (
+    "the and for from into with this that these those of on to is are was were been being not nor than then too very first "
+    "can will just about you they she his her our their"
+).split()
 NON_LATIN, LETTERS, WORDS_LEAST, STOP_LEAST = 0.35, 30, 20, 2
 
 
@@ -26,13 +37,23 @@ def slug_match(a: Column, b: Column) -> Column:
 
 
 def is_english(text: Column) -> Column:
-    """Mostly Latin letters and, from 20 words, at least two distinct stopwords."""
-    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
-    latin = F.length(F.regexp_replace(text, r"\P{IsLatin}+", ""))
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    stops = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in STOPWORDS])))
-    foreign = (letters >= LETTERS) & ((letters - latin) / letters >= NON_LATIN)
-    return F.when(foreign, False).when(F.size(words) < WORDS_LEAST, True).otherwise(stops >= STOP_LEAST)
+    """Mostly Latin letters and, from 20 words, at least two distinct stopwords.
+
+    Each part stops at what decides it: letters are counted only if one isn't Latin, words up
+    to the twentieth, stopwords up to the second.
+    """
+    stop = rf"(?<!\p{{L}})({'|'.join(STOPWORDS)})(?!\p{{L}})"
+    two = rf"(?is){stop}.*?(?<!\p{{L}})(?!\1(?!\p{{L}}))(?:{'|'.join(STOPWORDS)})(?!\p{{L}})"
+    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    foreign = F.regexp_count(text, F.lit(r"[\p{L}&&\P{IsLatin}]"))
+    strange = F.when(text.rlike(r"[\p{L}&&\P{IsLatin}]"), (letters >= LETTERS) & (foreign / letters >= NON_LATIN)).otherwise(False)
+    short = ~text.rlike(rf"^\P{{L}}*+(?:\p{{L}}++\P{{L}}++){{{WORDS_LEAST - 1}}}\p{{L}}")
+    return F.when(strange, False).when(short, True).otherwise(text.rlike(two))
+
+
+def listing_copy(*parts: Column) -> Column:
+    """Title, byline and description in one text, without the missing ones."""
+    return F.array_join(F.filter(F.array(*parts), filled), " ")
 
 
 def compact(text: Column, limit: int = 400) -> Column:
@@ -42,7 +63,21 @@ def compact(text: Column, limit: int = 400) -> Column:
 
 def clean_spaces(text: Column) -> Column:
     """A missing space after a sentence end put in, runs of white space as one, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"([.!?])(?=\p{Lu})", "$1 "), r"\s+", " "))
+    return squeeze(F.regexp_replace(text, r"([.!?])(?=[A-Z\u201c])", "$1 "))
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Character references decoded, those that feeds escaped twice too; no built-in does that."""
+    def once(text: str) -> str:
+        return html.unescape(text) if "&" in text else text
+
+    return texts.map(lambda t: once(once(t)), na_action="ignore")
+
+
+def clean_text(text: Column) -> Column:
+    """``clean_spaces`` of the decoded text; null becomes empty."""
+    return clean_spaces(unescaped(F.coalesce(text, F.lit(""))))
 
 
 def paragraphs(text: Column, least: int = 50) -> Column:
@@ -51,51 +86,110 @@ def paragraphs(text: Column, least: int = 50) -> Column:
     return F.filter(kept, lambda p, i: (i == 0) | (p != F.get(kept, i - 1)))
 
 
-def is_epigraph(text: Column) -> Column:
-    """Short, and in the first person or without a sentence end."""
-    return (F.length(text) <= 170) & (text.rlike(r"^(?:I|My|We|Our)\b") | ~text.rlike(r"[.?!]$"))
+def blocks(text: Column) -> Column:
+    """The paragraphs of a copy: stripped, separated by empty lines, none empty."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), strip), lambda p: p != "")
+
+
+#: How dialogue in front of a copy begins.
+FIRST_PERSON = "^(?:I|I'm|I\u2019m|I've|I\u2019ve|We|We're|My)\\b"
+
+
+def is_epigraph(text: Column, limit: int = 170) -> Column:
+    """Up to ``limit`` characters, and in the first person or without a sentence end."""
+    return let(squeeze(F.coalesce(text, F.lit(""))), lambda t: (t != "") & (F.length(t) <= limit) & (t.rlike(FIRST_PERSON) | ~t.rlike("[.?!]$")))
 
 
 def is_truncated(title: Column) -> Column:
-    return F.rtrim(title).rlike(r"(?:…|\.\.\.)$")
+    return F.coalesce(title, F.lit("")).rlike(r"(?:\u2026|\.\.\.)\s*$")
 
 
 def is_full_synopsis(text: Column) -> Column:
-    """Not cut off, and two paragraphs of 40 characters or 280 in all."""
-    long = F.size(F.filter(F.split(text, r"\n+"), lambda p: F.length(F.trim(p)) >= 40)) >= 2
-    return ~text.rlike(r"hellip|…\s*$") & (long | (F.length(text) >= 280))
+    """Not cut off, and two paragraphs of 40 characters or 280 characters in all."""
+    long = F.size(F.filter(blocks(text), lambda p: F.length(p) >= 40)) >= 2
+    return F.coalesce((text != "") & ~F.lower(text).contains("hellip") & ~text.rlike(r"(?U)\u2026\s*$") & (long | (F.length(text) >= 280)), F.lit(False))
 
 
 def echoes_title(text: Column, title: Column) -> Column:
-    """A short text that is mostly the title."""
-    return (F.length(text) <= 140) & (F.length(title) >= 8) & F.contains(F.lower(text), F.lower(title)) & (F.length(title) / F.length(text) > 0.5)
+    """Up to 140 characters that are mostly the title, which has eight or more."""
+    def told(v: Column) -> Column:
+        t, name = v["t"], v["n"]
+        return (F.length(t) <= 140) & (F.length(name) >= 8) & F.contains(F.lower(t), F.lower(name)) & (F.length(name) / F.length(t) > 0.5)
+
+    return let(F.struct(squeeze(F.coalesce(text, F.lit(""))).alias("t"), squeeze(F.coalesce(title, F.lit(""))).alias("n")), told)
+
+
+def looks_like_title(text: Column, start: Column) -> Column:
+    """3 to 120 characters, neither a date (``start`` is the one read from it), nor times alone, nor a label of links."""
+    t = strip(F.coalesce(text, F.lit("")))
+    return F.length(t).between(3, 120) & start.isNull() & ~t.rlike(TIME_ONLY) & ~t.rlike(NO_TITLE)
+
+
+#: Times of the day alone, and texts of headings that are no titles.
+TIME_ONLY = r"(?i)^\d{1,2}(?:[.:]\d{2})?\s*(?:am|pm)(?:\s*[&+,]\s*\d{1,2}(?:[.:]\d{2})?\s*(?:am|pm))*$"
+NO_TITLE = r"(?i)^(?:book now|tickets?|more info|read more|buy now|dates?|until|what'?s on|upcoming|your visit|about us|buy tickets|(?:spring|summer|autumn|winter|fall)\s+20\d{2})$"
+
+
+def og_for_show(og: Column, title: Column) -> Column:
+    """A page's meta description, or null if it doesn't name a title of eight characters or more."""
+    name = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    return F.when(filled(og) & ((F.length(name) < 8) | F.contains(F.lower(og), name)), og)
+
 
+def pick_description(*candidates: Column) -> Column:
+    """The longest candidate, the first of equals; full synopses come before all others. Null if all are empty."""
+    viable = F.filter(F.transform(F.array(*candidates), strip), filled)
+    full = lambda v: F.filter(v, is_full_synopsis)
 
-def sentences(text: Column) -> Column:
-    return F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?<=[.!?]) "), lambda s: F.length(s) > 0)
+    def longest(pool: Column) -> Column:
+        return F.aggregate(pool, F.lit(None).cast("string"), lambda best, c: F.when(best.isNull() | (F.length(c) > F.length(best)), c).otherwise(best))
+
+    return let(viable, lambda v: longest(F.when(F.size(full(v)) > 0, full(v)).otherwise(v)))
 
 
 def split_hook(text: Column, target: int = 80, limit: int = 240) -> Column:
-    """A struct (byline, description): sentences up to ``target`` characters, never over ``limit`` after the first."""
-    parts = sentences(text)
-    zero = F.struct(F.lit("").alias("hook"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+    """A struct (byline, description): the first paragraph whole if it is up to ``limit``, else its first sentences up to ``target`` characters.
+
+    A first sentence over ``limit`` is cut at a clause, and then the paragraph stays whole in the description.
+    """
+    joined = lambda parts: F.nullif(F.array_join(F.filter(parts, filled), "\n\n"), F.lit(""))
+
+    def opened(first: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            longer = F.when(acc["hook"] == "", s).otherwise(F.concat_ws(" ", acc["hook"], s))
+            stop = acc["done"] | ((acc["hook"] != "") & (F.length(longer) > limit))
+            hook = F.when(stop, acc["hook"]).otherwise(longer)
+            return F.struct(hook.alias("hook"), (stop | (F.length(hook) >= target)).alias("done"))
+
+        return F.aggregate(F.split(first, r"(?U)(?<=[.!?\u2026])\s+"), F.struct(F.lit("").alias("hook"), F.lit(False).alias("done")), step)["hook"]
 
-    def step(acc: Column, s: Column) -> Column:
-        joined = F.when(acc["n"] == 0, s).otherwise(F.concat_ws(" ", acc["hook"], s))
-        stop = acc["done"] | ((acc["n"] > 0) & ((F.length(acc["hook"]) >= target) | (F.length(joined) > limit)))
-        return F.struct(F.when(stop, acc["hook"]).otherwise(joined).alias("hook"), F.when(stop, acc["n"]).otherwise(acc["n"] + 1).alias("n"), stop.alias("done"))
+    def told(v: Column) -> Column:
+        first, rest, hook = v["first"], v["rest"], v["hook"]
+        tail = strip(F.substr(first, F.length(hook) + 1))
+        parts = lambda head: joined(F.concat(F.array(head), rest))
+        return (
+            F.when(F.length(first) <= limit, F.struct(first.alias("byline"), joined(rest).alias("description")))
+            .when(F.length(hook) > limit, F.struct(cut_clause(first, limit).alias("byline"), parts(first).alias("description")))
+            .otherwise(F.struct(hook.alias("byline"), parts(tail).alias("description")))
+        )
 
-    got = F.aggregate(parts, zero, step)
-    rest = F.array_join(F.slice(parts, got["n"] + 1, F.greatest(F.size(parts) - got["n"], F.lit(0))), " ")
-    return F.struct(cut_clause(got["hook"], limit).alias("byline"), F.nullif(rest, F.lit("")).alias("description"))
+    none = F.struct(F.lit(None).cast("string").alias("byline"), F.lit(None).cast("string").alias("description"))
+    shape = lambda ps: F.struct(F.get(ps, 0).alias("first"), F.slice(ps, F.lit(2), F.greatest(F.size(ps) - 1, F.lit(0))).alias("rest"), opened(F.get(ps, 0)).alias("hook"))
+    return let(blocks(text), lambda ps: F.when(F.size(ps) == 0, none).otherwise(let(shape(ps), told)))
 
 
 def cut_clause(text: Column, limit: int = 240) -> Column:
-    """A text over ``limit`` cut at its last clause end past a third, else at a word, with an ellipsis."""
-    head = F.substring(text, 1, limit)
-    ends = [F.regexp_extract(head, rf"^(?s)(.{{{limit // 3},}}){mark}", 1) for mark in ("; ", " – ", " — ", ", ")]
-    found = F.coalesce(*[F.nullif(e, F.lit("")) for e in ends], F.nullif(F.regexp_extract(head, r"^(?s)(.*) ", 1), F.lit("")), head)
-    return F.when(F.length(text) > limit, F.concat(found, F.lit("…"))).otherwise(text)
+    """The first ``limit`` characters up to the last clause end past a third of them, else to the last word, with an ellipsis."""
+    def cut(head: Column) -> Column:
+        def before(mark: str) -> Column:
+            found = F.regexp_extract(head, f"(?s)^(.*){mark}", 1)
+            return F.when(F.length(found) > limit // 3, found)
+
+        word = F.when(head.contains(" "), F.regexp_extract(head, "(?s)^(.*) ", 1)).otherwise(head)
+        kept = F.coalesce(*[before(mark) for mark in ("; ", " \u2013 ", " \u2014 ", ", ")], word)
+        return F.concat(F.regexp_replace(kept, "[,;: ]+$", ""), F.lit("\u2026"))
+
+    return let(F.substring(text, 1, limit), cut)
 
 
 def split_copy(text: Column, keep: int = 280, pack: int = 220) -> Column:
@@ -108,17 +202,44 @@ def split_copy(text: Column, keep: int = 280, pack: int = 220) -> Column:
             joined = F.when(acc["buf"] == "", s).otherwise(F.concat_ws(" ", acc["buf"], s))
             return F.struct(F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"]))).alias("out"), F.when(fits, joined).otherwise(s).alias("buf"))
 
-        packed = F.aggregate(sentences(p), zero, step, lambda a: F.when(a["buf"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["buf"]))))
+        sentences = F.filter(F.split(p, r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
+        packed = F.aggregate(sentences, zero, step, lambda a: F.when(a["buf"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["buf"]))))
         return F.when(F.length(p) <= keep, F.array(p)).otherwise(packed)
 
-    parts = F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n+"), strip), lambda p: F.length(p) > 0)
     return F.flatten(F.transform(parts, one))
 
 
-def pattern_tags(text: Column, families: dict[str, str], default: str) -> Column:
-    """Sorted names of the patterns that match; ``default`` if none does."""
+def synopsis_paragraphs(paras: Column, title: Column, most: int = 3) -> Column:
+    """Of an array of cleaned paragraphs, up to ``most`` that describe the show, without what X "presents" in front.
+
+    Those under 50 characters, about the booking, of credits or echoing the title go, and so do
+    consecutive repeats; a leading epigraph goes if more follows.
+    """
+    good = F.filter(paras, lambda p: (F.length(p) >= 50) & ~is_chrome(p) & ~is_credits(p) & ~echoes_title(p, title))
+    said = F.transform(good, lambda p: strip(F.regexp_replace(p, PRESENTS, "")))
+    once = lambda ps: F.filter(ps, lambda p, i: (i == 0) | (p != F.get(ps, i - 1)))
+    lead = lambda ps: F.when((F.size(ps) > 1) & is_epigraph(F.get(ps, 0)), F.slice(ps, 2, most)).otherwise(F.slice(ps, 1, most))
+    return let(let(said, lambda ps: F.slice(once(ps), 1, most + 1)), lead)
+
+
+#: Fixed value: what stands before "presents" in an opening sentence.
+PRESENTS = r"(?i)^.{0,140}?\bpresents?\s*:?\s+"
+
+
+def finalise_copy(text: Column, title: Column) -> Column:
+    """A struct (byline, description) of a cleaned copy; the first raw paragraph if none describes the show."""
+    def told(raw: Column) -> Column:
+        kept = synopsis_paragraphs(F.transform(raw, clean_spaces), title)
+        return let(kept, lambda k: split_hook(F.array_join(F.when(F.size(k) > 0, k).otherwise(F.slice(raw, 1, 1)), "\n\n")))
+
+    return let(blocks(text), told)
+
+
+def pattern_tags(text: Column, families: dict[str, str], default: str | None) -> Column:
+    """Sorted names of the patterns that match; ``default``, if there is one, if none does."""
     found = F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in families.items()])))
-    return F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
+    return found if default is None else F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
 
 
 def clamp_tags(tags: Column, keep: Column, allowed: list[str], default: str) -> Column:
@@ -127,14 +248,51 @@ def clamp_tags(tags: Column, keep: Column, allowed: list[str], default: str) ->
     return F.when(keep & (F.size(good) == 0), F.array(F.lit(default))).otherwise(good)
 
 
-def split_query(query: str, least: int = 4, most: int = 8) -> list[str]:
-    """The query and its clauses, distinct whatever the case, at most ``most``."""
-    import re
+#: Forms of shows by the venue's own tags and by words of the copy; without any, ``PLAIN_FORM``.
+FORM_OF_TAG = {"Comedy": "stand-up", "Music/Musical": "musical", "Opera": "opera", "Dance": "dance", "Circus": "circus", "immersive": "immersive"}
+FORM_WORDS = {
+    "musical": r"\bmusical\b|\bbook and lyrics\b|\bsung-through\b",
+    "stand-up": r"\bstand-?up\b|\bstandup\b",
+    "concert": r"\bconcerts?\b|\bgigs?\b|\blive music\b",
+    "opera": r"\boperas?\b",
+    "dance": r"\bdance\b|\bballet\b|\bchoreograph|\bscreendance\b",
+    "circus": r"\bcircus\b",
+}
+PLAIN_FORM = "theatre"
+
+
+def form_tags(title: Column, credits: Column, copy: Column, venue_tags: Column) -> Column:
+    """The forms of a show, sorted."""
+    told = F.concat_ws(" ", title, credits, copy)
+    words = pattern_tags(told, {k: f"(?iU){p}" for k, p in FORM_WORDS.items()}, None)
+    mapped = F.array_compact(F.transform(F.coalesce(venue_tags, F.expr("cast(array() as array<string>)")), lambda t: F.coalesce(*[F.when(t == k, F.lit(v)) for k, v in FORM_OF_TAG.items()])))
+    every = lambda tags: F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit(PLAIN_FORM)))
+    return let(F.array_sort(F.array_union(words, mapped)), every)
 
-    parts = [query.strip(), *(p.strip() for p in re.split(r"[,;/]|\band\b|\bin\b", query, flags=re.I))]
+
+def split_query(query: str, least: int = 4) -> list[str]:
+    """The clauses of a query, distinct whatever the case, in order."""
+    parts = [" ".join(p.split()).strip(" .") for p in re.split(r"\s*(?:,|;|/|\band\b|\bin\b)\s*", query or "", flags=re.I)]
+    seen: dict[str, str] = {}
+    for p in parts:
+        if len(p) >= least:
+            seen.setdefault(p.lower(), p)
+    return list(seen.values())
+
+
+def expand_query(query: str, call=None, most: int = 8) -> list[str]:
+    """The query, what ``call`` adds to it, and its clauses: distinct whatever the case, at most ``most``. A failing call adds nothing."""
+    query = (query or "").strip()
+    if not query:
+        return []
+    try:
+        extra = list(call(query) or []) if call else []
+    except Exception as e:  # what an injected model raises isn't known
+        logging.getLogger(__name__).warning("query not expanded: %s", e)
+        extra = []
     seen: dict[str, str] = {}
-    for i, p in enumerate(parts):
-        if p and (i == 0 or len(p) >= least):
+    for p in (query, *(" ".join(str(x).split()) for x in extra), *split_query(query)):
+        if p:
             seen.setdefault(p.lower(), p)
     return list(seen.values())[:most]
 
@@ -167,6 +325,11 @@ CREDIT_THINGS = "book music lyrics text words".split()
 CREDIT_LINKS = "and with the of by from &".split()
 
 
+def chrome_phrases(text: Column) -> Column:
+    """The patterns of ``CHROME`` that a paragraph matches, which tells a registry's owner which of them still earn their keep."""
+    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(p)) for p in CHROME]))
+
+
 def is_chrome(text: Column) -> Column:
     """A paragraph about the booking rather than the show; null and empty ones are too. Built-in matching only."""
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))

@@ -39,14 +39,22 @@ def first_wins(df: DataFrame, keys: list[str], order: list, empty: Column | None
     return ranked if empty is None else ranked.unionByName(df.filter(empty))
 
 
-def merge_runs(df: DataFrame, keys: list[str], pos: str, first: str, last: str, longest: list[str] = (), low: list[str] = (), high: list[str] = ()) -> DataFrame:
-    """One row per key: earliest first, latest last, longest copy (first of equals), lowest and highest prices (0 is none), else the first row's values."""
+def merge_runs(df: DataFrame, keys: list[str], pos: str, first: str, last: str, longest: list[str] = (), low: list[str] = (), high: list[str] = (), empty: Column | None = None) -> DataFrame:
+    """One row per key: earliest first, latest last, longest copy (first of equals), lowest and highest prices (0 is none), else the first row's values.
+
+    Rows where ``empty`` holds are merged with none.
+    """
     rest = [c for c in df.columns if c not in {*keys, first, last, *longest, *low, *high}]
+    # A price of 0 stays if no row has another.
+    price = lambda f, c: F.coalesce(f(F.nullif(F.col(c), F.lit(0))), F.min_by(c, pos)).alias(c)
     aggs = [F.min(first).alias(first), F.max(last).alias(last)]
     aggs += [F.max_by(c, F.struct(F.length(F.coalesce(c, F.lit(""))), -F.col(pos))).alias(c) for c in longest]
-    aggs += [F.min(F.nullif(F.col(c), F.lit(0))).alias(c) for c in low] + [F.max(F.nullif(F.col(c), F.lit(0))).alias(c) for c in high]
+    aggs += [price(F.min, c) for c in low] + [price(F.max, c) for c in high]
     aggs += [F.min_by(c, pos).alias(c) for c in rest]
-    return df.groupBy(*keys).agg(*aggs)
+    if empty is None:
+        return df.groupBy(*keys).agg(*aggs)
+    own = F.when(empty, F.monotonically_increasing_id())
+    return df.withColumn("_own", own).groupBy(*keys, "_own").agg(*aggs).drop("_own")
 
 
 def interval_join(left: DataFrame, right: DataFrame, l_first: str, l_last: str, r_first: str, r_last: str, days: int = 30) -> DataFrame:

@@ -6,6 +6,8 @@ decided by built-in functions over them. Null pages have no nodes.
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from itertools import product
 from urllib.parse import urljoin
 
@@ -14,12 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagehand.functions import markup, text
+from stagehand.functions import linked, markup, text
+from stagehand.functions.columns import filled, let
 from stagehand.functions.dates import iso_day, parse_range
+from stagehand.operators.windows import plausible
 
 #: Where the copy of a page is, and headings that it stands under.
 ROOTS = "article, main, [role='main'], .entry-content"
 PLOT_HEADINGS = {"synopsis", "about the show", "about the production", "the story", "the plot"}
+HEADINGS = {"synopsis", "about the show", "about the production", "the story", "the plot"}
 #: Texts of headings that are no titles.
 NO_TITLE = r"(?i)^(?:book now|tickets?|more info|read more|buy now|dates?|until|what'?s on|upcoming|your visit|about us|buy tickets|(?:spring|summer|autumn|winter|fall) 20\d\d)$"
 HEADINGS = ("h1", "h2", "h3", "h4", "h5")
@@ -60,7 +65,7 @@ def _copy(page: str | None) -> list[dict]:
         if n.tag in ("h2", "h3", "h4"):
             below = below or " ".join(n.text().split()).lower() in PLOT_HEADINGS
         elif n.tag in ("p", "font"):
-            out.append({"text": n.text(), "kind": n.tag, "quoted": _quoted(n), "leaf": not _inside(n, n.tag), "below": below})
+            out.append({"text": unescape(unescape(n.text())), "kind": n.tag, "quoted": _quoted(n), "leaf": not _inside(n, n.tag), "below": below})
     return out
 
 
@@ -77,12 +82,10 @@ def synopsis(page: Column, title: Column, most: int = 3) -> Column:
     inside to the others, prose to quotations; font elements are read if no paragraph is kept.
     A leading epigraph goes if more follows.
     """
-    lead = r"^[^.!?]{2,60}?\s+presents?:?\s+"
-
     def shaped(n: Column) -> Column:
         said = text.clean_spaces(n["text"])
-        good = (F.length(said) >= 50) & ~text.is_chrome(said) & ~text.is_credits(said) & ~F.coalesce(text.echoes_title(said, title), F.lit(False))
-        return F.struct(F.trim(F.regexp_replace(said, lead, "")).alias("said"), good.alias("good"), *[n[k].alias(k) for k in ("kind", "quoted", "leaf", "below")])
+        good = (F.length(said) >= 50) & ~text.is_chrome(said) & ~text.is_credits(said) & ~text.echoes_title(said, title)
+        return F.struct(F.trim(F.regexp_replace(said, text.PRESENTS, "")).alias("said"), good.alias("good"), *[n[k].alias(k) for k in ("kind", "quoted", "leaf", "below")])
 
     def kept(nodes: Column, fits) -> Column:
         said = F.transform(F.filter(nodes, fits), lambda n: n["said"])
@@ -125,15 +128,20 @@ def detail_dates(page: Column, selector: Column, as_of: Column) -> Column:
     return F.get(F.transform(F.array(_stamped(page, selector)), read), 0)
 
 
+def _slug(said: str) -> str:
+    return re.sub("[^a-z0-9]+", "", said.lower())
+
+
 def _href(node: markup.Node, climb: int = 8) -> str | None:
-    """The link around or inside a node, or inside the nearest of ``climb`` ancestors that has one."""
-    at: markup.Node | None = node
-    for _ in range(climb + 1):
-        if at is None or at.parent is None:
+    """A link in the nearest of ``climb`` elements around a title that has one: the first whose last part looks like the title, else the first."""
+    title, at = _slug(node.text()), node.parent
+    for _ in range(climb):
+        if at is None or at.tag in ("body", "html"):
             return None
-        for n in (at, *at.below()):
-            if n.tag == "a" and n.attrs.get("href", "#")[0:1] not in ("#", ""):
-                return n.attrs["href"]
+        hrefs = [h for n in _inside(at, "a") if (h := n.attrs.get("href")) is not None and not h.startswith(("#", "mailto:", "tel:", "javascript:"))]
+        if hrefs:
+            ends = ((h, _slug(h.rstrip("/").rsplit("/", 1)[-1])) for h in hrefs)
+            return next((h for h, s in ends if min(len(s), len(title)) >= 6 and (title[:8] in s or s[:8] in title)), hrefs[0])
         at = at.parent
     return None
 
@@ -164,18 +172,117 @@ def absolute(bases: pd.Series, links: pd.Series) -> pd.Series:
 
 
 def dated_clusters(venues: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
-    """Rows of short dated texts, each with the first title inside it or the last one before it; one row a title and start.
+    """Rows of short dated texts, each with the first title inside it or the last one before it, and a link near the title; one row a title and start.
 
-    A title has 2 to 120 characters and a letter, isn't in ``NO_TITLE`` and holds no date.
     Windows are by venue: no larger than one page.
     """
     at = venues.select(F.col("id").alias("venue_id"), "whats_on_url").join(pages.select("url", "body"), F.col("whats_on_url") == F.col("url"))
     nodes = at.select("venue_id", "whats_on_url", F.explode(boxes("body")).alias("n")).select("venue_id", "whats_on_url", "n.*").withColumn("w", parse_range(F.col("text"), as_of))
-    titled = lambda t: F.length(t).between(2, 120) & t.rlike(r"\p{L}") & ~t.rlike(NO_TITLE) & ~t.rlike(r"(?i)^\d{1,2}(?:[.:]\d\d)?\s*[ap]m\b")
+    titled = lambda t: text.looks_like_title(t, parse_range(t, as_of)["first_date"])
     before = Window.partitionBy("venue_id", "whats_on_url").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    title = F.when(F.col("head") & titled(F.col("text")) & F.col("w.first_date").isNull(), F.struct("text", "href"))
-    inner = F.get(F.filter("own", lambda t: titled(t["text"]) & parse_range(t["text"], as_of)["first_date"].isNull()), 0)
-    rows = nodes.withColumn("t", F.coalesce(inner, F.last(title, ignorenulls=True).over(before))).filter(F.col("short") & F.col("w.first_date").isNotNull() & F.col("t").isNotNull())
+    title = F.when(F.col("head") & text.looks_like_title(F.col("text"), F.col("w.first_date")), F.struct("text", "href"))
+    inner = F.get(F.filter("own", lambda t: titled(t["text"])), 0)
+    rows = nodes.withColumn("t", F.coalesce(inner, F.last(title, ignorenulls=True).over(before))).filter(F.col("short") & F.col("w.first_date").isNotNull() & F.col("t.href").isNotNull())
     once = Window.partitionBy("venue_id", F.lower("t.text"), "w.first_date").orderBy("pos")
     first = rows.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    return first.select("venue_id", F.col("t.text").alias("title"), F.lit(None).cast("string").alias("credits"), absolute("whats_on_url", "t.href").alias("url"), "w.first_date", "w.last_date", F.lit(None).cast("string").alias("description"), F.lit("dated_clusters").alias("source"))
+    return first.select("venue_id", F.col("pos").cast("long").alias("pos"), F.col("t.text").alias("title"), F.lit(None).cast("string").alias("credits"), absolute("whats_on_url", "t.href").alias("url"), "w.first_date", "w.last_date", F.lit(None).cast("string").alias("description"), F.lit("dated_clusters").alias("source"))
+
+
+#: Names of meta elements, the first that says something wins.
+META_TITLE = ("og:title", "twitter:title")
+META_COPY = ("og:description", "twitter:description", "description")
+FACTS = _struct(meta_title=TEXT, heading=TEXT, meta_copy=TEXT, text=TEXT)
+
+
+def _meta(root: markup.Node, *names: str) -> str | None:
+    """The content of the first named meta element that has one, by property or else by name."""
+    every = _inside(root, "meta")
+    for name in names:
+        found = next((n for key in ("property", "name") for n in every if n.attrs.get(key) == name), None)
+        if found is not None and found.attrs.get("content"):
+            return found.attrs["content"].strip()
+    return None
+
+
+@F.pandas_udf(FACTS)
+def page_facts(pages: pd.Series) -> pd.DataFrame:
+    """Meta title, first main heading, meta description and text of each page."""
+    def one(page):
+        root = markup.tree(page or "")
+        heading = next(iter(_inside(root, "h1")), None)
+        return _meta(root, *META_TITLE), heading.text() if heading else None, _meta(root, *META_COPY), root.text()
+
+    return pd.DataFrame([one(p) for p in pages], columns=["meta_title", "heading", "meta_copy", "text"])
+
+
+def full_title(facts: Column) -> Column:
+    """The page's own title without the site's name: the meta title, or the heading if that is cut short."""
+    def shown(said: Column) -> Column:
+        return F.trim(F.get(F.split(text.clean_spaces(F.coalesce(said, F.lit(""))), r"\s+[|\u2013\u2014]\s+", 2), 0))
+
+    return F.get(F.filter(F.transform(F.array(facts["meta_title"], facts["heading"]), shown), lambda t: filled(t) & ~text.is_truncated(t)), 0)
+
+
+def prices(said: Column) -> Column:
+    """(price_min, price_max) of the amounts in pounds that a text names; null without any."""
+    found = F.transform(F.regexp_extract_all(said, F.lit(r"\u00a3\s?(\d+(?:\.\d{2})?)"), F.lit(1)), lambda p: p.cast("double"))
+    return let(found, lambda ps: F.struct(F.array_min(ps).alias("price_min"), F.array_max(ps).alias("price_max")))
+
+
+def facts_of(pages: DataFrame, as_of: Column, title: str = "title", selector: str | None = None) -> DataFrame:
+    """``pages`` (with ``body``) with ``d``: what a show's page says of its dates, title, copy and prices.
+
+    Linked data come first, if their run is plausible, then the element of ``selector``; the copy is
+    the best of synopsis, linked data and a meta description that names the show.
+    """
+    rows = pages.withColumn("_f", page_facts("body")).withColumn("_l", F.get(linked.events(linked.linked_data("body")["nodes"]), 0))
+    rows = rows.withColumn("_s", synopsis(F.col("body"), F.col(title)))
+    rows = rows.withColumn("_w", detail_dates(F.col("body"), F.col(selector), as_of) if selector else F.lit(None).cast("struct<first_date:date,last_date:date>"))
+    start, end = iso_day(F.col("_l.start")), iso_day(F.col("_l.end"))
+    linked_run = F.when(plausible(start, end), F.struct(start.alias("first_date"), end.alias("last_date")))
+    written_run = F.when(F.col("_w.first_date").isNotNull() & plausible(F.col("_w.first_date"), F.col("_w.last_date")), F.col("_w"))
+    run = F.when(linked_run["first_date"].isNotNull() | written_run.isNull(), linked_run).otherwise(written_run)
+    named, price = prices(F.col("_f.text")), F.col("_l.price").try_cast("double")
+    told = F.struct(
+        run["first_date"].alias("first_date"), run["last_date"].alias("last_date"), full_title(F.col("_f")).alias("full_title"),
+        text.pick_description(F.col("_s"), F.col("_l.description"), text.og_for_show(F.col("_f.meta_copy"), F.col(title))).alias("description"),
+        F.coalesce(price, named["price_min"]).alias("price_min"), F.when(price.isNull(), named["price_max"]).alias("price_max"),
+    )
+    return rows.withColumn("d", told).drop("_f", "_l", "_s", "_w")
+
+
+def wants_detail(url: Column, listing: Column, description: Column, first_date: Column) -> Column:
+    """Whether a row's own page is worth a look: it has one, and the copy isn't full or the dates are missing."""
+    bare = lambda u: F.rtrim(F.coalesce(u, F.lit("")), F.lit("/"))
+    return (bare(url) != "") & (bare(url) != bare(listing)) & (~text.is_full_synopsis(description) | first_date.isNull())
+
+
+def folded(row, detail: Column) -> dict[str, Column]:
+    """Columns of a listing with its page folded in: the longer copy, the page's title for one cut short, other fields where the listing has none.
+
+    ``row`` gives a listing's column by name.
+    """
+    longer = detail["description"].isNotNull() & (F.length(detail["description"]) > F.length(F.coalesce(row("description"), F.lit(""))))
+    out = {
+        "description": F.when(longer, detail["description"]).otherwise(row("description")),
+        "title": F.when(detail["full_title"].isNotNull() & text.is_truncated(row("title")), detail["full_title"]).otherwise(row("title")),
+    }
+    for name in ("first_date", "last_date"):
+        out[name] = F.coalesce(row(name), detail[name])
+    for name in ("price_min", "price_max"):
+        out[name] = F.coalesce(F.nullif(row(name), F.lit(0.0)), detail[name], row(name))
+    return out
+
+
+def hop(rows: DataFrame, venues: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
+    """Listing rows with their own pages folded in, where those are wanted and ``pages`` (url, body) has them.
+
+    Only rows that want a page meet the table of pages; the others pass by the join.
+    """
+    of = venues.select(F.col("id").alias("venue_id"), F.col("whats_on_url").alias("_on"), F.coalesce("skip_stage2", F.lit(False)).alias("_skip"), F.col("detail_dates").alias("_selector"))
+    marked = rows.join(of, "venue_id", "left").withColumn("_wants", ~F.coalesce("_skip", F.lit(False)) & wants_detail(F.col("url"), F.col("_on"), F.col("description"), F.col("first_date")))
+    asked = marked.filter("_wants").withColumn("_key", F.rtrim("url", F.lit("/")))
+    latest = pages.select(F.rtrim("url", F.lit("/")).alias("_key"), "body").groupBy("_key").agg(F.min("body").alias("body"))
+    told = facts_of(asked.join(latest, "_key", "left"), as_of, "title", "_selector")
+    shown = told.select(*[folded(F.col, F.col("d")).get(c, F.col(c)).alias(c) for c in rows.columns])
+    return shown.unionByName(marked.filter("not _wants").select(*rows.columns))

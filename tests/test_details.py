@@ -48,6 +48,32 @@ def test_dated_clusters(spark):
     assert [(t, s) for t, _, s, _ in got[1:]] == [("Owl", D(2027, 6, 3)), ("Owl", D(2027, 7, 12))]
 
 
+def test_links_near_titles(spark):
+    page = """<body><div class=page><div><h5>We'll Always Have Paris</h5><a href="/on/well-always-have-paris">More</a></div><div>15 Sep - 3 Oct 2026</div>
+    <div><h5>Iceberg Right Ahead</h5><a href="mailto:x@y.z">mail</a><a href="/on/iceberg-right-ahead">More</a></div><div>20 Oct - 31 Oct 2026</div></div><h5>Alone Title</h5><p>1 Nov 2026</p></body>"""
+    venues = spark.createDataFrame([("v", "http://v/on")], "id string, whats_on_url string")
+    got = {r["title"]: r["url"] for r in details.dated_clusters(venues, spark.createDataFrame([("http://v/on", page)], "url string, body string"), F.lit(AS_OF)).collect()}
+    assert got == {"We'll Always Have Paris": "http://v/on/well-always-have-paris", "Iceberg Right Ahead": "http://v/on/iceberg-right-ahead"}
+
+
+def test_hop_folds_pages_in(spark):
+    copy = LONG.format("It goes on.")
+    page = f"""<head><meta property="og:title" content="Advanced Playwriting with Ann | House"><meta name="description" content="House bio"></head>
+    <body><h1>Advanced</h1><article><p>{copy}</p></article><p>Tickets £12.50 or £ 8</p></body>"""
+    event = '<script type="application/ld+json">{"@type": "Event", "name": "x", "startDate": "2026-10-01T19:00", "endDate": "2050-01-01", "offers": {"price": "15"}, "description": "%s"}</script>' % copy
+    rows = spark.createDataFrame(
+        [("v", 0, "Advanced Playwriting ...", "http://v/a/", None, None, "Stub"), ("v", 1, "Event Show", "http://v/b", None, None, None), ("v", 2, "Full", "http://v/c", D(2026, 9, 9), D(2026, 9, 9), "x" * 300), ("v", 3, "Listing", "http://v/on", None, None, None), ("w", 4, "Missing page", "http://w/x", None, None, None)],
+        "venue_id string, pos long, title string, url string, first_date date, last_date date, description string",
+    ).withColumns({"price_min": F.lit(None).cast("double"), "price_max": F.lit(None).cast("double")})
+    venues = spark.createDataFrame([("v", "http://v/on/", None, ".d")], "id string, whats_on_url string, skip_stage2 boolean, detail_dates string")
+    pages = spark.createDataFrame([("http://v/a", page), ("http://v/b", event + "<p class=d>4 - 9 May 2027</p>"), ("http://v/c", page)], "url string, body string")
+    got = {r["pos"]: r for r in details.hop(rows, venues, pages, F.lit(AS_OF)).collect()}
+    assert len(got) == 5
+    assert (got[0]["title"], got[0]["description"], got[0]["price_min"], got[0]["price_max"]) == ("Advanced Playwriting with Ann", copy, 8.0, 12.5)
+    assert (got[1]["first_date"], got[1]["last_date"], got[1]["price_min"], got[1]["description"]) == (D(2027, 5, 4), D(2027, 5, 9), 15.0, copy)
+    assert (got[2]["title"], got[2]["description"]) == ("Full", "x" * 300) and got[3]["description"] is None and got[4]["title"] == "Missing page"
+
+
 def test_probes(spark):
     sites = spark.createDataFrame([("http://a/x",), ("http://b",)], "base string")
     pages = spark.createDataFrame([("http://a/sitemap_index.xml", "<x>"), ("http://a/wp-sitemap.xml", "<y>"), ("http://a/sitemap.xml", "gone"), ("http://b/sitemap.xml", None)], "url string, body string")

@@ -61,8 +61,66 @@ def test_selectors():
     assert [n.text() for n in markup.select(root, "#x .b")] == ["3"]
     assert markup.select(root, "img > p") == []
     assert markup.tree("").text() == "" and len(markup.tree("<b>" * 5000).below()) == 5000
+    flat = markup.tree("<div><b>1</b><i>2</i><b>3</b></div>")
+    assert [n.text() for n in markup.select(flat, "b:last-of-type")] == ["3"] and [n.text() for n in markup.select(flat, "b:nth-of-type(1), b:nth-last-of-type(1)")] == ["1", "3"]
+    assert [n.tag for n in markup.select(root, "div:has(.b):not(.c)")] == ["div"] and markup.select(root, "p:not(.b):-soup-contains('9')") == []
+    assert markup.select(root, "p:first-child") == []
     with pytest.raises(ValueError):
-        markup.select(root, "p:first-child")
+        markup.compiled("p:first-child")
+
+
+def test_registry_of_nested_settings(spark, tmp_path):
+    yaml = """
+venues:
+- id: a
+  name: The A
+  location:
+    area: Islington
+  whats_on_url: http://f/on
+  strategy: selectors
+  lookahead_weeks: 12
+  detail_selectors:
+    dates: ".d"
+  selectors:
+    show_card: ".card.big"
+    title: h3
+    space: .room
+    space_allow: [Studio]
+    exclude: [paris]
+    title_cut_dates: true
+- id: b
+  seasonal: true
+  wp_rest:
+    endpoint: http://b/api
+    dates_field: when
+- id: c
+  sanity:
+    project_id: p1
+"""
+    (tmp_path / "venues.yaml").write_text(yaml)
+    venues = listings.registry(spark, str(tmp_path / "venues.yaml"))
+    got = {r["id"]: r for r in venues.collect()}
+    assert (got["a"]["area"], got["a"]["space_allow"], got["a"]["exclude"], got["a"]["detail_dates"]) == ("Islington", ["Studio"], ["paris"], ".d")
+    assert got["a"]["selectors"]["title_cut_dates"] == "true" and got["b"]["endpoint"] == "http://b/api?per_page=50"
+    assert got["c"]["endpoint"].startswith("https://p1.api.sanity.io/v2021-10-21/data/query/production?query=") and got["b"]["seasonal"]
+    pages = spark.createDataFrame([("http://f/on", CARDS)], "url string, body string")
+    assert [r["title"] for r in listings.selectors(venues, pages, F.lit(AS_OF)).collect()] == ["Five"]
+
+
+def test_sections_and_seed(spark):
+    strip = lambda title, place, dates, link: f"<section class='wixui-column-strip'><h2>{title}</h2><p>What {title} is.</p><p>Jump to tickets</p><p>📍 {place}</p><p>🕒 {dates}</p><p>🎟️ Book via <a href='{link}'>x</a></p></section>"
+    page = "<h6>Immersive/Interactive Shows</h6>" + strip("One", "Battersea", "Until 13th September 2026", "https://one.com") + strip("Two", "Park", "From 3 May 2027", "https://wix.com/x")
+    page += "<h6>AT HOME</h6>" + strip("Three", "Anywhere", "Ongoing", "https://three.com") + "<h6>Outside of London</h6>" + strip("Four", "York", "Ongoing", "https://four.com") + "<h6>Coming soon</h6>" + strip("Five", "WhatsApp", "Late summer 2027", "https://five.com") + "<h2>No strip</h2>"
+    venues = spark.createDataFrame([("v", "http://v/on")], "id string, whats_on_url string")
+    got = {r["title"]: r for r in listings.sections(venues, spark.createDataFrame([("http://v/on", page)], "url string, body string"), F.lit(AS_OF)).collect()}
+    assert set(got) == {"One", "Two", "Three", "Five"}
+    run = lambda t: (got[t]["first_date"], got[t]["last_date"])
+    assert run("One") == (AS_OF, D(2026, 9, 13)) and run("Two") == (D(2027, 5, 3), D(2027, 5, 3) + datetime.timedelta(400))
+    assert run("Three") == (AS_OF, AS_OF + datetime.timedelta(400)) and run("Five") == (D(2027, 8, 1), D(2027, 9, 30))
+    assert [got[t]["venue_id"] for t in ("One", "Three", "Five")] == ["v", "home", "home"]
+    assert (got["One"]["url"], got["Two"]["url"], got["One"]["description"]) == ("https://one.com", "http://v/on", "What One is.\n\nx")
+    rows = listings.seed(spark, {"a": {"base": "http://a/", "shows": [("T", None, None, "2026-10-01", "2026-10-02", "t", ["Comedy"], "Copy"), ("U", None, None, "2026-10-01", "2026-10-02", None, [], None)]}, "b": {"base": "http://b/", "trailing_slash": False, "shows": [("V", None, None, "2026-10-01", "bad", "v", [], None)]}})
+    assert {r["title"]: (r["url"], r["last_date"]) for r in rows.collect()} == {"T": ("http://a/t/", D(2026, 10, 2)), "U": ("http://a/", D(2026, 10, 2)), "V": ("http://b/v", None)}
 
 
 def test_unknown_strategy_is_an_error(spark):
