@@ -9,33 +9,19 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagehand.functions.text import title_key
-from stagehand.operators import snapshots, windows
+from stagehand.operators import audits, snapshots
+from stagehand.operators import build as steps
 from stagehand.session import build
 from stagehand.sources import listings, sinks
 
 
 def extract(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """Rows of the chosen venues that may fall in each venue's window; unknown ids are an error."""
+    """Shows of the chosen venues, from their listings and their own pages; unknown ids are an error."""
     venues = listings.registry(spark, a.venues)
     ids = {r["id"] for r in venues.select("id").collect()}  # the registry is a small file of settings
-    unknown = sorted({*a.ids, *a.exclude} - ids)
-    if unknown:
-        raise ValueError(f"unknown venues: {', '.join(unknown)}")
-    chosen = venues.filter(F.col("id").isin(*((set(a.ids) or ids) - set(a.exclude))))
-    rows = listings.extract(chosen, spark.read.parquet(a.pages), F.lit(a.as_of))
-    ahead = F.date_add(F.lit(a.as_of), 7 * F.coalesce("lookahead_weeks", F.lit(a.weeks)))
-    rows = rows.join(chosen.select(F.col("id").alias("venue_id"), ahead.alias("_to")), "venue_id")
-    return rows.filter(windows.overlaps_or_unknown(F.col("first_date"), F.col("last_date"), F.lit(a.as_of), F.col("_to"))).drop("_to")
-
-
-def merged(rows: DataFrame, start: datetime.date, end: datetime.date) -> DataFrame:
-    """One row a venue and title: rows in the window, in the order of dates, titles and urls."""
-    kept = rows.filter(windows.overlaps(F.col("first_date"), F.col("last_date"), F.lit(start), F.lit(end)))
-    first = F.struct("first_date", "title", "url")
-    longest = F.struct(F.length(F.coalesce("description", F.lit(""))), "description")
-    grouped = kept.groupBy("venue_id", title_key(F.col("title")).alias("_key"))
-    return grouped.agg(F.min_by("title", first).alias("title"), F.max_by("description", longest).alias("description"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), F.min_by("url", first).alias("url")).drop("_key")
+    chosen = venues.filter(F.col("id").isin(*steps.select_ids(ids, a.ids, a.exclude)))
+    pages = spark.read.parquet(a.pages)
+    return steps.crawl(listings.extract(chosen, pages, F.lit(a.as_of)), chosen, pages, F.lit(a.as_of), a.weeks)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -58,6 +44,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p = subs.add_parser("changed")
     p.add_argument("--snapshots", required=True)
     p.add_argument("--generated", type=day, required=True)
+    p = subs.add_parser("audit")
+    p.add_argument("--snapshot", required=True)
     p = subs.add_parser("page")
     for name in ("--snapshot", "--venues", "--template", "--out"):
         p.add_argument(name, required=True)
@@ -68,10 +56,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.task == "build":
         seasonal = listings.registry(spark, a.venues).filter("seasonal").select(F.col("id").alias("venue_id"))
         try:
-            sinks.guarded_save(merged(spark.read.parquet(a.raw), a.start, a.end), a.snapshots, a.generated.isoformat(), "venue_id", seasonal, a.force)
+            built = steps.normalised(spark.read.parquet(a.raw), a.start, a.end)
+            sinks.guarded_save(steps.records(built), a.snapshots, a.generated.isoformat(), "venue_id", seasonal, a.force)
         except sinks.Refused as e:
             print(f"refused: {e}", file=sys.stderr)
             return 2
+        for name, rows in (("dropped", steps.dropped(built).groupBy("reason").count()), ("no copy", steps.without_copy(built).groupBy("venue_id").count())):
+            for r in rows.orderBy(F.desc("count")).collect():  # a row for each reason or venue
+                print(f"{name}: {r[0]} {r[1]}")
     elif a.task == "changed":
         new = spark.read.parquet(f"{a.snapshots.rstrip('/')}/generated={a.generated}")
         old = sinks.before(spark, a.snapshots, a.generated.isoformat())
@@ -79,6 +71,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         same = old is not None and snapshots.difference(row(old), row(new), ["print"]).isEmpty()
         print("same" if same else "changed")
         return 1 if same else 0
+    elif a.task == "audit":
+        events = spark.read.parquet(a.snapshot)
+        found = audits.grade(events, ["venue_id", "title"])
+        for r in snapshots.top_groups(found, "rule", "venue_id").orderBy("rule", "place").collect():  # four rows a rule
+            print(f"{r['rule']}: {r['venue_id']} {r['n']}")
     else:
         template = "\n".join(r.value for r in spark.read.text(a.template, wholetext=True).collect())  # one page
         sinks.artifact(spark.read.parquet(a.snapshot), listings.registry(spark, a.venues), template, ["first_date", "venue_id", "title"]).write.mode("overwrite").text(a.out)

@@ -50,3 +50,26 @@ def artifact(events: DataFrame, venues: DataFrame, template: str, order: list[st
     body = F.array_sort(F.collect_list(F.struct("_n", F.to_json(row, {"ignoreNullFields": "false"}).alias("j"))))
     inside = F.concat(F.lit("["), F.array_join(F.transform(body, lambda r: r["j"]), ", "), F.lit("]"))
     return numbered.agg(F.replace(F.lit(template), F.lit(PLACEHOLDER), inside).alias("page"))
+
+
+def swap(rows: DataFrame, path: str) -> None:
+    """Replaces the table at ``path``, which ``rows`` may read: written beside it first, then moved in its place."""
+    spark, new, old = rows.sparkSession, f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    rows.write.mode("overwrite").parquet(new)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(at(old), True)
+    if files.exists(at(path)):
+        files.rename(at(path), at(old))
+    files.rename(at(new), at(path))
+    files.delete(at(old), True)
+
+
+def envelope(records: DataFrame, start, end, generated) -> DataFrame:
+    """One row (window, generated, count) that goes beside a snapshot."""
+    return records.agg(F.array(F.lit(start), F.lit(end)).alias("window"), F.lit(generated).alias("generated"), F.count("*").alias("count"))
+
+
+def as_json(rows: DataFrame, path: str) -> None:
+    """Lines of JSON, null fields too: probes, validations and maps of urls."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

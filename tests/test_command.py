@@ -6,16 +6,18 @@ from stagehand.__main__ import main
 def test_from_pages_to_the_page(spark, tmp_path, capsys):
     at = lambda name: str(tmp_path / name)
     (tmp_path / "venues.json").write_text(json.dumps([{"id": "a", "name": "The A", "whats_on_url": "http://a/on", "strategy": "jsonld"}, {"id": "b"}]))
-    shows = [{"@type": "Event", "name": "One", "startDate": "2026-09-10"}, {"@type": "Event", "name": "ONE!", "startDate": "2026-09-12"}, {"@type": "Event", "name": "Far", "startDate": "2028-01-01"}]
+    shows = [{"@type": "Event", "name": "One", "url": "http://a/1", "startDate": "2026-09-10"}, {"@type": "Event", "name": "ONE!", "url": "http://a/2", "startDate": "2026-09-12"}, {"@type": "Event", "name": "Far", "startDate": "2028-01-01"}]
     spark.createDataFrame([("http://a/on", f'<script type="application/ld+json">{json.dumps(shows)}</script>')], "url string, body string").write.parquet(at("pages"))
     assert main(["extract", "--venues", at("venues.json"), "--pages", at("pages"), "--out", at("raw"), "--as-of", "2026-09-07"], spark) == 0
-    assert spark.read.parquet(at("raw")).count() == 2
+    assert spark.read.parquet(at("raw")).count() == 1
     build = ["build", "--raw", at("raw"), "--venues", at("venues.json"), "--snapshots", at("snaps"), "--generated"]
     assert main([*build, "2026-09-07", "--start", "2026-09-07", "--end", "2026-11-01"], spark) == 0
     assert main(["changed", "--snapshots", at("snaps"), "--generated", "2026-09-07"], spark) == 0
     assert main([*build, "2026-09-14", "--start", "2026-09-07", "--end", "2026-11-01"], spark) == 0
     assert main(["changed", "--snapshots", at("snaps"), "--generated", "2026-09-14"], spark) == 1
     assert main([*build, "2026-09-21", "--start", "2026-09-20", "--end", "2026-11-01"], spark) == 2
+    assert main(["audit", "--snapshot", at("snaps/generated=2026-09-14")], spark) == 0
+    assert "no copy at all: a 1" in capsys.readouterr().out
     (tmp_path / "t.html").write_text("<p>/*__EVENTS__*/[]</p>")
     assert main(["page", "--snapshot", at("snaps/generated=2026-09-14"), "--venues", at("venues.json"), "--template", at("t.html"), "--out", at("out")], spark) == 0
     page = spark.read.text(at("out")).first()["value"]
