@@ -261,9 +261,9 @@ def keyed_by_blocks(distinct: DataFrame, radius: int, blocks: int) -> DataFrame:
     return distinct.select("fp", bits.alias("bits"), F.explode(keys).alias("_k")).select("fp", "bits", "_k.*")
 
 
-def bands_for(rows: int, similarity: float, miss: float = 0.003) -> tuple[int, int]:
+def bands_for(rows: int, similarity: float, miss: float = 1e-4) -> tuple[int, int]:
     """(bands, minima in each): a pair at ``similarity`` shares no band with a probability of ``miss`` at most, and a band is wider the more rows there are."""
-    wide = max(6, math.ceil(math.log10(max(1, rows))) - 1)
+    wide = max(5, math.ceil(math.log10(max(1, rows))) - 1)
     return math.ceil(math.log(miss) / math.log(1 - similarity**wide)), wide
 
 
@@ -508,7 +508,7 @@ LANES = 4
 def roots(marked: DataFrame, text_col: str, words: int, similarity: float, tile: int) -> DataFrame:
     """(``_nd_fp``, ``_nd_root``) of every long fingerprint of ``measured`` rows that has a similar one."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = round(64 * LANES * share + 3 * math.sqrt(64 * LANES * share * (1 - share)))
+    radius = round(64 * LANES * share + 3.5 * math.sqrt(64 * LANES * share * (1 - share)))
     distinct = cut(marked.groupBy(F.col("_nd_fp").alias("fp")).agg(F.first("_nd_bits").alias("bits"), F.first("_nd_keys").alias("keys")))
     keyed = distinct.select("fp", "bits", F.posexplode("keys").alias("mask", "key"))
     texts = marked.select(F.col("_nd_fp").alias("fp"), F.col(text_col).alias("text"))
@@ -530,10 +530,10 @@ def roots(marked: DataFrame, text_col: str, words: int, similarity: float, tile:
 def similar_classes(docs: DataFrame, text_col: str = "text", words: int = 5, similarity: float = 0.8, tile: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Rows and classes by the Jaccard similarity of shingle sets, each link verified: ``docs`` with ``_nd_row`` and ``_nd_fp``, written, and (``_nd_row``, ``_nd_root``), equal for rows of one class.
 
-    A pair at the threshold shares a band with a probability of 0.997 at least. Two sets of
+    A pair at the threshold shares a band with a probability of 0.9999 at least. Two sets of
     similarity J have, at equal sizes, the cosine 2J / (1 + J), and a bit differs with the
-    probability angle / pi; pairs within that share of the bits plus three standard deviations
-    count as near. Of each shard's near pairs a spanning forest, nearest first, is verified.
+    probability angle / pi; pairs within that share of the bits plus 3.5 standard deviations (0.9998
+    of those at the threshold) count as near. Of each shard's near pairs a spanning forest, nearest first, is verified.
     Where a pair of it fails, and in hot shards, every near pair of different classes of the
     shard is tested exactly, where the members outside its largest class meet all others; only links
     leave the task. Texts of equal long fingerprints are one node.
