@@ -75,7 +75,8 @@ def shuffled(events: DataFrame, starred: DataFrame, seed: int) -> DataFrame:
     """``events`` in a random order that favours theatre and starred shows: by a uniform number to the power 1 / weight. The same ``seed`` gives the same order."""
     marked = events.join(starred.select("key", F.lit(True).alias("_star")), "key", "left")
     weight = F.when(F.array_contains("tags", "theatre"), THEATRE_WEIGHT).otherwise(1) * F.when(F.col("_star"), STAR_WEIGHT).otherwise(1)
-    uniform = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "key", F.lit(str(seed)))), 1, 13), 16, 10).cast("double")
+    uniform = (drawn + 0.5) / float(1 << 52)
     return marked.withColumn("_w", F.pow(uniform, 1 / weight)).orderBy(F.desc("_w"), "key").drop("_w", "_star")
 
 

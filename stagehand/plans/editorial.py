@@ -256,10 +256,13 @@ def tag_facets(spark, d):
     return facets.tag_facet(_events(spark, d))
 
 
-@query()
+@query("""WITH u AS (SELECT doc_id, ('0x' || substr(md5(doc_id || '|7'), 1, 13))::BIGINT::DOUBLE AS u, CASE WHEN n_chars > 3000 THEN 4 ELSE 1 END * CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 5 ELSE 1 END AS w FROM documents)
+SELECT doc_id, row_number() OVER (ORDER BY k DESC)::INTEGER AS place FROM (SELECT doc_id, pow((u + 0.5) / 4503599627370496, 1.0::DOUBLE / w) AS k FROM u ORDER BY k DESC LIMIT 100)""")
 def weighted_order(spark, d):
+    """The first hundred of a shuffle, as a page shows them."""
     starred = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").cast("string").alias("key"))
-    return facets.shuffled(_events(spark, d), starred, 7).select("doc_id")
+    first = facets.shuffled(_events(spark, d), starred, 7).select("doc_id").limit(100)
+    return first.agg(F.collect_list("doc_id").alias("ids")).select(F.posexplode("ids").alias("p", "doc_id")).select("doc_id", (F.col("p") + 1).cast("int").alias("place"))
 
 
 @query("SELECT p_partkey, p_brand || '::' || substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 80) AS key FROM part")
