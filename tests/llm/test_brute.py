@@ -332,3 +332,20 @@ def test_secrets_against_plain_version(spark):
             secrets.scan(table)
     finally:
         spark.conf.unset("spark.stagehand.vocabulary")
+
+
+def test_candidates_grow_with_the_input(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(40))
+
+    def proposed(n):
+        texts = [passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(160)) for _ in range(n)]
+        texts += [t.replace(" w", " v", 1) for t in texts[: n // 4]]
+        marked = simhash.measured(docs(spark, texts), "text", 5, 0.8, len(texts))
+        keyed = marked.select(F.col("_nd_fp").alias("fp"), F.col("_nd_bits").alias("bits"), F.posexplode("_nd_keys").alias("mask", "key"))
+        return simhash.searched(simhash.first_round(keyed, *simhash.hot_shards(keyed, 1024)), 60, True).select("a", "b").distinct().count()
+
+    few, many = proposed(200), proposed(400)
+    assert 50 <= few <= 60 and 100 <= many <= 2.1 * few
+    shapes = [simhash.bands_for(n, 0.8) for n in (10, 10**6, 10**8, 10**10)]
+    assert shapes == sorted(shapes) and all((1 - 0.8**wide) ** bands <= 1e-4 for bands, wide in shapes)
