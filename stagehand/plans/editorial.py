@@ -13,7 +13,7 @@ from stagehand.operators import audits, build, facets, judgement, patches, searc
 from stagehand.operators import windows as win
 from stagehand.plans.catalogue import IS_ENGLISH, query
 from stagehand.session import table
-from stagehand.sources import details, probes
+from stagehand.sources import details, fetching, probes
 
 DAY = datetime.date
 
@@ -362,3 +362,9 @@ def table_checksum(spark, d):
     line = F.concat_ws(":", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority")
     number = F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("decimal(38,0)")
     return table(spark, d, "orders").agg(F.count("*").alias("n"), F.sum(number).cast("decimal(38,0)").cast("string").alias("checksum"))
+
+
+@query("SELECT * FROM (SELECT event_id, user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6 AS waited FROM events) WHERE waited < 3600")
+def hasty_requests(spark, d):
+    """Events less than an hour after the one before of the same user, as an audit of a crawl's log finds hasty requests."""
+    return fetching.hasty(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], 3600.0).drop("ts")
