@@ -202,7 +202,7 @@ def selectors(venues: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     return kept.select("venue_id", "pos", title.alias("title"), "e.credits", "e.space", F.coalesce("e.url", "whats_on_url").alias("url"), "w.first_date", "w.last_date", "e.description", F.col("e.tags").alias("venue_tags"), F.lit("selectors").alias("source"))
 
 
-def _whole(rows: DataFrame) -> DataFrame:
+def whole(rows: DataFrame) -> DataFrame:
     """All of ``COLUMNS``; fields that a strategy doesn't give are null."""
     if "space" not in rows.columns:
         rows = rows.withColumn("space", F.lit(None).cast("string"))
@@ -221,4 +221,4 @@ def extract(venues: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     linked = jsonld(of("auto", "jsonld"), pages, as_of)
     bare = of("auto").join(linked.select(F.col("venue_id").alias("id")), "id", "left_anti")
     read = [linked, selectors(of("selectors").unionByName(bare.select(*named.columns)), pages, as_of), dated_clusters(of("dated_clusters"), pages, as_of), sections(of("immersive_rumours"), pages, as_of), wp_rest(of("wp_rest"), pages, as_of), sanity(of("sanity"), pages, as_of)]
-    return reduce(DataFrame.unionByName, map(_whole, read))
+    return reduce(DataFrame.unionByName, map(whole, read))
