@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagehand.functions.columns import filled
-from stagehand.sources import details
-from stagehand.sources.probes import root
+from stagehand.sources import details, sinks
+from stagehand.sources.probes import SITEMAPS, root
 
 #: Hours that a listing and a show's own page stay fresh, seconds between two requests to a host, plain and rendered, and of waiting for an answer.
 LISTING_HOURS, DETAIL_HOURS = 12, 720
@@ -54,6 +54,18 @@ def of_listings(venues: DataFrame) -> DataFrame:
     return venues.select(wanted.alias("url"), needs_browser(venues).alias("rendered")).filter(filled(F.col("url")))
 
 
+def rest_index(url: Column) -> Column:
+    """Where a site's REST index of types would be."""
+    return F.concat(root(url), F.lit("/wp-json/wp/v2/types"))
+
+
+def of_probes(venues: DataFrame) -> DataFrame:
+    """Requests for what probes look at: listing pages, and REST indexes and sitemaps of their sites, which need no browser."""
+    at = venues.select(F.col("whats_on_url").alias("url")).filter(filled(F.col("url")))
+    aside = at.select(F.explode(F.array(rest_index(F.col("url")), *[F.concat(root(F.col("url")), F.lit(p)) for p in SITEMAPS])).alias("url"), F.lit(False).alias("rendered"))
+    return of_listings(venues).unionByName(aside)
+
+
 def of_details(rows: DataFrame, venues: DataFrame) -> DataFrame:
     """Requests for the own pages of listing rows that want them."""
     of = venues.select(F.col("id").alias("venue_id"), F.col("whats_on_url").alias("_on"), F.coalesce("skip_stage2", F.lit(False)).alias("_skip"), needs_browser(venues).alias("rendered"))
@@ -98,19 +110,10 @@ def fetch(requests: DataFrame, tasks: int, get: Get = plain, render: Get | None
 
 def refresh(requests: DataFrame, path: str, as_of: Column, hours: int, tasks: int, **ways) -> None:
     """Fetches what is ``due`` of ``requests`` and appends it to the table of pages at ``path``."""
-    pages = stored(requests, path)
+    pages = sinks.read_or(requests.sparkSession.createDataFrame([], PAGE), path)
     fetch(due(requests, pages, as_of, hours), tasks, **ways).write.mode("append").parquet(path)
 
 
-def stored(like: DataFrame, path: str) -> DataFrame:
-    """The table of pages at ``path``; empty if there is none yet."""
-    spark = like.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.read.schema(PAGE).parquet(path)
-    return spark.createDataFrame([], PAGE)
-
-
 def latest(pages: DataFrame) -> DataFrame:
     """The last page without an error of each url (plain and rendered alike)."""
     rest = [c for c in pages.columns if c != "url"]

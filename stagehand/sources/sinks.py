@@ -65,6 +65,13 @@ def swap(rows: DataFrame, path: str) -> None:
     files.delete(at(old), True)
 
 
+def read_or(empty: DataFrame, path: str) -> DataFrame:
+    """The table at ``path`` with the schema of ``empty``; ``empty`` if there is no whole table."""
+    spark = empty.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return spark.read.schema(empty.schema).parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else empty
+
+
 def envelope(records: DataFrame, start, end, generated) -> DataFrame:
     """One row (window, generated, count) that goes beside a snapshot."""
     return records.agg(F.array(F.lit(start), F.lit(end)).alias("window"), F.lit(generated).alias("generated"), F.count("*").alias("count"))
