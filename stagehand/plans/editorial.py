@@ -13,9 +13,10 @@ from stagehand.operators import audits, build, facets, judgement, patches, searc
 from stagehand.operators import windows as win
 from stagehand.plans.catalogue import IS_ENGLISH, query
 from stagehand.session import table
-from stagehand.sources import details, fetching, probes
+from stagehand.sources import details, fetching, listings, probes
 
 DAY = datetime.date
+NOON = datetime.datetime(2026, 9, 7, 12)
 
 
 def _docs(spark, d):
@@ -368,3 +369,41 @@ def table_checksum(spark, d):
 def hasty_requests(spark, d):
     """Events less than an hour after the one before of the same user, as an audit of a crawl's log finds hasty requests."""
     return fetching.hasty(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], 3600.0).drop("ts")
+
+
+CREDIT_LEAD = r"(?i)^((book|music|lyrics|text|words|choreography)\s+)?(written|adapted|devised|directed|choreographed|designed|presented|produced|created|composed)?\s*by:?\s+"
+CREDIT_TEXTS = ["Written by ", "Directed by Ann Lee and Bo Ray. By ", "Music by: Cy Om, Di Po. ", "By a stranger and ", "Directed by Al Bo Cy Di Ed Flo and ", ""]
+
+
+@query(rf"""WITH t AS (SELECT doc_id, trim({CREDIT_TEXTS}[doc_id % 6 + 1] || CASE WHEN doc_id % 4 < 3 THEN 'Eve Fox' || repeat('.', (doc_id % 2)::INTEGER) ELSE coalesce(text, '') END) AS t FROM documents),
+s AS (SELECT doc_id, t, unnest(list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS s FROM t),
+n AS (SELECT doc_id, t, s, list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(s, '{CREDIT_LEAD}', '')), '[.!?]+$', ''), '[\s,]+'), lambda w: w <> '' AND NOT list_contains(
+ ['and', 'with', 'the', 'of', 'by', 'from', '&', 'written', 'adapted', 'devised', 'directed', 'choreographed', 'designed', 'presented', 'produced', 'created', 'composed', 'book', 'music', 'lyrics', 'text', 'words'], regexp_replace(lower(w), ':+$', ''))) AS names FROM s)
+SELECT doc_id, bool_and(regexp_matches(s, '{CREDIT_LEAD}') AND len(names) BETWEEN 1 AND 6 AND len(list_filter(names, lambda w: NOT regexp_matches(w, '^\p{{Lu}}'))) = 0) AND length(any_value(t)) <= 200 AS credits FROM n GROUP BY doc_id""")
+def credit_lines(spark, d):
+    own = F.when(F.col("doc_id") % 4 < 3, F.concat(F.lit("Eve Fox"), F.repeat(F.lit("."), (F.col("doc_id") % 2).cast("int")))).otherwise(F.coalesce("text", F.lit("")))
+    lead = F.get(F.array(*[F.lit(t) for t in CREDIT_TEXTS]), (F.col("doc_id") % 6).cast("int"))
+    told = F.trim(F.concat(lead, own))
+    return _docs(spark, d).filter(told != "").select("doc_id", tx.is_credits(told).alias("credits"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS url FROM pages) SELECT url, min(page_id) AS page_id, count(*) AS copies FROM p WHERE page_id < 120 GROUP BY url""")
+def fresh_pages(spark, d):
+    """The latest copy of each site's page within two hours; page n was fetched n minutes ago."""
+    pages = _fetched(spark, d)
+    copies = pages.filter("page_id < 120").groupBy("url").agg(F.count("*").alias("copies"))
+    return listings.fresh(pages, F.lit(NOON), 2).select("url", "page_id").join(copies, "url")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS url, page_id % 2 = 0 AS rendered FROM pages)
+SELECT url, rendered FROM p EXCEPT SELECT url, rendered FROM p WHERE page_id % 3 = 0 AND page_id % 5 > 0 AND page_id < 120""")
+def due_requests(spark, d):
+    """Requests without a page that was fetched whole within two hours."""
+    asked = _fetched(spark, d)
+    stored = asked.filter("page_id % 3 = 0").withColumn("error", F.when(F.col("page_id") % 5 == 0, "HTTP 500"))
+    return fetching.due(asked, stored, F.lit(NOON), 2)
+
+
+def _fetched(spark, d):
+    at = F.lit(NOON) - F.make_interval(mins=F.col("page_id").cast("int"))
+    return table(spark, d, "pages").select("page_id", probes.root(F.col("url")).alias("url"), (F.col("page_id") % 2 == 0).alias("rendered"), at.alias("fetched_at"))
