@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, media, mixing, packing, pii, quality, secrets, simhash, topk
+from . import html_extract, langid, media, mixing, packing, pii, quality, resample, secrets, simhash, topk
 from .common import cut
 
 
@@ -120,3 +120,50 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op5_topk": op5_topk, "op10_html": op10_html}
 ORACLES |= {"op5_topk": OP5_SQL}
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) AS r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+goal AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+seen AS (
+  SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM docs WHERE len(w) > 0),
+wanted AS (
+  SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM goal WHERE len(w) > 0),
+runs AS (SELECT f FROM seen UNION SELECT f FROM wanted),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM runs),
+sums AS (
+  SELECT f, list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT),
+                        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT) AS c
+  FROM hexed, crc),
+buckets AS (SELECT f, xor(c, 4294967295::BIGINT) % 10000 AS bucket FROM sums),
+s AS (SELECT bucket, count(*) AS s FROM seen JOIN buckets USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM wanted JOIN buckets USING (f) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS ss, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS tt),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket), totals),
+weights AS (
+  SELECT doc_id, count(*)::BIGINT AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM seen JOIN buckets USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(len(w), 0) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (doc_id)),
+able AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS many FROM scored WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * many // 100 THEN place END AS rank
+FROM scored LEFT JOIN able USING (doc_id)
+"""
+QUERIES |= {"op12_resample": op12_resample}
+ORACLES |= {"op12_resample": OP12_SQL}
