@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, media, mixing, packing, pii, quality, resample, secrets, simhash, topk
+from . import html_extract, langid, lexical, media, mixing, packing, pii, quality, resample, secrets, simhash, topk
 from .common import cut
 
 
@@ -167,3 +167,29 @@ FROM scored LEFT JOIN able USING (doc_id)
 """
 QUERIES |= {"op12_resample": op12_resample}
 ORACLES |= {"op12_resample": OP12_SQL}
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+totals AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM docs WHERE len(w) > 0),
+postings AS (
+  SELECT doc_id, term, tf::BIGINT AS tf, many::BIGINT AS many
+  FROM (SELECT doc_id, term, count(*) AS tf, any_value(many) AS many FROM (SELECT doc_id, unnest(w) AS term, len(w) AS many FROM docs WHERE len(w) > 0) GROUP BY doc_id, term)
+  WHERE term IN (SELECT term FROM asked)),
+weights AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+impacts AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * many * n) // l)) AS impact FROM postings, totals),
+scored AS (SELECT item_id, doc_id, sum(w * impact)::BIGINT AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+QUERIES |= {"op13_lexical": op13_lexical}
+ORACLES |= {"op13_lexical": OP13_SQL}
