@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, lexical, media, mixing, packing, pii, quality, resample, secrets, simhash, topk
+from . import html_extract, langid, lexical, lm, media, mixing, packing, pii, quality, resample, secrets, simhash, topk
 from .common import cut
 
 
@@ -193,3 +193,13 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 QUERIES |= {"op13_lexical": op13_lexical}
 ORACLES |= {"op13_lexical": OP13_SQL}
+
+
+def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(_fold(7) == 2, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    model = lm.fit(docs, _fold(7) != 2)
+    return lm.score(docs, model, keep=("doc_id", "held_out"))
+
+
+QUERIES |= {"op11_lm": op11_lm}
