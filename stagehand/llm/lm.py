@@ -45,7 +45,7 @@ UNKNOWN = (1 << 64) - 1
 #: Tokens that are counted or scored at a time.
 SLICE = 1 << 20
 #: N-grams that a task holds before it sends their counts.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Counts up to this are kept in a byte.
 BYTE = 254
 BLOBS = "kind int, shard int, n long, data binary"
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, train: Column, order: int = 2, shards: int | None = Non
     files.deleteOnExit(path)
     texts = docs.filter(train).select(F.col("text").cast("string").alias("text"))
     ends, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    shards = shards or int(min(1 << 15, max(8, -(-chars // (1 << 25)))))
+    shards = shards or int(min(1 << 15, max(8, -(-chars // (1 << 23)))))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
