@@ -43,9 +43,11 @@ from .tokens import SPACED, U, mix, pieces, words
 START, END, WORDS = 0, 1, 2
 UNKNOWN = (1 << 64) - 1
 #: Tokens that are counted or scored at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: N-grams that a task holds before it sends their counts.
-HELD = 1 << 21
+HELD = 1 << 20
+#: Bytes of texts that are read at a time.
+PIECE = 1 << 21
 #: Counts up to this are kept in a byte.
 BYTE = 254
 BLOBS = "kind int, shard int, n long, data binary"
@@ -85,13 +87,20 @@ def chained(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
-    """64-bit columns as planes of bytes, most of which are alike and so compress."""
-    return b"".join(np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    """Columns as planes of bytes, lowest first, as many as the largest value needs; each plane's bytes are alike and so compress."""
+    widths = [max(1, -(-int(c.max(initial=0)).bit_length() // 8)) for c in columns]
+    planes = (np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip(columns, widths))
+    return bytes([len(columns), *widths]) + b"".join(planes)
 
 
 def unpacked(data: bytes, n: int) -> list[np.ndarray]:
-    planes = np.frombuffer(data, np.uint8).reshape(-1, 8, n)
-    return [np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes]
+    out, at = [], 1 + data[0]
+    for w in data[1:at]:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :w] = np.frombuffer(data, np.uint8, w * n, at).reshape(w, n).T
+        out.append(wide.view("<u8").ravel())
+        at += w * n
+    return out
 
 
 def merged(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -321,13 +330,13 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def _hashes(b: pa.RecordBatch | None) -> Iterator[np.ndarray]:
     if b is not None:
-        for _, _, data, offsets in pieces(b.column("text")):
+        for _, _, data, offsets in pieces(b.column("text"), PIECE):
             yield words(data, offsets, SPACED).hashes()
 
 
 def _sequences(b: pa.RecordBatch | None, arrays: Mapped, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     if b is not None:
-        for _, _, data, offsets in pieces(b.column("text")):
+        for _, _, data, offsets in pieces(b.column("text"), PIECE):
             w = words(data, offsets, SPACED)
             _, place = arrays.counts(0, w.hashes())
             seq, first = sequence(place.astype(U) + U(WORDS), w.count, order)
@@ -387,7 +396,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         for b in batches:
             n, known = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             plain, full = np.zeros(b.num_rows), np.zeros(b.num_rows)
-            for at, to, data, offsets in pieces(b.column(b.num_columns - 1)):
+            for at, to, data, offsets in pieces(b.column(b.num_columns - 1), PIECE):
                 w = words(data, offsets, SPACED)
                 c, place = arrays.counts(0, w.hashes())
                 row = np.repeat(np.arange(at, to), w.count)
