@@ -7,11 +7,11 @@ import datetime
 import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagehand import service
-from stagehand.operators import audits, judgement, patches, search, snapshots
+from stagehand.operators import audits, judgement, numbering, patches, search, snapshots
 from stagehand.operators import build as steps
 from stagehand.session import build
 from stagehand.sources import fetching, listings, probes, sinks, validation
@@ -37,8 +37,8 @@ def whole(path: str, spark: SparkSession) -> str:
 
 
 def numbered(snapshot: DataFrame) -> DataFrame:
-    """Events with ``idx``, their place by date, venue and title. One window over a weekly snapshot, not over a corpus."""
-    return snapshot.withColumn("idx", F.row_number().over(Window.orderBy("first_date", "venue_id", "title")) - 1)
+    """Events with ``idx``, their place by date, venue and title."""
+    return numbering.numbered(snapshot, "first_date", "venue_id", "title")
 
 
 def settings(path: str, spark: SparkSession) -> DataFrame:

@@ -1,57 +1,73 @@
-"""Linked data (JSON-LD) and meta elements of pages, which no built-in walks."""
+"""Linked data (JSON-LD) of pages as VARIANT trees, walked level by level in the JVM by a recursive query.
 
-from __future__ import annotations
+A page's blocks are parsed by ``try_parse_json`` (a block that isn't JSON, or names a key twice, counts as empty) and every object and array inside
+is a row of the walk, whatever its depth. Typed objects come in the order in which a stack gives them: a block's before the next one's, an object before
+what is in it, and of what an object or array holds the last first. A VARIANT keeps the keys of an object in alphabetical order, so that is the order of
+values in one object; items of an array keep theirs.
+
+Pages are told apart by a digest of their body, so equal bodies are walked once, and pages without linked data aren't walked at all.
+"""
 
-import json
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-SCRIPT = re.compile(r"<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>", re.I | re.S)
-FIELDS = ("type", "title", "url", "start", "end", "description", "price")
-NODES = T.StructType([T.StructField("blocks", T.IntegerType()), T.StructField("nodes", T.ArrayType(T.StructType([*(T.StructField(name, T.StringType()) for name in FIELDS), T.StructField("keys", T.ArrayType(T.StringType()))])))])
-
-
-def _objects(page: str | None) -> tuple[int, list[dict]]:
-    """How many blocks a page has, and their typed objects, outer ones first; blocks that aren't JSON count as empty."""
-    said = lambda v: v if isinstance(v, str) else None
-
-    def walk(node) -> Iterator[dict]:
-        todo = [node]
-        while todo:
-            at = todo.pop()
-            if isinstance(at, dict):
-                if at.get("@type"):
-                    yield at
-                at = list(at.values())
-            if isinstance(at, list):
-                todo.extend(x for x in reversed(at) if isinstance(x, dict | list))
-
-    found, blocks = [], SCRIPT.findall(page or "")
-    for block in blocks:
-        try:
-            tree = json.loads(block.strip())
-        except (ValueError, RecursionError):
-            continue
-        for e in walk(tree):
-            offers, kinds = e.get("offers"), e["@type"]
-            price = offers.get("price") if isinstance(offers, dict) else None
-            found.append({
-                "type": ",".join(map(str, kinds)) if isinstance(kinds, list) else str(kinds), "title": said(e.get("name")), "url": said(e.get("url")),
-                "start": said(e.get("startDate")), "end": said(e.get("endDate")), "description": said(e.get("description")),
-                "price": str(price) if price else None, "keys": sorted(e),
-            })
-    return len(blocks), found
-
-
-@F.pandas_udf(NODES)
-def linked_data(pages: pd.Series) -> pd.DataFrame:
-    """The number of JSON-LD blocks of each page and their typed objects, of trees of any depth."""
-    return pd.DataFrame([_objects(p) for p in pages], columns=["blocks", "nodes"])
+
+SCRIPT = r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
+NODE = "type string, title string, url string, start string, end string, description string, price string, keys array<string>"
+WALK = """
+WITH RECURSIVE walk(key, path, v) AS (
+  SELECT key, array(block), try_parse_json(text) FROM {blocks}
+  UNION ALL
+  SELECT w.key, array_append(w.path, -c.pos), c.value FROM walk w, LATERAL variant_explode(w.v) c
+  WHERE try_variant_get(c.value, '$', 'map<string,variant>') IS NOT NULL OR try_variant_get(c.value, '$', 'array<variant>') IS NOT NULL)
+SELECT key, path, v FROM walk WHERE try_variant_get(v, '$["@type"]', 'variant') IS NOT NULL"""
+
+
+def blocks(body: Column) -> Column:
+    """The texts of a page's blocks."""
+    return F.coalesce(F.regexp_extract_all(body, F.lit(SCRIPT), F.lit(1)), F.array().cast("array<string>"))
+
+
+def _said(v: Column, name: str) -> Column:
+    """A field that is a text, else null."""
+    field = F.try_variant_get(v, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+
+
+def _type(v: Column) -> Column:
+    """The types of an object, joined by commas; null if it names none."""
+    many = F.array_join(F.try_variant_get(v, '$["@type"]', "array<string>"), ",")
+    return F.nullif(F.coalesce(many, F.try_variant_get(v, '$["@type"]', "string"), F.to_json(F.try_variant_get(v, '$["@type"]', "variant"))), F.lit(""))
+
+
+def objects(pages: DataFrame, key: str, body: str) -> DataFrame:
+    """(``key``, ``path``, ``NODE``) of every typed object of pages with distinct keys; ``path`` gives their order."""
+    spark = pages.sparkSession
+    # The defaults stop a query of a million rows or a hundred levels.
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+    texts = pages.select(F.col(key).alias("key"), F.posexplode(blocks(F.col(body))).alias("block", "text")).withColumn("text", F.trim("text"))
+    found = spark.sql(WALK, blocks=texts)
+    v = F.col("v")
+    price = F.nullif(F.try_variant_get(v, "$.offers.price", "string"), F.lit(""))
+    told = found.select(
+        F.col("key").alias(key), "path", _type(v).alias("type"), _said(v, "name").alias("title"), *[_said(v, n).alias(a) for n, a in (("url", "url"), ("startDate", "start"), ("endDate", "end"), ("description", "description"))],
+        F.when(~F.coalesce(price.try_cast("double") == 0, F.lit(False)), price).alias("price"), F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))).alias("keys"),
+    )
+    return told.filter(F.col("type").isNotNull())
+
+
+def with_objects(rows: DataFrame, body: str, nodes: str = "_nodes", count: str = "_blocks") -> DataFrame:
+    """Adds the typed objects of each row's page, in order, and how many blocks it has (null for no page)."""
+    marked = rows.withColumn("_digest", F.sha2(F.col(body), 256))
+    some = marked.filter(F.col(body).rlike("(?i)application/ld\\+json")).select("_digest", body).dropDuplicates(["_digest"])
+    fields = [c.split()[0] for c in NODE.split(", ")]
+    found = objects(some, "_digest", body).groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("path", *fields))).alias("_all"))
+    empty = F.array().cast(f"array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>")
+    listed = F.coalesce(F.transform("_all", lambda n: F.struct(*[n[f].alias(f) for f in fields])), empty)
+    joined = marked.join(found, "_digest", "left")
+    return joined.select(*rows.columns, listed.alias(nodes), F.when(F.col(body).isNotNull(), F.size(blocks(F.col(body)))).alias(count))
 
 
 def events(nodes: Column) -> Column:

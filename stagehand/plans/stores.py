@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagehand.functions import linked
+from stagehand.operators.numbering import numbered
 from stagehand.plans.catalogue import query
 from stagehand.session import scratch, table
 from stagehand.sources import pagestore
@@ -55,3 +57,28 @@ def remembered_judgements(spark, d):
 
 def _kind(row) -> str:
     return row.event_type
+
+
+@query("SELECT l_orderkey, l_linenumber, (row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber))::BIGINT - 1 AS idx FROM lineitem")
+def shipping_order(spark, d):
+    """Every line's place by the day it was shipped, numbered by ranges."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return numbered(lines, "l_shipdate", "l_orderkey", "l_linenumber").drop("l_shipdate")
+
+
+@query("""WITH
+e AS (SELECT 'TheaterEvent' AS type, o_totalprice AS price FROM orders UNION ALL SELECT 'Offer', l_extendedprice FROM lineitem UNION ALL SELECT 'Place', NULL FROM orders)
+SELECT type, count(*) AS n, count(price) AS priced, round(sum(price), 2) AS total, count(CASE WHEN type = 'TheaterEvent' THEN 1 END) AS events FROM e GROUP BY 1""")
+def linked_orders(spark, d):
+    """Orders as pages of linked data, an event with its offers nested in it, read back by the walk."""
+    offers = table(spark, d, "lineitem").select("l_orderkey", F.struct(F.lit("Offer").alias("@type"), F.struct(F.col("l_extendedprice").cast("decimal(18,2)").alias("price")).alias("offers"), F.col("l_linenumber").alias("n")).alias("offer"))
+    lines = offers.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("offer")).alias("lines"))
+    event = F.struct(
+        F.lit("TheaterEvent").alias("@type"), F.concat(F.lit("Order "), "o_orderkey").alias("name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("startDate"),
+        F.struct(F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.lit(None).cast("string").alias("currency")).alias("offers"), F.struct(F.lit("Place").alias("@type"), F.array(F.col("lines")).alias("holds")).alias("location"),
+    )
+    script = F.concat(F.lit('<p>x</p><script type="application/ld+json">'), F.to_json(F.struct(F.array(event).alias("@graph"))), F.lit("</script>"))
+    pages = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", script.alias("body"))
+    found = linked.objects(pages, "o_orderkey", "body")
+    price = F.col("price").cast("double")
+    return found.groupBy("type").agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.round(F.sum(price), 2).alias("total"), F.count_if(F.col("type").contains("Event")).alias("events"))

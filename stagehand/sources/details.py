@@ -24,9 +24,6 @@ from stagehand.operators.windows import plausible
 #: Where the copy of a page is, and headings that it stands under.
 ROOTS = "article, main, [role='main'], .entry-content"
 PLOT_HEADINGS = {"synopsis", "about the show", "about the production", "the story", "the plot"}
-HEADINGS = {"synopsis", "about the show", "about the production", "the story", "the plot"}
-#: Texts of headings that are no titles.
-NO_TITLE = r"(?i)^(?:book now|tickets?|more info|read more|buy now|dates?|until|what'?s on|upcoming|your visit|about us|buy tickets|(?:spring|summer|autumn|winter|fall) 20\d\d)$"
 HEADINGS = ("h1", "h2", "h3", "h4", "h5")
 
 
@@ -235,7 +232,7 @@ def facts_of(pages: DataFrame, as_of: Column, title: str = "title", selector: st
     Linked data come first, if their run is plausible, then the element of ``selector``; the copy is
     the best of synopsis, linked data and a meta description that names the show.
     """
-    rows = pages.withColumn("_f", page_facts("body")).withColumn("_l", F.get(linked.events(linked.linked_data("body")["nodes"]), 0))
+    rows = linked.with_objects(pages, "body").withColumn("_f", page_facts("body")).withColumn("_l", F.get(linked.events(F.col("_nodes")), 0))
     rows = rows.withColumn("_s", synopsis(F.col("body"), F.col(title)))
     rows = rows.withColumn("_w", detail_dates(F.col("body"), F.col(selector), as_of) if selector else F.lit(None).cast("struct<first_date:date,last_date:date>"))
     start, end = iso_day(F.col("_l.start")), iso_day(F.col("_l.end"))
@@ -248,7 +245,7 @@ def facts_of(pages: DataFrame, as_of: Column, title: str = "title", selector: st
         text.pick_description(F.col("_s"), F.col("_l.description"), text.og_for_show(F.col("_f.meta_copy"), F.col(title))).alias("description"),
         F.coalesce(price, named["price_min"]).alias("price_min"), F.when(price.isNull(), named["price_max"]).alias("price_max"),
     )
-    return rows.withColumn("d", told).drop("_f", "_l", "_s", "_w")
+    return rows.withColumn("d", told).drop("_f", "_l", "_s", "_w", "_nodes", "_blocks")
 
 
 def wants_detail(url: Column, listing: Column, description: Column, first_date: Column) -> Column:

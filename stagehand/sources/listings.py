@@ -101,7 +101,7 @@ def seed(spark: SparkSession, venues: dict[str, dict]) -> DataFrame:
 def jsonld(venues: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     """Rows of schema.org events; the end is the start if none is given, free text is read as a range of dates."""
     at = venues.select(F.col("id").alias("venue_id"), "whats_on_url").join(pages.select("url", "body"), F.col("whats_on_url") == F.col("url"))
-    rows = at.select("venue_id", "whats_on_url", F.posexplode(linked.events(linked.linked_data("body")["nodes"])).alias("pos", "e")).filter(F.coalesce("e.title", F.lit("")) != "")
+    rows = linked.with_objects(at, "body").select("venue_id", "whats_on_url", F.posexplode(linked.events(F.col("_nodes"))).alias("pos", "e")).filter(F.coalesce("e.title", F.lit("")) != "")
     start = iso_day(F.col("e.start"))
     written = parse_range(F.concat_ws(" ", "e.start", "e.end"), as_of)
     rows = rows.select("*", start.alias("s"), iso_day(F.coalesce("e.end", "e.start")).alias("t"), written.alias("w"))

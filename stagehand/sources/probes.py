@@ -195,11 +195,11 @@ def probe(venues: DataFrame, pages: DataFrame, types: DataFrame, maps: DataFrame
     rows = venues.select("id", F.col("whats_on_url").alias("url")).join(pages, "url", "left")
     cards = candidate_cards(pages, "url", "body").groupBy("url").agg(F.array_sort(F.collect_list(F.struct("place", "signature", "n"))).alias("cards"))
     rows = rows.join(cards, "url", "left").join(types.select(F.col("base").alias("final_url"), listing_types(F.col("base"), F.col("body")).alias("_types")), "final_url", "left").join(maps.withColumnRenamed("base", "final_url"), "final_url", "left")
-    rows = rows.withColumn("_l", linked.linked_data("body")).withColumn("_e", linked.events(F.col("_l.nodes")))
+    rows = linked.with_objects(rows, "body").withColumn("_e", linked.events(F.col("_nodes")))
     error = F.when(F.coalesce("url", F.lit("")) == "", "no whats_on_url").when(F.col("body").isNull(), "not fetched")
     told = rows.select(
-        "id", "url", error.alias("error"), "status", "final_url", F.length("body").alias("html_bytes"), F.col("_l.blocks").alias("jsonld_blocks"), F.coalesce(F.size("_e"), F.lit(0)).alias("jsonld_events"),
-        linked.type_counts(F.col("_l.nodes")).alias("jsonld_types"), F.coalesce(F.array_contains(F.get("_e", 0)["keys"], "url"), F.lit(False)).alias("jsonld_has_url"), feeds(F.col("body")).alias("feeds"),
+        "id", "url", error.alias("error"), "status", "final_url", F.length("body").alias("html_bytes"), F.coalesce("_blocks", F.lit(0)).alias("jsonld_blocks"), F.coalesce(F.size("_e"), F.lit(0)).alias("jsonld_events"),
+        linked.type_counts(F.col("_nodes")).alias("jsonld_types"), F.coalesce(F.array_contains(F.get("_e", 0)["keys"], "url"), F.lit(False)).alias("jsonld_has_url"), feeds(F.col("body")).alias("feeds"),
         platforms(F.col("body")).alias("platforms"), visible_length(F.col("body")).alias("text_len"), "cards", "sitemap", sanity_project(F.col("body")).alias("sanity_project"), "_types",
     )
     rest = F.when(F.array_contains("platforms", "wordpress"), F.col("_types"))

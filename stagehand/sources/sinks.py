@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagehand.operators import numbering
 from stagehand.operators.snapshots import shrink_reason
 
 PLACEHOLDER = "/*__EVENTS__*/[]"
@@ -45,7 +46,7 @@ def artifact(events: DataFrame, venues: DataFrame, template: str, order: list[st
     if PLACEHOLDER not in template:
         raise ValueError(f"placeholder {PLACEHOLDER!r} not found")
     meta = venues.select(F.col("id").alias("venue_id"), F.col("name").alias("_name"), F.col("area").alias("_area"))
-    numbered = events.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1).join(meta, "venue_id", "left")
+    numbered = numbering.numbered(events, *order, name="_n").join(meta, "venue_id", "left")
     row = F.struct(*events.columns, F.format_string("e%03d", "_n").alias("id"), F.coalesce("_name", "venue_id").alias("venue_name"), F.coalesce("_area", F.lit("")).alias("venue_area"))
     body = F.array_sort(F.collect_list(F.struct("_n", F.to_json(row, {"ignoreNullFields": "false"}).alias("j"))))
     inside = F.concat(F.lit("["), F.array_join(F.transform(body, lambda r: r["j"]), ", "), F.lit("]"))
