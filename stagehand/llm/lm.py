@@ -43,11 +43,11 @@ from .tokens import SPACED, U, mix, pieces, words
 START, END, WORDS = 0, 1, 2
 UNKNOWN = (1 << 64) - 1
 #: Tokens that are counted or scored at a time.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: N-grams that a task holds before it sends their counts.
 HELD = 1 << 20
 #: Bytes of texts that are read at a time.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Counts up to this are kept in a byte.
 BYTE = 254
 BLOBS = "kind int, shard int, n long, data binary"
