@@ -9,7 +9,7 @@ from stagehand.functions import linked
 from stagehand.operators.numbering import numbered
 from stagehand.plans.catalogue import query
 from stagehand.session import scratch, table
-from stagehand.sources import pagestore
+from stagehand.sources import pagestore, tables
 from stagehand.streaming import memory
 
 FETCHED = "TIMESTAMP '2026-01-01 00:00:00' + (page_id % 96)::INTEGER * INTERVAL 1 HOUR"
@@ -82,3 +82,14 @@ def linked_orders(spark, d):
     found = linked.objects(pages, "o_orderkey", "body")
     price = F.col("price").cast("double")
     return found.groupBy("type").agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.round(F.sum(price), 2).alias("total"), F.count_if(F.col("type").contains("Event")).alias("events"))
+
+
+@query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>')) AS li FROM pages)
+SELECT page_id, count(*) AS links, count(DISTINCT trim(regexp_extract(li, '">([^<]*)<', 1))) AS titles, max(length(regexp_extract(li, 'href="([^"]*)"', 1))) AS longest FROM l GROUP BY 1""")
+def page_links(spark, d):
+    """The links of each page's lists, cut out as cards by a table function called from SQL."""
+    name = tables.register(spark)["selectors"]
+    by = {"show_card": "li", "title": "a", "link": "a[href]"}
+    listed = ", ".join(f"'{k}', '{v}'" for k, v in by.items())
+    found = spark.sql(f"SELECT p.page_id, c.title, c.url FROM {{pages}} p, LATERAL {name}(p.html, map({listed}), '') c", pages=table(spark, d, "pages"))
+    return found.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("title").alias("titles"), F.max(F.length("url")).cast("long").alias("longest"))
