@@ -44,13 +44,13 @@ def host_of(url):
 def store(pages: DataFrame, path: str, number: int | None = None) -> int:
     """Adds fetched pages (as ``fetching.fetch`` gives them) as batch ``number``, the next one unless given; gives its number.
 
-    A host's rows lie in one file for each task that has some; sorting by host keeps those few.
+    Rows are dealt by ranges of host and url, so a host of any size is written by as many tasks as its share needs, and others lie in one file or two.
     """
     spark = pages.sparkSession
     if number is None:
         number = 1 + max(_batches(*_opened(_address(spark, path))), default=-1)
     rows = pages.select(host_of(F.col("url")).alias("host"), *[c.split()[0] for c in PAGE.split(", ")[2:-1]], F.unix_micros("fetched_at").alias("fetched_us"))
-    rows.repartition("host", F.pmod(F.xxhash64("url"), F.lit(8))).sortWithinPartitions("host", "fetched_us").write.mode("overwrite").partitionBy("host").parquet(f"{path.rstrip('/')}/batch={number}")
+    rows.repartitionByRange("host", "url").sortWithinPartitions("host", "fetched_us").write.mode("overwrite").partitionBy("host").parquet(f"{path.rstrip('/')}/batch={number}")
     return number
 
 

@@ -14,10 +14,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from stagehand.functions import markup
-from stagehand.sources import details, listings, sections
+from stagehand.functions.markup import select, tree
+from stagehand.sources.details import BOXES, _boxes
+from stagehand.sources.listings import CARD, _card
+from stagehand.sources.sections import STRIPS, _strips
 
 NUMBER = T.StructField("pos", T.IntegerType())
+# Spark sends these classes with what they name, so they name functions and not modules, whose own UDFs can't be sent.
 
 
 def _checked(name: str, said: dict[str, AnalyzeArgument], wanted: dict[str, type]) -> None:
@@ -41,13 +44,13 @@ class Cards:
             raise ValueError("selectors are a map of texts")
         if selectors.isConstantExpression and selectors.value is not None and not selectors.value.get("show_card"):
             raise ValueError("selectors must name show_card")
-        return AnalyzeResult(schema=_columns(listings.CARD))
+        return AnalyzeResult(schema=_columns(CARD))
 
     def eval(self, page: str | None, selectors: dict[str, str] | None, base: str | None) -> Iterator[tuple]:
         if page is not None and (selectors or {}).get("show_card"):
-            for pos, card in enumerate(markup.select(markup.tree(page), selectors["show_card"])):
-                told = listings._card(card, selectors, base or "")
-                yield (pos, *(told[f.name] for f in listings.CARD.elementType.fields))
+            for pos, card in enumerate(select(tree(page), selectors["show_card"])):
+                told = _card(card, selectors, base or "")
+                yield (pos, *(told[f.name] for f in CARD.elementType.fields))
 
 
 class Boxes:
@@ -57,11 +60,11 @@ class Boxes:
     def analyze(page: AnalyzeArgument, longest: AnalyzeArgument | None = None) -> AnalyzeResult:
         said = {"page": page} | ({"longest": longest} if longest else {})
         _checked("dated_clusters", said, dict(list({"page": T.StringType, "longest": T.IntegerType}.items())[: len(said)]))
-        return AnalyzeResult(schema=T.StructType(details.BOXES.elementType.fields))
+        return AnalyzeResult(schema=T.StructType(BOXES.elementType.fields))
 
     def eval(self, page: str | None, longest: int | None = None) -> Iterator[tuple]:
-        for box in details._boxes(page, longest or 80) if page is not None else ():
-            yield tuple(box[f.name] for f in details.BOXES.elementType.fields)
+        for box in _boxes(page, longest or 80) if page is not None else ():
+            yield tuple(box[f.name] for f in BOXES.elementType.fields)
 
 
 class Strips:
@@ -70,11 +73,11 @@ class Strips:
     @staticmethod
     def analyze(page: AnalyzeArgument) -> AnalyzeResult:
         _checked("immersive_rumours", {"page": page}, {"page": T.StringType})
-        return AnalyzeResult(schema=_columns(sections.STRIPS))
+        return AnalyzeResult(schema=_columns(STRIPS))
 
     def eval(self, page: str | None) -> Iterator[tuple]:
-        for pos, strip in enumerate(sections._strips(page) if page is not None else ()):
-            yield (pos, *(strip[f.name] for f in sections.STRIPS.elementType.fields))
+        for pos, strip in enumerate(_strips(page) if page is not None else ()):
+            yield (pos, *(strip[f.name] for f in STRIPS.elementType.fields))
 
 
 #: Strategies whose rows a page's tree gives.
