@@ -23,8 +23,8 @@ def parse_range(text: Column, as_of: Column, default_year: Column | None = None)
     """A struct (first_date, last_date), both null if no range is found.
 
     The start takes the first year named, the end the last; an end before the start moves a
-    year on if both years are equal. Days without a month take the last month named. A month
-    alone counts with a year or after "until" and is all of it; after "until" the start is ``as_of``, or the end if that is past.
+    year on if both years are equal. Days without a month take the last month named; numbers of a text that
+    names no day of a month are no days. A month alone counts with a year or after "until" and is all of it; after "until" the start is ``as_of``, or the end if that is past.
     """
     lower = F.lower(F.coalesce(text, F.lit("")))
     years = F.regexp_extract_all(lower, F.lit(r"\b(20\d\d)\b"), F.lit(1))
@@ -35,7 +35,7 @@ def parse_range(text: Column, as_of: Column, default_year: Column | None = None)
     for pattern, by in ((r"\b20\d\d\b", " "), (r"(?<=\d)(?:st|nd|rd|th)\b", ""), (rf"\b({MONTH})\.", "$1"), (r"\b(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:days?)?\b", " "), (r"\bat\b.*", " "), (r"\b\d{1,2}[:.]\d\d\s*(?:[ap]m)?\b", " "), (r"\b\d{1,2}\s*[ap]m\b", " ")):
         plain = F.regexp_replace(plain, pattern, by)
     shape = lambda ps: F.filter(F.transform(ps, lambda p: F.struct(p["d"].cast("int").alias("d"), _month(F.nullif(p["m"], F.lit(""))).alias("m"))), lambda p: p["d"].between(1, 31))
-    day_first, month_first = rf"\b(\d{{1,2}})\b(?:\s*({MONTH})\b)?", rf"\b({MONTH})\s+(\d{{1,2}})\b"
+    day_first, month_first = rf"(\d{{1,2}})(?:\s*({MONTH})(?![a-z]))?", rf"({MONTH})\s+(\d{{1,2}})"
 
     def pairs(plain: Column, pattern: str, d: int, m: int) -> Column:
         found = lambda group: F.regexp_extract_all(plain, F.lit(pattern), F.lit(group))
@@ -45,7 +45,7 @@ def parse_range(text: Column, as_of: Column, default_year: Column | None = None)
         named = F.coalesce(F.nullif(F.regexp_extract(lower, rf"\buntil\s+({MONTH})\b", 1), F.lit("")), F.nullif(F.regexp_extract(lower, rf"\b({MONTH})\s+20\d\d\b", 1), F.lit("")))
         lone = _month(named)
         forward, turned = pairs(plain, day_first, 1, 2), pairs(plain, month_first, 2, 1)
-        choose = lambda v: F.when(F.exists(v["f"], lambda p: p["m"].isNotNull()) | (F.size(v["t"]) == 0), v["f"]).otherwise(v["t"])
+        choose = lambda v: F.when(F.exists(v["f"], lambda p: p["m"].isNotNull()), v["f"]).otherwise(v["t"])
         used = let(F.struct(forward.alias("f"), turned.alias("t")), choose)
         return let(F.struct(used.alias("used"), lone.alias("lone"), first_year.alias("y1"), last_year.alias("y2")), dated)
 

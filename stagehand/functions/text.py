@@ -36,19 +36,28 @@ def slug_match(a: Column, b: Column) -> Column:
     return (F.length(a) >= 6) & (F.length(b) >= 6) & (F.contains(a, F.substring(b, 1, 8)) | F.contains(b, F.substring(a, 1, 8)))
 
 
+def _word_of(words: list[str]) -> str:
+    return rf"(?i)(?<!\p{{L}})({'|'.join(words)})(?!\p{{L}})"
+
+
 def is_english(text: Column) -> Column:
     """Mostly Latin letters and, from 20 words, at least two distinct stopwords.
 
-    Each part stops at what decides it: letters are counted only if one isn't Latin, words up
-    to the twentieth, stopwords up to the second.
+    Each part stops at what decides it, and reads a text once: letters are counted only if one isn't Latin, words up
+    to the twentieth, stopwords up to the first and then up to one of the others.
     """
-    stop = rf"(?<!\p{{L}})({'|'.join(STOPWORDS)})(?!\p{{L}})"
-    two = rf"(?is){stop}.*?(?<!\p{{L}})(?!\1(?!\p{{L}}))(?:{'|'.join(STOPWORDS)})(?!\p{{L}})"
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
     foreign = F.regexp_count(text, F.lit(r"[\p{L}&&\P{IsLatin}]"))
     strange = F.when(text.rlike(r"[\p{L}&&\P{IsLatin}]"), (letters >= LETTERS) & (foreign / letters >= NON_LATIN)).otherwise(False)
     short = ~text.rlike(rf"^\P{{L}}*+(?:\p{{L}}++\P{{L}}++){{{WORDS_LEAST - 1}}}\p{{L}}")
-    return F.when(strange, False).when(short, True).otherwise(text.rlike(two))
+
+    def another(first: Column) -> Column:
+        found = F.when(first == "", False)
+        for word in STOPWORDS:
+            found = found.when(first == word, text.rlike(_word_of([w for w in STOPWORDS if w != word])))
+        return found
+
+    return F.when(strange, False).when(short, True).otherwise(let(F.lower(F.regexp_extract(text, _word_of(STOPWORDS), 1)), another))
 
 
 def listing_copy(*parts: Column) -> Column:

@@ -217,6 +217,31 @@ def date_ranges(spark, d):
     return table(spark, d, "orders").select("o_orderkey", dates.parse_range(said, F.lit(DAY(2026, 9, 7))).alias("w")).select("o_orderkey", "w.*")
 
 
+# Numbers before a lone month, and days glued to their months; the SQL reads the texts, not the dates that they were made of.
+LISTED = """CASE WHEN o_orderkey % 4 = 0 THEN 'Studio ' || (o_custkey % 12 + 1) || ', until ' || strftime(o_orderdate + INTERVAL 30 YEAR, '%B %Y')
+ WHEN o_orderkey % 4 = 1 THEN (o_custkey % 31 + 1) || ' Angry Men, ' || strftime(o_orderdate + INTERVAL 30 YEAR, '%b %Y')
+ WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate + INTERVAL 30 YEAR, '%-d%b') || ' - ' || strftime(o_orderdate + INTERVAL 30 YEAR + INTERVAL 3 DAY, '%-d%b %Y')
+ ELSE 'Room ' || o_custkey END"""
+
+
+@query(rf"""WITH t AS (SELECT o_orderkey, {LISTED} AS s FROM orders),
+m AS (SELECT *, regexp_extract(s, '([A-Z][a-z]+ \d{{4}})$', 1) AS lone, regexp_extract(s, '^(\d+[A-Z][a-z]+) - ', 1) AS a, regexp_extract(s, ' - (\d+[A-Z][a-z]+ \d+)$', 1) AS b FROM t),
+p AS (SELECT *, coalesce(try_strptime(lone, '%B %Y'), try_strptime(lone, '%b %Y'))::DATE AS month, try_strptime(b, '%d%b %Y')::DATE AS d2 FROM m),
+q AS (SELECT *, try_strptime(a || ' ' || year(d2), '%d%b %Y')::DATE AS d1 FROM p)
+SELECT o_orderkey, CASE WHEN s LIKE '%until%' THEN least(DATE '2026-09-07', last_day(month)) WHEN a <> '' THEN d1 WHEN b = '' THEN month END AS first_date,
+ CASE WHEN a <> '' THEN CASE WHEN d2 < d1 THEN (d2 + INTERVAL 1 YEAR)::DATE ELSE d2 END ELSE last_day(month) END AS last_date FROM q""")
+def listed_dates(spark, d):
+    later = F.add_months(F.to_date("o_orderdate"), 360)
+    kind = F.col("o_orderkey") % 4
+    said = (
+        F.when(kind == 0, F.concat(F.lit("Studio "), (F.col("o_custkey") % 12 + 1).cast("string"), F.lit(", until "), F.date_format(later, "MMMM yyyy")))
+        .when(kind == 1, F.concat((F.col("o_custkey") % 31 + 1).cast("string"), F.lit(" Angry Men, "), F.date_format(later, "MMM yyyy")))
+        .when(kind == 2, F.concat(F.date_format(later, "dMMM"), F.lit(" - "), F.date_format(F.date_add(later, 3), "dMMM yyyy")))
+        .otherwise(F.concat(F.lit("Room "), F.col("o_custkey").cast("string")))
+    )
+    return table(spark, d, "orders").select("o_orderkey", dates.parse_range(said, F.lit(DAY(2026, 9, 7))).alias("w")).select("o_orderkey", "w.*")
+
+
 @query("SELECT o_orderkey, least(round(o_totalprice, 2), 12.5, 300) AS price_min, greatest(round(o_totalprice, 2), 12.5, 300) AS price_max FROM orders")
 def named_prices(spark, d):
     told = F.concat(F.lit("Tickets £12.50, £ 300 or £"), F.format_string("%.2f", "o_totalprice"), F.lit("; 99 seats"))

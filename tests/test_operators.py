@@ -1,7 +1,9 @@
 import datetime
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from stagehand.functions import dates, text
@@ -40,6 +42,46 @@ def test_date_ranges(spark):
         assert (r["x"]["first_date"], r["x"]["last_date"]) == RANGES[r["i"]][1:], RANGES[r["i"]]
 
 
+def plain_range(said):
+    """What the text says, read by loops over its words; no year rollover, "until" or month-first days."""
+    months = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
+    year = int(re.findall(r"\b20\d\d\b", said)[-1])
+    parts = re.findall(r"\d+|[a-z]+", re.sub(r"\b20\d\d\b", " ", said.lower()))
+    days = [(int(p), months.get((parts[i + 1 : i + 2] or [""])[0][:3])) for i, p in enumerate(parts) if p.isdigit() and 1 <= int(p) <= 31]
+    fill = [m for _, m in days if m][-1]
+    (a, m), (b, n) = days[0], days[-1]
+    return D(year, m or fill, a), D(year, n or fill, b)
+
+
+def test_glued_and_lone_dates(spark):
+    lone = [
+        ("Studio 2, until February 2027", AS_OF, D(2027, 2, 28)), ("12 Angry Men, June 2027", D(2027, 6, 1), D(2027, 6, 30)), ("Rooms 4 and 5: until Feb 2024", D(2024, 2, 29), D(2024, 2, 29)),
+        ("Room 7", None, None), ("12 Angry Men", None, None), ("11Sep - 10Oct 2026", D(2026, 9, 11), D(2026, 10, 10)), ("3May2027", D(2026, 5, 3), D(2026, 5, 27)), ("Sep 25", D(2026, 9, 25), D(2026, 9, 25)),
+    ]
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = sorted(D(2027, 1, 1) + datetime.timedelta(days=rng.randrange(365)) for _ in range(2))
+        gap, month = rng.choice(("", " ")), rng.choice(("%b", "%B"))
+        first = f"{a.day}" if a.month == b.month and rng.random() < 0.5 else f"{a.day}{gap}{a.strftime(month)}"
+        said = rng.choice(("{} - {} {}", "{} to {}, {}")).format(first, f"{b.day}{gap}{b.strftime(month)}", b.year)
+        assert plain_range(said) == (a, b), said
+        lone.append((said, a, b))
+    rows = spark.createDataFrame(list(enumerate(w for w, _, _ in lone)), "i int, written string")
+    for r in rows.select("i", dates.parse_range(F.col("written"), F.lit(AS_OF)).alias("x")).collect():
+        assert (r["x"]["first_date"], r["x"]["last_date"]) == lone[r["i"]][1:], lone[r["i"]]
+
+
+@pytest.mark.parametrize("said", ["the zorblax quux ", "zorblax ", "x", "The ", "thethe "])
+def test_language_of_a_long_text_takes_linear_time(spark, said):
+    rows = spark.createDataFrame([(i, said * (1_500_000 // len(said)) + end) for i, end in enumerate(("", " and"))], "i int, t string").repartition(2).cache()
+    rows.count()
+    start = time.monotonic()
+    got = {r["i"]: r["x"] for r in rows.select("i", text.is_english(F.col("t")).alias("x")).collect()}
+    assert time.monotonic() - start < 15
+    stop = "the" in said.lower().split()
+    assert got == {0: said == "x", 1: stop or said == "x"}
+
+
 def test_runs_merge_and_first_wins(spark):
     rows = spark.createDataFrame([("v", "a", 2, D(2026, 1, 5), D(2026, 1, 9), "short", 0.0), ("v", "a", 1, D(2026, 1, 1), D(2026, 1, 2), "longer", 5.0), ("v", "b", 3, None, None, None, None)], "venue string, key string, pos int, f date, l date, copy string, price double")
     got = {r["key"]: r for r in windows.merge_runs(rows, ["venue", "key"], "pos", "f", "l", ["copy"], ["price"]).collect()}
