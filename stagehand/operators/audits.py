@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from stagehand.functions import markup
 from stagehand.functions.columns import squeeze, strip
-from stagehand.operators import snapshots
+from stagehand.operators import quantiles, snapshots
 
 NO_COPY = "no copy at all"
 #: Patterns of the audit's rules.
@@ -41,11 +41,12 @@ def grade(events: DataFrame, keep: list[str]) -> DataFrame:
 
 def coverage(events: DataFrame) -> DataFrame:
     """One row: events, venues, and of bylines and descriptions how many, what percent, median and longest."""
-    out = [F.count("*").alias("events"), F.count_distinct("venue_id").alias("venues")]
+    out, middle = [F.count("*").alias("events"), F.count_distinct("venue_id").alias("venues")], []
     for name in ("byline", "description"):
         size = F.nullif(F.length(name), F.lit(0))
-        out += [F.count(size).alias(f"{name}s"), F.floor(100 * F.count(size) / F.count("*")).alias(f"{name}_percent"), F.median(size).alias(f"{name}_median"), F.max(size).alias(f"{name}_most")]
-    return events.agg(*out)
+        out += [F.count(size).alias(f"{name}s"), F.floor(100 * F.count(size) / F.count("*")).alias(f"{name}_percent"), F.max(size).alias(f"{name}_most")]
+        middle.append(quantiles.exact(events.select(size.alias("size")), [], "size").select(F.col("quantile").alias(f"{name}_median")))
+    return events.agg(*out).crossJoin(middle[0]).crossJoin(middle[1])  # single rows
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

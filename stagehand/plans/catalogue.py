@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stagehand.functions import text as tx
-from stagehand.operators import search, snapshots
+from stagehand.operators import quantiles, search, snapshots
 from stagehand.operators import windows as win
 from stagehand.session import table
 from stagehand.streaming import events as streams
@@ -174,7 +174,10 @@ def audit_rules(spark, d):
 @query("SELECT source, count(*) AS n, count(text) AS with_text, (100 * count(CASE WHEN n_chars >= 500 THEN 1 END) // count(*))::BIGINT AS long_percent, median(n_chars) AS mid, max(n_chars) AS most FROM documents GROUP BY 1")
 def coverage_stats(spark, d):
     percent = F.floor(100 * F.count_if(F.col("n_chars") >= 500) / F.count("*"))
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count("text").alias("with_text"), percent.alias("long_percent"), F.median("n_chars").alias("mid"), F.max("n_chars").alias("most"))
+    docs = table(spark, d, "documents")
+    told = docs.groupBy("source").agg(F.count("*").alias("n"), F.count("text").alias("with_text"), percent.alias("long_percent"), F.max("n_chars").alias("most"))
+    middle = quantiles.exact(docs, ["source"], "n_chars").select(F.col("source").alias("_source"), F.col("quantile").alias("mid"))
+    return told.join(middle, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
 @query(f"WITH a AS (SELECT source, unnest({RULES_SQL}) AS rule FROM documents), c AS (SELECT rule, source, count(*) AS n FROM a GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY n DESC, source)::INTEGER AS place FROM c) SELECT * FROM r WHERE place <= 4")
