@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagehand.functions import linked
+from stagehand.functions import text as tx
+from stagehand.operators import bitmaps, grams, sketches
 from stagehand.operators.numbering import numbered
-from stagehand.plans.catalogue import query
+from stagehand.plans.catalogue import _year, query
 from stagehand.session import scratch, table
 from stagehand.sources import pagestore, tables
 from stagehand.streaming import memory
@@ -93,3 +95,38 @@ def page_links(spark, d):
     listed = ", ".join(f"'{k}', '{v}'" for k, v in by.items())
     found = spark.sql(f"SELECT p.page_id, c.title, c.url FROM {{pages}} p, LATERAL {name}(p.html, map({listed}), '') c", pages=table(spark, d, "pages"))
     return found.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("title").alias("titles"), F.max(F.length("url")).cast("long").alias("longest"))
+
+
+@query("WITH s AS (SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS slug FROM part) SELECT x.slug AS a, y.slug AS b FROM s x, s y WHERE length(x.slug) >= 6 AND length(y.slug) >= 6 AND (contains(x.slug, substr(y.slug, 1, 8)) OR contains(y.slug, substr(x.slug, 1, 8)))")
+def part_name_matches(spark, d):
+    """Which names of parts hold the start of which others, by their grams."""
+    slugs = table(spark, d, "part").select(tx.slugish(F.col("p_name")).alias("slug")).distinct()
+    a, b = (slugs.select(F.col("slug").alias(n), F.col("slug").alias(f"{n}_slug")) for n in "ab")
+    return grams.matches(a, b, "a", "b", "a_slug", "b_slug")
+
+
+def _facets(spark: SparkSession, d: str) -> DataFrame:
+    docs = numbered(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id", name="n")
+    return bitmaps.index(docs, "n", {"lang": F.col("lang"), "source": F.col("source"), "size": F.when(F.col("n_chars") > 3000, "long").otherwise("short")})
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2")
+def facet_pairs(spark, d):
+    """Documents of every language and source, by ANDs of bitmaps."""
+    return bitmaps.crossed(_facets(spark, d), "lang", "source")
+
+
+@query("""WITH f AS (SELECT lang, source, CASE WHEN n_chars > 3000 THEN 'long' ELSE 'short' END AS size, lang IN ('de', 'fr') AND n_chars > 3000 AS fits FROM documents),
+u AS (SELECT 'lang' AS facet, lang AS value, fits FROM f UNION ALL SELECT 'source', source, fits FROM f UNION ALL SELECT 'size', size, fits FROM f)
+SELECT facet, value, count(CASE WHEN fits THEN 1 END) AS n FROM u WHERE value IS NOT NULL GROUP BY 1, 2""")
+def chosen_facets(spark, d):
+    """What a reader sees beside long texts in German or French: counts of every value under that choice."""
+    return bitmaps.counts(_facets(spark, d), {"lang": ["de", "fr"], "size": ["long"]})
+
+
+@query("""WITH o AS (SELECT DISTINCT o_orderpriority AS p, o_custkey AS c FROM orders WHERE year(o_orderdate) = 1996), n AS (SELECT DISTINCT o_orderpriority AS p, o_custkey AS c FROM orders WHERE year(o_orderdate) = 1997)
+SELECT p AS o_orderpriority, count(o.c) AS before, count(n.c) AS after, count(CASE WHEN o.c IS NULL THEN 1 END) AS added, count(CASE WHEN n.c IS NULL THEN 1 END) AS gone FROM o FULL JOIN n USING (p, c) GROUP BY 1""")
+def customer_changes(spark, d):
+    """Customers of two years for each priority, gained and lost, from a sketch of each year. Exact up to 4,096 customers."""
+    old, new = (sketches.kept(_year(spark, d, year), ["o_orderpriority"], ["o_custkey"]) for year in (1996, 1997))
+    return sketches.changes(old, new, ["o_orderpriority"])
