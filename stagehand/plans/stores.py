@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagehand.functions import linked
 from stagehand.functions import text as tx
-from stagehand.operators import bitmaps, grams, sketches
+from stagehand.operators import bitmaps, grams, hashtree, sketches
+from stagehand.operators.cachetable import CacheTable
 from stagehand.operators.numbering import numbered
 from stagehand.plans.catalogue import _year, query
 from stagehand.session import scratch, table
@@ -130,3 +133,27 @@ def customer_changes(spark, d):
     """Customers of two years for each priority, gained and lost, from a sketch of each year. Exact up to 4,096 customers."""
     old, new = (sketches.kept(_year(spark, d, year), ["o_orderpriority"], ["o_custkey"]) for year in (1996, 1997))
     return sketches.changes(old, new, ["o_orderpriority"])
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01'), n AS (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderdate >= TIMESTAMP '1992-02-01')
+SELECT *, 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'gone' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
+def hash_tree_diff(spark, d):
+    """Orders that two overlapping snapshots don't share, read from the leaves of their hash trees that differ."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    day = lambda y, m: F.lit(datetime.datetime(y, m, 1)).cast("timestamp_ntz")
+    old, new = scratch(spark, "snapshot"), scratch(spark, "snapshot")
+    hashtree.save(orders.filter(F.col("o_orderdate") < day(1998, 6)), ["o_orderkey"], old, 8, 2)
+    hashtree.save(orders.filter(F.col("o_orderdate") >= day(1992, 2)), ["o_orderkey"], new, 8, 2)
+    return hashtree.changed(old, new, ["o_orderkey", "o_orderpriority"], orders, 8, 2)
+
+
+@query("""WITH e AS (SELECT *, md5(props) AS fp FROM events), h AS (SELECT fp, min(event_type) AS verdict FROM e WHERE ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) GROUP BY 1)
+SELECT event_id, verdict FROM e LEFT JOIN h USING (fp)""")
+def cached_judgements(spark, d):
+    """Every event with the verdict that the first half of the events left in a bucketed cache."""
+    events = table(spark, d, "events").withColumn("fp", F.md5("props"))
+    first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    cache = CacheTable(spark, scratch(spark, "cache"), "fp", "fp string, verdict string", 16)
+    early = F.unix_micros(F.col("ts").cast("timestamp")) < first + (last - first) / 2
+    cache.put(events.filter(early).groupBy("fp").agg(F.min("event_type").alias("verdict")))
+    return cache.lookup(events.select("event_id", "fp")).select("event_id", "verdict")
