@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stagehand.functions import text
 from stagehand.functions.columns import filled
 from stagehand.operators import windows
-from stagehand.sources import details
+from stagehand.sources import details, listings
 
 RECORD = ["venue_id", "title", "byline", "description", "first_date", "last_date", "url", "tags"]
 
@@ -89,6 +89,30 @@ def without_copy(built: DataFrame) -> DataFrame:
     return built.filter("no_copy").select("venue_id", "title")
 
 
+def report(venues: DataFrame, rows: DataFrame, pages: DataFrame, shows: DataFrame, as_of: Column, weeks: int = 8) -> DataFrame:
+    """(``venue_id``, ``shows``, ``hops``, ``status``) of every venue of a crawl: how many shows it gave, and how many pages of shows were wanted.
+
+    ``pages`` (url, body, maybe error) tells why a listing failed; ``rows`` are the listings', ``shows`` what ``crawl`` made of them.
+    """
+    by, bare = listings.strategy(venues), ~filled(F.col("whats_on_url"))
+    skipped = F.when(by == "skip", F.when(bare, "skipped: no whats_on_url (unverified)").otherwise("skipped: js_rendered, needs a strategy"))
+    asked = F.when(by.isin("wp_rest", "sanity") & filled(F.col("endpoint")), F.col("endpoint")).otherwise(F.col("whats_on_url"))
+    error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    told = pages.groupBy("url").agg(F.count("body").alias("_got"), F.min(error).alias("_error"))
+    failed = F.when(F.coalesce("_got", F.lit(0)) == 0, F.concat(F.lit("stage1 failed: "), F.coalesce("_error", F.lit("not fetched"))))
+    near = in_reach(rows, venues, as_of, weeks).withColumn("_url", F.rtrim(F.coalesce("url", F.lit("")), F.lit("/")))
+    once = windows.first_wins(near, ["venue_id", "_url"], ["pos"], F.col("_url") == "")
+    of = venues.select(F.col("id").alias("venue_id"), F.col("whats_on_url").alias("_on"), F.coalesce("skip_stage2", F.lit(False)).alias("_skip"))
+    wanted = once.join(of, "venue_id").filter(~F.col("_skip") & details.wants_detail(F.col("url"), F.col("_on"), F.col("description"), F.col("first_date")))
+    hops = wanted.groupBy("venue_id").agg(F.count("*").alias("hops"))
+    n = shows.groupBy("venue_id").agg(F.count("*").alias("shows"))
+    base = venues.select(F.col("id").alias("venue_id"), skipped.alias("_skipped"), asked.alias("url")).join(told, "url", "left")
+    status = F.coalesce("_skipped", failed, F.lit("ok"))
+    found = base.select("venue_id", status.alias("status")).join(n, "venue_id", "left").join(hops, "venue_id", "left")
+    ok = F.col("status") == "ok"
+    return found.select("venue_id", *[F.when(ok, F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c) for c in ("shows", "hops")], "status")
+
+
 def crawl_order(rows: DataFrame) -> DataFrame:
     """By first date, rows without one last, then venue and place."""
     return rows.orderBy(F.col("first_date").asc_nulls_last(), "venue_id", "pos")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stagehand.functions import text
 from stagehand.operators import snapshots
+from stagehand.session import written
 
 #: The tags that a judgement may give.
 ALLOWED = (
@@ -123,6 +124,6 @@ def next_cache(rows: DataFrame, cache: DataFrame, as_of: Column, weeks: int = 12
 
 
 def refine(events: DataFrame, cache: DataFrame, taste: Taste, as_of: Column, call: Classifier | None = None, prune: bool = True) -> Refined:
-    """Keeps, drops and retags ``events``. Each result reads ``judged`` rows, so a caller with a dear classifier writes those first (``judged``, ``applied``, ``next_cache``)."""
-    rows = judged(events, cache, taste, call)
+    """Keeps, drops and retags ``events``. Rows are judged once: all three results read them from a written table."""
+    rows = written(judged(events, cache, taste, call), "judged")
     return Refined(applied(rows), next_cache(rows, cache, as_of, taste.weeks, prune), statistics(rows))

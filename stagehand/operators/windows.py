@@ -42,7 +42,7 @@ def first_wins(df: DataFrame, keys: list[str], order: list, empty: Column | None
 def merge_runs(df: DataFrame, keys: list[str], pos: str, first: str, last: str, longest: list[str] = (), low: list[str] = (), high: list[str] = (), empty: Column | None = None) -> DataFrame:
     """One row per key: earliest first, latest last, longest copy (first of equals), lowest and highest prices (0 is none), else the first row's values.
 
-    Rows where ``empty`` holds are merged with none.
+    Rows where ``empty`` holds are merged with none and pass by the shuffle.
     """
     rest = [c for c in df.columns if c not in {*keys, first, last, *longest, *low, *high}]
     # A price of 0 stays if no row has another.
@@ -53,8 +53,8 @@ def merge_runs(df: DataFrame, keys: list[str], pos: str, first: str, last: str,
     aggs += [F.min_by(c, pos).alias(c) for c in rest]
     if empty is None:
         return df.groupBy(*keys).agg(*aggs)
-    own = F.when(empty, F.monotonically_increasing_id())
-    return df.withColumn("_own", own).groupBy(*keys, "_own").agg(*aggs).drop("_own")
+    merged = df.filter(~empty).groupBy(*keys).agg(*aggs)
+    return merged.unionByName(df.filter(empty).select(*merged.columns))
 
 
 def interval_join(left: DataFrame, right: DataFrame, l_first: str, l_last: str, r_first: str, r_last: str, days: int = 30) -> DataFrame:

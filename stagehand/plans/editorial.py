@@ -432,3 +432,36 @@ def due_requests(spark, d):
 def _fetched(spark, d):
     at = F.lit(NOON) - F.make_interval(mins=F.col("page_id").cast("int"))
     return table(spark, d, "pages").select("page_id", probes.root(F.col("url")).alias("url"), (F.col("page_id") % 2 == 0).alias("rendered"), at.alias("fetched_at"))
+
+
+@query("""WITH v AS (SELECT *, c_mktsegment = 'MACHINERY' AS js, c_nationkey = 0 AS bare, c_acctbal < 0 AS failed FROM customer),
+n AS (SELECT o_custkey, count(*) AS shows, count(CASE WHEN o_orderpriority <> '5-LOW' THEN 1 END) AS hops FROM orders WHERE o_orderdate::DATE <= DATE '1996-01-01' + 56 AND o_orderdate::DATE + 10 >= DATE '1996-01-01' GROUP BY 1)
+SELECT c_custkey::VARCHAR AS venue_id, CASE WHEN bare OR js OR failed THEN 0 ELSE coalesce(shows, 0) END AS shows, CASE WHEN bare OR js OR failed THEN 0 ELSE coalesce(hops, 0) END AS hops,
+ CASE WHEN bare THEN 'skipped: no whats_on_url (unverified)' WHEN js THEN 'skipped: js_rendered, needs a strategy' WHEN failed THEN 'stage1 failed: HTTP 500' ELSE 'ok' END AS status FROM v LEFT JOIN n ON c_custkey = o_custkey""")
+def venue_status(spark, d):
+    """What a crawl gives for every venue: customers as venues, their orders as shows that run ten days."""
+    c, site = table(spark, d, "customer"), lambda k: F.concat(F.lit("http://venue/"), k.cast("string"))
+    url = F.when(F.col("c_nationkey") == 0, "").otherwise(site(F.col("c_custkey")))
+    venues = c.select(F.col("c_custkey").cast("string").alias("id"), url.alias("whats_on_url"), F.when(F.col("c_mktsegment") == "MACHINERY", "js_rendered").alias("fetch_method"), _null().alias("strategy"), _null().alias("endpoint"), _null("int").alias("lookahead_weeks"), F.lit(False).alias("skip_stage2"))
+    failed = F.col("c_acctbal") < 0
+    pages = c.select(site(F.col("c_custkey")).alias("url"), F.when(~failed, "<p>").alias("body"), F.when(failed, "HTTP 500").alias("error"))
+    o = table(spark, d, "orders").withColumn("first_date", F.to_date("o_orderdate"))
+    full = F.when(F.col("o_orderpriority") == "5-LOW", F.repeat(F.lit("copy "), 60))
+    rows = o.select(F.col("o_custkey").cast("string").alias("venue_id"), F.col("o_orderkey").alias("pos"), site(F.concat_ws("/", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))).alias("url"), full.alias("description"), "first_date", F.date_add("first_date", 10).alias("last_date"))
+    as_of = F.lit(DAY(1996, 1, 1))
+    return build.report(venues, rows, pages, build.in_reach(rows, venues, as_of, 8), as_of)
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate::DATE AS f, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate::DATE + 30 END AS l FROM orders),
+w AS (SELECT *, CASE WHEN f IS NULL OR l IS NULL THEN 'no parseable dates' WHEN NOT (f <= DATE '1996-03-31' AND l >= DATE '1996-01-01') THEN 'outside window' END AS reason FROM r)
+SELECT o_custkey::VARCHAR AS venue_id, coalesce(reason, 'no copy') AS why, count(*) AS n FROM w WHERE reason IS NOT NULL OR o_orderpriority = '5-LOW' GROUP BY 1, 2""")
+def build_report(spark, d):
+    """What the build leaves out and what it lists without copy, for every venue."""
+    o = table(spark, d, "orders").withColumn("first_date", F.to_date("o_orderdate"))
+    rows = o.select(
+        F.col("o_custkey").cast("string").alias("venue_id"), F.concat(F.lit("Show "), "o_orderkey").alias("title"), _null().alias("byline"), F.when(F.col("o_orderpriority") != "5-LOW", F.lit("A tale of the sea.")).alias("description"),
+        _null().alias("credits"), "first_date", F.when(F.col("o_orderstatus") != "P", F.date_add("first_date", 30)).alias("last_date"), _null("array<string>").alias("venue_tags"),
+    )
+    built = build.normalised(rows, DAY(1996, 1, 1), DAY(1996, 3, 31))
+    told = build.dropped(built).select("venue_id", F.col("reason").alias("why")).unionByName(build.without_copy(built).select("venue_id", F.lit("no copy").alias("why")))
+    return told.groupBy("venue_id", "why").agg(F.count("*").alias("n"))

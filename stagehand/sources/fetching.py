@@ -1,6 +1,6 @@
 """Polite fetching of pages: what the table of pages has fresh isn't asked for, and each host is asked by one task, with pauses.
 
-``requests`` has ``url`` and ``rendered`` (whether the page needs a browser); a plain and a
+``requests`` has ``url``, ``rendered`` (whether the page needs a browser) and maybe ``wait`` (a selector that a rendered page is waited for); a plain and a
 rendered copy of one url are different pages. Fetched pages are ``PAGE`` rows. Null and empty urls are left out,
 a url asked for twice is fetched once, and a page that fails has its ``error`` and no body.
 
@@ -33,6 +33,8 @@ PAGE = "url string, rendered boolean, final_url string, status int, body string,
 AGENT = "Mozilla/5.0 (compatible; stagehand)"
 #: A way to get a page: a url to (final url, status, body); what it raises becomes the page's error.
 Get = Callable[[str], tuple[str, int, str]]
+#: The same of a page and the selector to wait for, None to wait for nothing.
+Render = Callable[[str, str | None], tuple[str, int, str]]
 
 
 def plain(url: str) -> tuple[str, int, str]:
@@ -45,13 +47,23 @@ def plain(url: str) -> tuple[str, int, str]:
 
 
 def needs_browser(venues: DataFrame) -> Column:
-    return F.coalesce(venues["fetch_method"].isin("rendered", "js_rendered"), F.lit(False))
+    return F.coalesce(venues["fetch_method"].isin("rendered", "js_rendered"), F.lit(False)) | F.coalesce(_setting(venues, "render", "boolean"), F.lit(False))
+
+
+def _setting(venues: DataFrame, name: str, kind: str) -> Column:
+    """A setting that not every registry has."""
+    return venues[name] if name in venues.columns else F.lit(None).cast(kind)
+
+
+def waits_for(venues: DataFrame) -> Column:
+    """The selector that a rendered listing is waited for; pages of shows are rendered without waiting, as they don't have it."""
+    return F.when(needs_browser(venues), F.nullif(_setting(venues, "render_wait", "string"), F.lit("")))
 
 
 def of_listings(venues: DataFrame) -> DataFrame:
     """Requests for the listing pages and API answers of venues."""
     wanted = F.when(F.col("strategy").isin("wp_rest", "sanity") & filled(F.col("endpoint")), F.col("endpoint")).otherwise(F.col("whats_on_url"))
-    return venues.select(wanted.alias("url"), needs_browser(venues).alias("rendered")).filter(filled(F.col("url")))
+    return venues.select(wanted.alias("url"), needs_browser(venues).alias("rendered"), waits_for(venues).alias("wait")).filter(filled(F.col("url")))
 
 
 def rest_index(url: Column) -> Column:
@@ -62,7 +74,7 @@ def rest_index(url: Column) -> Column:
 def of_probes(venues: DataFrame) -> DataFrame:
     """Requests for what probes look at: listing pages, and REST indexes and sitemaps of their sites, which need no browser."""
     at = venues.select(F.col("whats_on_url").alias("url")).filter(filled(F.col("url")))
-    aside = at.select(F.explode(F.array(rest_index(F.col("url")), *[F.concat(root(F.col("url")), F.lit(p)) for p in SITEMAPS])).alias("url"), F.lit(False).alias("rendered"))
+    aside = at.select(F.explode(F.array(rest_index(F.col("url")), *[F.concat(root(F.col("url")), F.lit(p)) for p in SITEMAPS])).alias("url"), F.lit(False).alias("rendered"), F.lit(None).cast("string").alias("wait"))
     return of_listings(venues).unionByName(aside)
 
 
@@ -70,25 +82,31 @@ def of_details(rows: DataFrame, venues: DataFrame) -> DataFrame:
     """Requests for the own pages of listing rows that want them."""
     of = venues.select(F.col("id").alias("venue_id"), F.col("whats_on_url").alias("_on"), F.coalesce("skip_stage2", F.lit(False)).alias("_skip"), needs_browser(venues).alias("rendered"))
     marked = rows.select("venue_id", "url", "description", "first_date").join(of, "venue_id")
-    return marked.filter(~F.col("_skip") & details.wants_detail(F.col("url"), F.col("_on"), F.col("description"), F.col("first_date"))).select("url", "rendered")
+    return marked.filter(~F.col("_skip") & details.wants_detail(F.col("url"), F.col("_on"), F.col("description"), F.col("first_date"))).select("url", "rendered", F.lit(None).cast("string").alias("wait"))
 
 
 def due(requests: DataFrame, pages: DataFrame, as_of: Column, hours: int) -> DataFrame:
-    """Distinct requests without a page fetched within ``hours`` of ``as_of``; failed fetches don't count."""
+    """Distinct requests without a page fetched within ``hours`` of ``as_of``; failed fetches don't count. Of requests for one page that wait for different things the first selector stays."""
     recent = pages.filter((F.col("fetched_at") > as_of - F.make_interval(hours=F.lit(hours))) & F.col("error").isNull())
-    return requests.filter(filled(F.col("url"))).select("url", "rendered").distinct().join(recent.select("url", "rendered"), ["url", "rendered"], "left_anti")
+    return _once(requests.filter(filled(F.col("url")))).join(recent.select("url", "rendered"), ["url", "rendered"], "left_anti")
+
+
+def _once(requests: DataFrame) -> DataFrame:
+    """One request a page, with what it waits for if requests tell."""
+    if "wait" not in requests.columns:
+        return requests.select("url", "rendered").distinct()
+    return requests.groupBy("url", "rendered").agg(F.min("wait").alias("wait"))
 
 
-def fetch(requests: DataFrame, tasks: int, get: Get = plain, render: Get | None = None, pauses: tuple[float, float] = (PAUSE, RENDER_PAUSE)) -> DataFrame:
-    """``PAGE`` rows of distinct ``requests``, fetched by ``tasks`` tasks dealt by host. ``render`` gets rendered pages; without one they fail."""
-    def one(url: str, rendered: bool, last: dict[str, float]) -> tuple:
+def fetch(requests: DataFrame, tasks: int, get: Get = plain, render: Render | None = None, pauses: tuple[float, float] = (PAUSE, RENDER_PAUSE)) -> DataFrame:
+    """``PAGE`` rows of distinct ``requests``, fetched by ``tasks`` tasks dealt by host. ``render`` gets rendered pages, told what to wait for; without one they fail."""
+    def one(url: str, rendered: bool, wait: str | None, last: dict[str, float]) -> tuple:
         host, pause = urlsplit(url).netloc, pauses[bool(rendered)]
         time.sleep(max(0.0, last.get(host, -pause) + pause - time.monotonic()))
         try:
-            way = render if rendered else get
-            if way is None:
+            if rendered and render is None:
                 raise RuntimeError("no browser to render with")
-            final, status, body = way(url)
+            final, status, body = render(url, wait) if rendered else get(url)
             out = (url, rendered, final, status, body, None)
         except urllib.error.HTTPError as e:
             out = (url, rendered, e.url, e.code, None, f"HTTP {e.code}")
@@ -100,12 +118,13 @@ def fetch(requests: DataFrame, tasks: int, get: Get = plain, render: Get | None
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[str, float] = {}
         for frame in frames:
-            for url, rendered in zip(frame["url"], frame["rendered"]):
-                yield pd.DataFrame([one(url, rendered, last)], columns=[c.split()[0] for c in PAGE.split(", ")])
+            for url, rendered, wait in zip(frame["url"], frame["rendered"], frame["wait"]):
+                yield pd.DataFrame([one(url, rendered, wait, last)], columns=[c.split()[0] for c in PAGE.split(", ")])
 
     turns = Window.partitionBy("_host").orderBy("url", "rendered")
-    dealt = requests.select("url", "rendered", root(F.col("url")).alias("_host")).repartition(tasks, "_host").withColumn("_turn", F.row_number().over(turns))
-    return dealt.sortWithinPartitions("_turn", "_host").select("url", "rendered").mapInPandas(run, PAGE)
+    told = requests if "wait" in requests.columns else requests.withColumn("wait", F.lit(None).cast("string"))
+    dealt = _once(told).withColumn("_host", root(F.col("url"))).repartition(tasks, "_host").withColumn("_turn", F.row_number().over(turns))
+    return dealt.sortWithinPartitions("_turn", "_host").select("url", "rendered", "wait").mapInPandas(run, PAGE)
 
 
 def refresh(requests: DataFrame, path: str, as_of: Column, hours: int, tasks: int, **ways) -> None:

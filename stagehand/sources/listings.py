@@ -22,7 +22,7 @@ from stagehand.functions.text import unescaped
 from stagehand.sources.details import dated_clusters
 from stagehand.sources.sections import sections
 
-VENUE = "id string, name string, area string, strategy string, fetch_method string, whats_on_url string, endpoint string, dates_field string, show_url_pattern string, lookahead_weeks int, seasonal boolean, skip_stage2 boolean, detail_dates string, exclude array<string>, space_allow array<string>, require_space boolean, selectors map<string,string>"
+VENUE = "id string, name string, area string, strategy string, fetch_method string, render boolean, render_wait string, whats_on_url string, endpoint string, dates_field string, show_url_pattern string, lookahead_weeks int, seasonal boolean, skip_stage2 boolean, detail_dates string, exclude array<string>, space_allow array<string>, require_space boolean, selectors map<string,string>"
 COLUMNS = ["venue_id", "pos", "title", "credits", "space", "url", "first_date", "last_date", "description", "venue_tags", "source"]
 STRATEGIES = "auto jsonld selectors dated_clusters wp_rest sanity immersive_rumours skip".split()
 

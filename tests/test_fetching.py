@@ -69,12 +69,27 @@ def test_only_stale_and_failed_pages_are_due(spark):
 
 def test_requests_of_venues_and_shows(spark):
     venues = spark.createDataFrame([("a", "http://a/on", None, None, None, None), ("b", None, None, None, None, None), ("c", "http://c/on", "wp_rest", "http://c/api", "js_rendered", None), ("d", "http://d/on", None, None, None, True)], "id string, whats_on_url string, strategy string, endpoint string, fetch_method string, skip_stage2 boolean")
-    assert sorted(map(tuple, fetching.of_listings(venues).collect())) == [("http://a/on", False), ("http://c/api", True), ("http://d/on", False)]
+    assert sorted(map(tuple, fetching.of_listings(venues).select("url", "rendered").collect())) == [("http://a/on", False), ("http://c/api", True), ("http://d/on", False)]
     rows = spark.createDataFrame([("a", "http://a/1", None, None), ("a", "http://a/on/", None, None), ("c", "http://c/1", "x" * 300, NOW.date()), ("c", "http://c/2", None, NOW.date()), ("d", "http://d/1", None, None)], "venue_id string, url string, description string, first_date date")
-    assert sorted(map(tuple, fetching.of_details(rows, venues).collect())) == [("http://a/1", False), ("http://c/2", True)]
+    assert sorted(map(tuple, fetching.of_details(rows, venues).select("url", "rendered").collect())) == [("http://a/1", False), ("http://c/2", True)]
 
 
 def test_hasty_rows(spark):
     at = lambda s: NOW + datetime.timedelta(seconds=s)
     log = spark.createDataFrame([("a", at(0)), ("a", at(1)), ("a", at(3)), ("b", at(1)), ("b", at(2.5))], "host string, t timestamp")
     assert [(r["host"], r["waited"]) for r in fetching.hasty(log, "host", ["t"], 1.5).collect()] == [("a", 1.0)]
+
+
+def test_a_listing_is_waited_for_and_its_shows_are_not(spark):
+    venues = spark.createDataFrame([("a", "http://a/on", "rendered", None, ".show", None), ("b", "http://b/on", None, True, "", None), ("c", "http://c/on", None, None, ".x", None)], "id string, whats_on_url string, fetch_method string, render boolean, render_wait string, skip_stage2 boolean").withColumns({"strategy": F.lit(None).cast("string"), "endpoint": F.lit(None).cast("string")})
+    rows = spark.createDataFrame([("a", "http://a/1", None, None), ("c", "http://c/1", None, None)], "venue_id string, url string, description string, first_date date")
+    listed = {(r["url"], r["rendered"], r["wait"]) for r in fetching.of_listings(venues).collect()}
+    assert listed == {("http://a/on", True, ".show"), ("http://b/on", True, None), ("http://c/on", False, None)}
+    shows = {(r["url"], r["rendered"], r["wait"]) for r in fetching.of_details(rows, venues).collect()}
+    assert shows == {("http://a/1", True, None), ("http://c/1", False, None)}
+    asked = fetching.of_listings(venues).unionByName(fetching.of_details(rows, venues))
+    got = {r["url"]: r["body"] for r in fetching.fetch(asked, 2, lambda u: (u, 200, "plain"), lambda u, wait: (u, 200, f"waited for {wait}"), (0, 0)).collect()}
+    assert got == {"http://a/on": "waited for .show", "http://b/on": "waited for None", "http://c/on": "plain", "http://a/1": "waited for None", "http://c/1": "plain"}
+    old = spark.createDataFrame([], fetching.PAGE)
+    again = asked.unionByName(spark.createDataFrame([("http://a/on", True, None)], "url string, rendered boolean, wait string"))
+    assert [r["wait"] for r in fetching.due(again, old, F.current_timestamp(), 1).filter("url = 'http://a/on'").collect()] == [".show"]

@@ -201,3 +201,19 @@ def test_sinks_swap_and_envelope(spark, tmp_path):
     assert sinks.envelope(spark.range(3), AS_OF, AS_OF, AS_OF).first()["count"] == 3
     sinks.as_json(spark.sql("select 1 as a, cast(null as string) as b"), str(tmp_path / "j"))
     assert spark.read.text(str(tmp_path / "j")).first()["value"] == '{"a":1,"b":null}' and listings.COLUMNS[1] == "pos"
+
+
+def test_what_became_of_every_venue(spark):
+    venues = spark.createDataFrame(
+        [("ok", "http://ok/on", None, None), ("none", "", None, None), ("js", "http://js/on", "js_rendered", None), ("lost", "http://lost/on", None, None), ("down", "http://down/on", None, None), ("short", "http://short/on", None, True)],
+        "id string, whats_on_url string, fetch_method string, skip_stage2 boolean",
+    ).withColumns({c: F.lit(None).cast(k) for c, k in (("strategy", "string"), ("endpoint", "string"), ("lookahead_weeks", "int"))})
+    pages = spark.createDataFrame([("http://ok/on", "<p>", None), ("http://ok/on", None, "timeout"), ("http://down/on", None, "HTTP 500"), ("http://short/on", "x", None)], "url string, body string, error string")
+    day = datetime.date(2026, 9, 10)
+    rows = spark.createDataFrame(
+        [("ok", 0, "http://ok/1", None, day), ("ok", 1, "http://ok/1/", None, day), ("ok", 2, "http://ok/on/", None, day), ("ok", 3, None, None, day), ("ok", 4, "http://ok/2", "x" * 300, None), ("ok", 5, "http://ok/3", None, datetime.date(2030, 1, 1)), ("short", 0, "http://short/1", None, day)],
+        "venue_id string, pos int, url string, description string, first_date date",
+    ).withColumn("last_date", F.col("first_date"))
+    shows = rows.filter("pos < 2")
+    got = {r["venue_id"]: (r["shows"], r["hops"], r["status"]) for r in build.report(venues, rows, pages, shows, F.lit(datetime.date(2026, 9, 7))).collect()}
+    assert got == {"ok": (2, 2, "ok"), "none": (0, 0, "skipped: no whats_on_url (unverified)"), "js": (0, 0, "skipped: js_rendered, needs a strategy"), "lost": (0, 0, "stage1 failed: not fetched"), "down": (0, 0, "stage1 failed: HTTP 500"), "short": (1, 0, "ok")}
