@@ -101,7 +101,7 @@ def sections(venues: DataFrame, pages: DataFrame, as_of: Column, most: int = 5)
     link = F.get(F.filter("links", lambda h: h.startswith("http") & ~h.contains(OWN_HOSTS[0]) & ~h.contains(OWN_HOSTS[1])), 0)
     marked = lambda x: F.exists(F.array(*[F.lit(m) for m in MARKED]), lambda m: F.startswith(x, m))
     heading = F.col("heading")
-    copy = F.filter(F.transform("lines", F.trim), lambda x: (x != "") & (x != heading) & ~marked(x) & ~x.rlike(IDLE))
+    copy = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: (x != "") & (x != heading) & ~marked(x) & ~x.rlike(IDLE))
     return rows.select(
         F.when(F.col("home"), "home").otherwise(F.col("venue_id")).alias("venue_id"), F.col("pos").cast("long").alias("pos"), heading.alias("title"),
         F.lit(None).cast("string").alias("credits"), F.coalesce(link, "whats_on_url").alias("url"), "w.first_date", "w.last_date",

@@ -178,3 +178,14 @@ def test_streams_equal_batches(spark, tmp_path):
         events.memoised(events.read(spark, path, batch.schema), "user_id", out, judge, str(tmp_path / "mark")).awaitTermination(120)
         batch.limit(5).withColumn("user_id", F.col("event_id") % 4).write.mode("append").parquet(path)
     assert sorted(r["user_id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+
+
+def test_lines_keep_their_digits(spark):
+    """Trimming takes spaces alone, whatever the line's place."""
+    strip = "<section class='column-strip'><h2>Show 10</h2><p>0 Ten times 10</p><p>100</p></section>"
+    venues = spark.createDataFrame([("v", "http://v/on")], "id string, whats_on_url string")
+    got = listings.sections(venues, spark.createDataFrame([("http://v/on", strip)], "url string, body string"), F.lit(AS_OF)).first()
+    assert got["description"] == "0 Ten times 10\n\n100"
+    lines = "\n".join(f" {i} a paragraph that is long enough to be kept, number {i} " for i in range(12))
+    kept = spark.createDataFrame([(lines,)], "t string").select(text.paragraphs(F.col("t")).alias("p")).first()["p"]
+    assert kept == [f"{i} a paragraph that is long enough to be kept, number {i}" for i in range(12)]
