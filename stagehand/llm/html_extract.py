@@ -13,7 +13,9 @@ two or three articles may quote the same passage.
 What differencing leaves is cleaned by elements: containers that are never main text
 (menus, headers and footers of the page, sidebars, notices, adverts, forms, reader
 comments, by element, role, class or id) go even where they differ from page to page, and
-so does what stands outside the article element of a page that has one.
+so does what stands outside the article element of a page that has one, unless it is thin
+(under ``THIN`` of the page's text). Words that also name topics (share, related, social ...)
+name such a container only alone or beside words of layout: ``share-bar``, not ``market-share``.
 
 A host may hold any share of the pages: it is dealt in ranges of that order, each with the
 ``edge`` pages beyond its ends, so where a range ends changes no result. A task holds
@@ -52,15 +54,29 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 NEVER = set("applet aside audio button canvas datalist dialog fieldset footer form head iframe input map math menu meter nav noembed noframes noscript object optgroup option progress script select style svg template textarea title video".split())
 RAW = set("script style noembed noframes iframe xmp".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-TOKENS = set("ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notification popup promo promoted related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+TOKENS = set("advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comments commentlist consent cookie cookies copyright disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notification popup promo promoted respond sidebar signup sponsor sponsored subscribe toolbar".split())
+#: Words that name such a part only alone or beside words of layout, as they also name topics.
+TOPICS = set("ad ads adv comment notice related share sharing skip social widget".split())
+LAYOUT = set("area articles bar block bottom box button buttons container content count form group header holder icon icons inline inner item items left link links list main media nav network networks outer panel post posts right row section sidebar slot space sticky stories title to tools top unit wrap wrapper".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "title"}
 #: How many nearest pages of different content a page is compared with.
 NEIGHBOURS = 4
+#: An article with less than this share of a page's text doesn't hide the rest of it.
+THIN = 1 / 3
 #: Share of the longer page's characters from which two pages are near copies.
 ALIKE = 0.9
 SPACE = re.compile(r"\s+")
 
 
+def is_frame(names: str | None) -> bool:
+    """Whether a class or id attribute names a part that is never main text."""
+    for name in (names or "").lower().split():
+        words = set(re.findall(r"[a-z]+", name))
+        if words & TOKENS or (words & TOPICS and words <= TOPICS | LAYOUT and words != {"skip", "list"}):
+            return True
+    return False
+
+
 @dataclass(frozen=True)
 class Line:
     text: str
@@ -109,7 +125,7 @@ class Reader(HTMLParser):
         words = set(re.findall(r"[a-z0-9]+", f"{found.get('class') or ''} {found.get('id') or ''}".lower()))
         bad = tag in NEVER or (tag == "header" and not inside) or (found.get("role") or "").lower() in ROLES or "hidden" in found
         if tag not in ("html", "body", "article", "main", "h1", "p"):
-            bad = bad or bool(words & TOKENS)
+            bad = bad or is_frame(found.get("class")) or is_frame(found.get("id"))
         if tag in ("article", "main") and not never and not bad:
             if not (words & {"comment", "comments"} or inside):
                 inside = tag
@@ -158,7 +174,9 @@ def lines(html: str | None) -> list[Line]:
     reader.feed(html or "")
     HTMLParser.close(reader)  # what is still buffered
     reader.flush()
-    home = ("article", "paragraph") if reader.found["article"] else ("main",) if reader.found["main"] else ("",)
+    size = lambda *kinds: sum(len(text) for text, inside, never in reader.blocks if not never and (inside in kinds or not kinds))
+    thin = size("article", "paragraph") < THIN * size()
+    home = ("article", "paragraph", "main", "") if thin else ("article", "paragraph") if reader.found["article"] else ("main",) if reader.found["main"] else ("",)
     needs = {"paragraph": NEIGHBOURS, "article": 2, "main": 2}
     return [Line(text, 1 if never else needs.get(inside, 1), not never and inside in home) for text, inside, never in reader.blocks]
 

@@ -10,7 +10,8 @@ the term near. What the entity still tells once the term is seen is its informat
 less the pointwise mutual information, log2 N / n(e) - log2 n(t, e) N / (n(t) n(e)), which
 is log2 n(t) / n(t, e). One more text with the term alone is always assumed, so one sighting
 is weak evidence and three are strong, and copies of one text are none: a term leaves
-log2 (n(t) + 1) / n(t, e) bits. At ``remove_bits`` or fewer it discloses the entity and is
+log2 (n(t) + 1) / n(t, e) bits. A term seen near the entity in fewer than ``sightings`` distinct texts
+tells nothing of it, as every rare word of a single text would. At ``remove_bits`` or fewer it discloses the entity and is
 removed; at ``generalise_bits`` or fewer it is generalised to the longest of its prefixes
 of ``LEVELS`` characters that leaves more bits, counted alike over the surroundings of all
 mentions (a lower bound of all texts), and removed if none does. A term is treated alike at
@@ -162,12 +163,12 @@ def _prefix(term: Column, level: Column | int) -> Column:
     return F.substr(term, F.lit(1), F.lit(level) if isinstance(level, int) else level)
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", remove_bits: float = 0.5, generalise_bits: float = 1.0) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", remove_bits: float = 0.5, generalise_bits: float = 1.0, sightings: int = 2) -> DataFrame:
     """(``digest``, ``terms``): for each text with disclosing terms, those terms and what stands in for them ('': nothing)."""
     most = max(remove_bits, generalise_bits)
     bits = lambda t, te: F.log2((F.col(t) + 1) / F.col(te))
     seen = cut(found.select("digest", F.explode("mentions").alias("m")).select("digest", "m.entity", F.explode(F.array_distinct("m.near")).alias("term")).distinct())
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= sightings)
     # The texts with a term and any mention are no more than all its texts: a pair that fails by them fails by all.
     around = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
     pairs = cut(pairs.join(around, "term").filter(bits("least", "n_te") <= most).select("entity", "term", "n_te"))
