@@ -142,7 +142,7 @@ def plain_pii(texts, window=8, remove=0.5, generalise=1.0):
     for e, by in near.items():
         for w in set().union(*by.values()):
             left = bits(sum(w in holds[t] for t in distinct), sum(w in x for x in by.values()))
-            if left <= max(remove, generalise):
+            if left <= max(remove, generalise) and sum(w in x for x in by.values()) >= 2:
                 flagged.setdefault(w, []).append((left, e))
     instead = {}
     for w, found in flagged.items():
@@ -185,6 +185,7 @@ def test_pii_against_plain_version(spark):
         if n % 11 == 0:
             body.append(rng.choice(people)[1])
         texts.append(rng.choice([" ", ", ", "\n"]).join(body))
+    texts += ["call zimquill at q@q.org", "zimquill wrote q@q.org twice", "zimother r@r.org", "zimthird s@s.org", "zimfourth t@t.org"]
     texts += texts[6:20]
     table = docs(spark, texts).withColumns({"digest": F.lit("clash"), "spans": F.lit("clash"), "base": F.lit(1)})
     want = plain_pii(texts)

@@ -147,3 +147,21 @@ def test_very_long_pages_are_read_whole(spark):
     page = "<body><div>Site</div>" + "".join(f"<p>Line {{0}} {i}</p>" for i in range(20000)) + "<div>End</div></body>"
     got = texts(spark, [(i, f"http://h/{i}", page.format(i)) for i in range(3)])
     assert all(got[i].split("\n") == [f"Line {i} {k}" for k in range(20000)] for i in range(3))
+
+
+@pytest.mark.parametrize("name", ["market-share", "social-history", "ad-hoc", "related-work", "skip-list", "notice-board", "widgets101"])
+def test_topics_are_no_frame(name):
+    for mark in (f"class='{name}'", f"class='x {name}'", f"id='{name}'", "id='comment-on-policy'"):
+        assert main_lines(f"<article><p>One</p><div {mark}><p>Two</p></div></article>") == ["One", "Two"]
+
+
+@pytest.mark.parametrize("name", ["share-bar", "social links", "ad", "ad-slot-3", "related-posts", "skip-link", "notice", "comment-list", "widget_box", "site-footer", "page-sidebar"])
+def test_frames_by_name(name):
+    assert main_lines(f"<article><p>One</p><div class='{name}'><p>Two</p></div></article>") == ["One"]
+
+
+def test_a_thin_article_hides_nothing(spark):
+    body = "<p>Main text of the page, long enough to be most of it</p>" * 3
+    page = "<article class='teaser'><p>Teaser</p></article>" + body
+    assert main_lines(page) == ["Teaser"] + ["Main text of the page, long enough to be most of it"] * 3
+    assert main_lines("<div>Frame</div><article><p>Long enough an article here</p></article>") == ["Long enough an article here"]

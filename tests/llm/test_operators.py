@@ -164,3 +164,21 @@ def test_secrets():
     n_assign, n_access, n_hex, _, spans = secrets.describe(text, tokens)
     assert (n_assign, n_access, n_hex) == (1, 1, 1) and spans.count("random") == 1
     assert secrets.describe(None, tokens)[:3] == (0, 0, 0)
+
+
+def test_long_words_of_the_corpus_are_no_secrets(spark):
+    rng = random.Random(7)
+    syllables = "ein schl ber ken tung isch fahr lich ver ter gang mann".split()
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    texts = [" ".join(word(rng.randrange(1, 9)) for _ in range(60)) for _ in range(60)]
+    planted = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(20)]
+    got = secrets.scan(docs(spark, texts + [f"key {p} end" for p in planted])).orderBy("doc_id").collect()
+    assert not any("random" in r["spans"] for r in got[:60])
+    assert sum("random:4:28" in r["spans"] for r in got[60:]) >= 18
+
+
+def test_words_of_one_text_disclose_nothing(spark):
+    texts = [f"unique{i} write to person{i}@mail.org about rare{i}" for i in range(20)] + ["agent falcon uses 0041 mail boss@corp.org", "the falcon again wrote boss@corp.org", "falcon: boss@corp.org", "in the park a falcon flew", *["common words in the park"] * 3]
+    rows = {r["doc_id"]: r["spans"] for r in pii.report(docs(spark, texts)).collect()}
+    assert all(rows[i].count(":") == 2 for i in range(20))
+    assert "generalised:6:12" in rows[20] or "removed:6:12" in rows[20]
