@@ -60,16 +60,19 @@ def letter_classes() -> np.ndarray:
 
 def features(text: str, classes: np.ndarray) -> np.ndarray | None:
     """The feature vector of a text; None without letters."""
-    counts = np.zeros(DIM)
-    for i in range(0, len(text), CHUNK):
-        points = np.frombuffer(text[max(0, i - 2) : i + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.concatenate([[0], classes[points], [0]])
-        two = c[:-1] * 64 + c[1:]
-        three = (two[:-1] * 64 + c[2:]).astype(np.uint64)
-        middle = c[1:-1] > 0
-        counts[:UNI] += np.bincount(c, minlength=UNI)
+    counts, text = np.zeros(DIM), text.lower()
+    held = np.zeros(1, dtype=classes.dtype)  # the edge before the text, then the last two classes of the pieces so far
+    for i in range(0, len(text) + 1, CHUNK):
+        points = np.frombuffer(text[i : i + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
+        new = classes[points] if i + CHUNK <= len(text) else np.append(classes[points], classes.dtype.type(0))
+        c = np.concatenate([held, new])
+        two = c[len(held) - 1 : -1] * 64 + c[len(held) :]
+        counts[:UNI] += np.bincount(new, minlength=UNI)
         counts[UNI : UNI + BI] += np.bincount(two, minlength=BI)
+        three = ((c[:-2] * 64 + c[1:-1]) * 64 + c[2:]).astype(np.uint64)
+        middle = c[1:-1] > 0
         counts[UNI + BI :] += np.bincount(((three[middle] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.int64), minlength=TRI)
+        held = c[-2:]
     counts[0] = counts[UNI] = 0
     if not counts[1:UNI].any():
         return None

@@ -350,3 +350,14 @@ def test_candidates_grow_with_the_input(spark):
     assert 50 <= few <= 60 and 100 <= many <= 2.1 * few
     shapes = [simhash.bands_for(n, 0.8) for n in (10, 10**6, 10**8, 10**10)]
     assert shapes == sorted(shapes) and all((1 - 0.8**wide) ** bands <= 1e-4 for bands, wide in shapes)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 50])
+def test_language_features_do_not_depend_on_pieces(monkeypatch, chunk):
+    rng = random.Random(4)
+    texts = ["", "a", "12", "ΑΣ ß İx" * 9, *("".join(rng.choice("abcdeéñßж 12İΣ\n") for _ in range(rng.randrange(1, 300))) for _ in range(60))]
+    whole = [langid.features(t, langid.letter_classes()) for t in texts]
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    for t, x in zip(texts, whole):
+        got = langid.features(t, langid.letter_classes())
+        assert (got is None) == (x is None) and (x is None or np.array_equal(got, x))
