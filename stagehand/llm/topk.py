@@ -3,13 +3,13 @@
 Components become the integers floor(1024 x). Every vector is keyed by its nearest
 pivot and its distance from it, in rings (annuli) of equal width; a cell is a pivot's
 ring. Pivots come from a sample by id hash of ``max(sample, 16 * pivots)`` rows, and there are
-more of them the more vectors there are: ``sqrt(rows) / 8``, at least 32 and at most 4096, so
-the driver gets 65,536 sampled vectors at most. Every vector is indexed. A cell's distances and
+more of them the more vectors there are: ``sqrt(rows)``, at least 32 and at most 4096, so that each
+cluster of that many has one, and the driver gets 65,536 sampled vectors at most, as Arrow. Every vector is indexed. A cell's distances and
 norms bound its scores for a query q at distance d from the pivot: by the triangle inequality
 no vector of the cell is closer to q than the gap between d and the ring, and
 |q - x|^2 = |q|^2 + |x|^2 - 2 qx.
 
-First each query reads the cells of the best bounds until they hold ``first`` vectors;
+First each query reads the cells of the best bounds until they hold ``first`` vectors (10 k);
 the k-th best score so far is its threshold. Then it reads the other cells whose bound
 reaches the threshold; the rest can't hold a better one. Vectors of a cell are packed
 in blocks of about ``pack``, and so are the queries that want a cell, and a request goes to each
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,9 +82,13 @@ def unpack(data: bytes, width: int) -> np.ndarray:
 
 
 def top_k(
-    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, pivots: int | None = None, rings: int = 16, sample: int = 4096, pack: int = 1024, first: int = 2048
+    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, pivots: int | None = None, rings: int = 4, sample: int = 4096, pack: int = 1024, first: int | None = None, read: Accumulator | None = None
 ) -> DataFrame:
-    """(``query_id``, ``rank``, ``vec_id``, ``score``): for each row where ``queries`` holds, the k best of all other rows."""
+    """(``query_id``, ``rank``, ``vec_id``, ``score``): for each row where ``queries`` holds, the k best of all other rows.
+
+    ``read`` is told how many vectors are compared.
+    """
+    first = 10 * k if first is None else first
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     fine = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -93,16 +98,17 @@ def top_k(
     if not n:
         return spark.createDataFrame([], schema)
     dim = max(1, dim)
-    pivots = pivots or max(32, min(4096, round(n**0.5 / 8)))
+    pivots = pivots or max(32, min(4096, round(n**0.5)))
     share = int(KEY_SPACE * min(1.0, max(sample, 16 * pivots) / n))
-    drawn = rows.filter(order_key("pivots", F.col("id")) < share).select("v").collect() or rows.select("v").limit(1).collect()
+    drawn = rows.filter(order_key("pivots", F.col("id")) < share).select("v").toArrow()
+    drawn = (drawn if drawn.num_rows else rows.select("v").limit(1).toArrow()).column(0).combine_chunks()
 
     def matrix(column: pa.Array) -> np.ndarray:
         out = np.zeros((len(column), dim), dtype=np.int64)
         out[np.arange(dim) < column.value_lengths().to_numpy()[:, None]] = column.flatten().to_numpy()
         return out
 
-    index = Pivots(matrix(pa.array([r["v"] for r in drawn], pa.list_(pa.int64()))), pivots, rings)
+    index = Pivots(matrix(drawn), pivots, rings)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,11 +142,13 @@ def top_k(
         most = np.minimum((square + at["norm"][None] - gap * gap) / 2, np.sqrt(square * at["norm"][None]))
         return np.maximum(most + np.abs(most) * 1e-9 + 1, -(2.0**63))
 
+    step = max(1, min(256, (1 << 22) // max(1, len(cells))))  # queries whose bounds of all cells are held at a time
+
     def ask(round_: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for start in range(0, whole.num_rows, 256):
-                    b = whole.slice(start, 256)
+                for start in range(0, whole.num_rows, step):
+                    b = whole.slice(start, step)
                     ids = b.column(0).to_numpy()
                     q = np.stack([np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()])
                     bound = bounds(q)
@@ -161,6 +169,8 @@ def top_k(
                 qids, q = np.frombuffer(b.column(0)[i].as_py(), np.int64), unpack(b.column(1)[i].as_py(), dim)
                 ids, x = np.array(b.column(2)[i].as_py(), dtype=np.int64), unpack(b.column(3)[i].as_py(), dim)
                 s = scores(q, x)
+                if read is not None:
+                    read.add(s.size)
                 out: list[list] = [[], [], []]
                 for r, qid in enumerate(qids):
                     best = np.lexsort((ids, ~s[r])) if len(ids) <= 4 * k else near_best(s[r], ids, k + 1)

@@ -361,3 +361,19 @@ def test_language_features_do_not_depend_on_pieces(monkeypatch, chunk):
     for t, x in zip(texts, whole):
         got = langid.features(t, langid.letter_classes())
         assert (got is None) == (x is None) and (x is None or np.array_equal(got, x))
+
+
+def test_topk_leaves_most_clustered_vectors_unread(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(200, 64))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    vectors = centres[rng.integers(0, 200, 40_000)] + rng.normal(scale=0.02, size=(40_000, 64))
+    table = spark.createDataFrame(((i, v.tolist()) for i, v in enumerate(vectors)), "vec_id long, embedding array<double>").repartition(8)
+    read = spark.sparkContext.accumulator(0)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(table, F.col("vec_id") % 1000 == 0, read=read).collect()}
+    whole = np.floor(1024 * vectors).astype(np.int64)
+    for q in range(0, 40_000, 1000):
+        s = whole @ whole[q]
+        best = [i for i in np.lexsort((np.arange(40_000), -s))[:11] if i != q][:10]
+        assert [got[q, n + 1] for n in range(10)] == [(i, s[i]) for i in best]
+    assert read.value <= 0.3 * 40 * 40_000
