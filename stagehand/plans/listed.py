@@ -127,12 +127,8 @@ def listings_sections(spark, d):
     return sections(_venues(spark, shows, "immersive_rumours"), pages, _as_of()).select("venue_id", "title", "url", "first_date", "last_date", "description")
 
 
-@query(f"""WITH {SHOWS}, t AS (SELECT *, 'The first long paragraph of ' || title || ' tells what happens on the stage that night.' AS a, 'The second paragraph goes on about number ' || o_orderkey || ' for a while and then ends.' AS b FROM o)
-SELECT o_orderkey, title AS full_title, CASE WHEN o_orderstatus = 'F' THEN a || ' It is told in full here, and then told once more so that the copy of the linked data is longer than that of the page, which has two paragraphs and would be taken otherwise; and so it goes on, night after night, until all have heard it.' ELSE a || chr(10) || chr(10) || b END AS description, CASE WHEN o_orderstatus = 'P' THEN l ELSE f END AS first_date, l AS last_date,
- CASE WHEN o_orderstatus = 'F' THEN 9.5 ELSE least(12.5, o_totalprice::DECIMAL(12, 2)::DOUBLE) END AS price_min, CASE WHEN o_orderstatus <> 'F' THEN greatest(12.5, o_totalprice::DECIMAL(12, 2)::DOUBLE) END AS price_max FROM t""")
-def show_pages(spark, d):
-    """What shows' own pages tell: titles without the site's name, copy, dates of stamped elements, linked data or texts, prices."""
-    shows = _shows(spark, d)
+def _with_pages(shows: DataFrame) -> DataFrame:
+    """Shows with the ``body`` of their own page, and the selector of its dates in ``by``."""
     a = _text("The first long paragraph of ", F.col("title"), " tells what happens on the stage that night.")
     b = _text("The second paragraph goes on about number ", F.col("o_orderkey"), " for a while and then ends.")
     longer = _text(a, " It is told in full here, and then told once more so that the copy of the linked data is longer than that of the page, which has two paragraphs and would be taken otherwise; and so it goes on, night after night, until all have heard it.")
@@ -142,5 +138,28 @@ def show_pages(spark, d):
     dated = F.when(F.col("o_orderstatus") == "O", _text(stamp("f"), stamp("l"))).when(F.col("o_orderstatus") == "P", stamp("l")).otherwise(F.lit("1 May 2020"))
     head = F.when(F.col("o_orderkey") % 2 == 0, _text("<meta property='og:title' content='", F.col("title"), " | House'>")).otherwise(_text("<meta property='og:title' content='", F.col("title"), " and ...'>"))
     body = _text("<head>", head, linked, "</head><body><h1>", F.col("title"), " – House</h1><article><p>", a, "</p><p>Book now</p><p>", b, "</p></article><div class=d>", dated, "</div><p>Tickets £12.50 or £", F.format_string("%.2f", "o_totalprice"), "</p>")
-    told = details.facts_of(shows.select("o_orderkey", "title", body.alias("body"), F.lit(".d").alias("by")), _as_of(), "title", "by")
+    return shows.withColumns({"body": body, "by": F.lit(".d")})
+
+
+@query(f"""WITH {SHOWS}, t AS (SELECT *, 'The first long paragraph of ' || title || ' tells what happens on the stage that night.' AS a, 'The second paragraph goes on about number ' || o_orderkey || ' for a while and then ends.' AS b FROM o)
+SELECT o_orderkey, title AS full_title, CASE WHEN o_orderstatus = 'F' THEN a || ' It is told in full here, and then told once more so that the copy of the linked data is longer than that of the page, which has two paragraphs and would be taken otherwise; and so it goes on, night after night, until all have heard it.' ELSE a || chr(10) || chr(10) || b END AS description, CASE WHEN o_orderstatus = 'P' THEN l ELSE f END AS first_date, l AS last_date,
+ CASE WHEN o_orderstatus = 'F' THEN 9.5 ELSE least(12.5, o_totalprice::DECIMAL(12, 2)::DOUBLE) END AS price_min, CASE WHEN o_orderstatus <> 'F' THEN greatest(12.5, o_totalprice::DECIMAL(12, 2)::DOUBLE) END AS price_max FROM t""")
+def show_pages(spark, d):
+    """What shows' own pages tell: titles without the site's name, copy, dates of stamped elements, linked data or texts, prices."""
+    told = details.facts_of(_with_pages(_shows(spark, d)), _as_of(), "title", "by")
     return told.select("o_orderkey", "d.full_title", "d.description", "d.first_date", "d.last_date", "d.price_min", "d.price_max")
+
+
+@query(f"""WITH {SHOWS}, t AS (SELECT *, o_orderstatus = 'F' AS told, 'The first long paragraph of ' || title || ' tells what happens on the stage that night.' AS a, 'The second paragraph goes on about number ' || o_orderkey || ' for a while and then ends.' AS b FROM o)
+SELECT venue_id, o_orderkey AS pos, CASE WHEN told THEN title || ' ...' ELSE title END AS title, CASE WHEN told THEN repeat('x', 300) ELSE a || chr(10) || chr(10) || b END AS description, CASE WHEN o_orderstatus = 'P' THEN l ELSE f END AS first_date, l AS last_date,
+ CASE WHEN NOT told THEN least(12.5, o_totalprice::DECIMAL(12, 2)::DOUBLE) END AS price_min, CASE WHEN NOT told THEN greatest(12.5, o_totalprice::DECIMAL(12, 2)::DOUBLE) END AS price_max FROM t""")
+def folded_pages(spark, d):
+    """Listing rows with their own pages folded in; rows with a full copy and dates pass by the pages."""
+    shows = _with_pages(_shows(spark, d)).withColumn("told", F.col("o_orderstatus") == "F").withColumn("url", _text(F.col("site"), "/", F.col("o_orderkey")))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    rows = shows.select(
+        F.col("o_custkey").cast("string").alias("venue_id"), F.col("o_orderkey").alias("pos"), _text(F.col("title"), " ...").alias("title"), "url", F.when(F.col("told"), F.repeat(F.lit("x"), 300)).alias("description"),
+        F.when(F.col("told"), F.col("f")).alias("first_date"), F.when(F.col("told"), F.col("l")).alias("last_date"), nothing("double").alias("price_min"), nothing("double").alias("price_max"),
+    )
+    venues = _venues(spark, shows, "selectors", detail_dates=F.lit(".d"))
+    return details.hop(rows, venues, shows.select("url", "body"), _as_of()).drop("url")
