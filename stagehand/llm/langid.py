@@ -11,8 +11,9 @@ weights have a fixed size and are sent with the tasks.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; rows of
 null language don't train; if no row can train, everything is ``und``; a single
-learned language is always predicted with score 1; repeated rows get equal results;
-input columns that clash with the output are replaced.
+learned language is always predicted with score 1; repeated rows get equal results; a
+very long text is read in pieces that change no feature; input columns that clash with the
+output are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations

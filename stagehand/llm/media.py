@@ -12,7 +12,9 @@ and memory doesn't grow with a text. Magnitudes are rounded to quarter decibels
 they are compared.
 
 Defined cases: a null text is an empty one, 64 zero bytes; a text shorter than a frame
-is one frame; a constant frame has its peaks at the lowest bin of each band.
+is one frame; a constant frame has its peaks at the lowest bin of each band; a very long
+text is stored and transformed whole; repeated rows and equal texts get equal values; other
+input columns are ignored, clashing names too; an empty table gives an empty one.
 """
 
 from __future__ import annotations

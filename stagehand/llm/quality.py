@@ -8,7 +8,9 @@ isotonic fit turns a raw score into a probability.
 
 Defined cases: null and empty texts have zero statistics and are scored like others;
 rows with a null or missing label don't train; without labels, every score is 0.5;
-with one class only, its value; repeated rows and ties get equal scores.
+with one class only, its value; repeated rows and ties get equal scores; a very long text
+is measured whole; other input columns are ignored, clashing names too; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
