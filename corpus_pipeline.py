@@ -2,6 +2,13 @@
 
 Each stage is written to the shared folder of the session and read again as the next
 one's documents. All but the last return the columns of documents.
+
+Defined cases of every stage: an empty table gives an empty one. Null, empty and letterless
+texts go in the first stage, as they have no language; rows of null id, lang or source are
+ordinary rows, a null source being a source of its own to the mix. Repeated rows are copies,
+of which the second stage keeps one, that of the smallest id, null last, of equal ids any one;
+the mix takes equal rows together. Very long texts are read whole. More columns than those of
+documents are kept by all stages but the last, which gives its own.
 """
 
 from __future__ import annotations
