@@ -27,7 +27,7 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     rows = pages.select(
         "url", F.lit(False).alias("rendered"), F.col("url").alias("final_url"), F.lit(200).alias("status"), F.col("html").alias("body"), F.lit(None).cast("string").alias("error"), at.alias("fetched_at")
     )
-    path, early = scratch(spark, "pages"), F.col("fetched_at") < F.lit("2026-01-03").cast("timestamp")
+    path, early = scratch(spark, "pages"), F.col("fetched_at") < F.lit("2026-01-03T00:00:00Z").cast("timestamp")
     pagestore.store(rows.filter(early), path, 0)
     pagestore.store(rows.filter(~early), path, 1)
     return pagestore.read(spark, path)
@@ -42,7 +42,7 @@ def stored_pages(spark, d):
 @query(f"SELECT url, md5(html) AS body FROM pages WHERE {FETCHED} > TIMESTAMP '2026-01-05 00:00:00' - INTERVAL 12 HOUR")
 def fresh_stored_pages(spark, d):
     """Pages that a listing may still use: the condition reaches the stored files."""
-    return _stored(spark, d).filter(F.col("fetched_at") > F.lit("2026-01-04 12:00:00").cast("timestamp")).select("url", F.md5("body").alias("body"))
+    return _stored(spark, d).filter(F.col("fetched_at") > F.lit("2026-01-04T12:00:00Z").cast("timestamp")).select("url", F.md5("body").alias("body"))
 
 
 HOURS = 12
