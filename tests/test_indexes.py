@@ -68,3 +68,10 @@ def test_places_by_numbering(spark):
     assert [(r["value"], r["n"]) for r in bitmaps.counts(bitmaps.index(events, "n", {"tag": F.col("tags")})).collect()] == [("a", 1)]
     empty = bitmaps.index(events.limit(0), "n", {"tag": F.col("tags")})
     assert bitmaps.counts(empty).collect() == [] == bitmaps.counts(empty, {"tag": ["a"]}).collect()
+
+
+def test_changes_counted_exactly_past_a_sketch(spark):
+    old, new = (spark.range(a, b).select((F.col("id") % 2).alias("g"), F.col("id").alias("k")) for a, b in ((0, 30_000), (10_001, 50_000)))
+    twice = old.unionByName(old)
+    got = {tuple(r) for r in sketches.counted(twice, new, ["g"], ["k"]).collect()}
+    assert got == {(0, 15_000, 19_999, 10_000, 5_001), (1, 15_000, 20_000, 10_000, 5_000)}
