@@ -36,10 +36,10 @@ def fill_urls(registry: DataFrame, winners: DataFrame, url: str = "whats_on_url"
     return rows.withColumn("outcome", outcome).withColumn(url, F.when(F.col("outcome") == "set", F.col("_new")).otherwise(F.col(url))).drop("_new")
 
 
-def last_of_each(lines: DataFrame) -> DataFrame:
-    """(``id``, ``pos``, ``key``, ``value``) lines of settings without the earlier copies of a repeated key; the last one counts."""
-    order = Window.partitionBy("id", "key").orderBy(F.desc("pos"))
-    return lines.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+def last_of_each(lines: DataFrame, *ties: str) -> DataFrame:
+    """(``id``, ``pos``, ``key``, ``value``) lines of settings without the earlier copies of a repeated key; the last one counts, and of equal ``pos`` the first by the columns ``ties``."""
+    order = Window.partitionBy("id", "key").orderBy(F.desc("pos"), *ties)
+    return lines.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", *ties)
 
 
 def repeated(lines: DataFrame) -> DataFrame:
