@@ -52,9 +52,8 @@ def _quoted(p: markup.Node) -> bool:
     return len(solid) == 1 and isinstance(solid[0], markup.Node) and solid[0].tag in ("em", "i")
 
 
-def _copy(page: str | None) -> list[dict]:
-    whole = markup.tree(page or "")
-    root = next(iter(markup.select(whole, ROOTS)), None)
+def _copy(whole: markup.Node) -> list[dict]:
+    root = markup.first(whole, ROOTS)
     if root is None or not _inside(root, "p"):
         root = whole
     out, below = [], False
@@ -69,10 +68,15 @@ def _copy(page: str | None) -> list[dict]:
 @F.pandas_udf(COPY)
 def copy_nodes(pages: pd.Series) -> pd.Series:
     """Paragraphs and font elements of the part of each page that holds its copy, in page order."""
-    return pages.map(_copy)
+    return pages.map(lambda page: _copy(markup.tree(page or "")))
 
 
 def synopsis(page: Column, title: Column, most: int = 3) -> Column:
+    """``synopsis_of`` a page's nodes."""
+    return synopsis_of(copy_nodes(page), title, most)
+
+
+def synopsis_of(nodes: Column, title: Column, most: int = 3) -> Column:
     """Up to ``most`` paragraphs of copy, joined by an empty line; null if there are none.
 
     Paragraphs below a heading of the plot are preferred to all, those without paragraphs
@@ -80,15 +84,21 @@ def synopsis(page: Column, title: Column, most: int = 3) -> Column:
     A leading epigraph goes if more follows.
     """
     def shaped(n: Column) -> Column:
-        said = text.clean_spaces(n["text"])
-        good = (F.length(said) >= 50) & ~text.is_chrome(said) & ~text.is_credits(said) & ~text.echoes_title(said, title)
-        return F.struct(F.trim(F.regexp_replace(said, text.PRESENTS, "")).alias("said"), good.alias("good"), *[n[k].alias(k) for k in ("kind", "quoted", "leaf", "below")])
+        def judged(said: Column) -> Column:
+            good = (F.length(said) >= 50) & ~text.is_chrome(said) & ~text.is_credits(said) & ~text.echoes_title(said, title)
+            return F.struct(F.when(good, F.trim(F.regexp_replace(said, text.PRESENTS, ""))).alias("said"), good.alias("good"), *[n[k].alias(k) for k in ("kind", "quoted", "leaf", "below")])
+
+        return let(text.clean_spaces(n["text"]), judged)
 
     def kept(nodes: Column, fits) -> Column:
-        said = F.transform(F.filter(nodes, fits), lambda n: n["said"])
-        some = F.slice(F.filter(said, lambda p, i: (i == 0) | (p != F.get(said, i - 1))), 1, most + 1)
-        more = F.when((F.size(some) > 1) & text.is_epigraph(F.get(some, 0)), F.slice(some, 2, most)).otherwise(F.slice(some, 1, most))
-        return F.when(F.size(some) > 0, more)
+        def once(said: Column) -> Column:
+            return F.slice(F.filter(said, lambda p, i: (i == 0) | (p != F.get(said, i - 1))), 1, most + 1)
+
+        def led(some: Column) -> Column:
+            more = F.when((F.size(some) > 1) & text.is_epigraph(F.get(some, 0)), F.slice(some, 2, most)).otherwise(F.slice(some, 1, most))
+            return F.when(F.size(some) > 0, more)
+
+        return let(let(F.transform(F.filter(nodes, fits), lambda n: n["said"]), once), led)
 
     def paragraph(below: bool, leaf: bool, prose: bool):
         always = F.lit(True)
@@ -99,30 +109,37 @@ def synopsis(page: Column, title: Column, most: int = 3) -> Column:
         ways.append(lambda n: (n["kind"] == "font") & n["leaf"])
         return F.array_join(F.coalesce(*[kept(nodes, w) for w in ways]), "\n\n")
 
-    good = F.filter(F.transform(copy_nodes(page), shaped), lambda n: n["good"])
-    return F.get(F.transform(F.array(good), choose), 0)
+    return let(F.filter(F.transform(nodes, shaped), lambda n: n["good"]), choose)
 
 
 @F.pandas_udf(STAMPED)
 def _stamped(pages: pd.Series, selectors: pd.Series) -> pd.DataFrame:
-    def one(page, selector):
-        node = next(iter(markup.select(markup.tree(page or ""), selector)), None) if selector else None
-        if node is None:
-            return [], None
-        return [n.attrs["datetime"][:10] for n in (node, *node.below()) if n.attrs.get("datetime")], node.text()
+    return pd.DataFrame([_stamps(markup.tree(page or ""), selector) for page, selector in zip(pages, selectors, strict=True)], columns=["stamps", "text"])
 
-    return pd.DataFrame([one(*x) for x in zip(pages, selectors, strict=True)], columns=["stamps", "text"])
+
+def _stamps(root: markup.Node, selector: str | None) -> tuple[list[str], str | None]:
+    node = markup.first(root, selector) if selector else None
+    if node is None:
+        return [], None
+    return [n.attrs["datetime"][:10] for n in (node, *node.below()) if n.attrs.get("datetime")], node.text()
 
 
 def detail_dates(page: Column, selector: Column, as_of: Column) -> Column:
-    """(first_date, last_date) of the first element that fits: its ISO ``datetime`` attributes, or else its text."""
+    """``dates_of`` the first element of a page that fits."""
+    return dates_of(_stamped(page, selector), as_of)
+
+
+def dates_of(stamped: Column, as_of: Column) -> Column:
+    """(first_date, last_date) of an element: its ISO ``datetime`` attributes, or else its text."""
 
     def read(found: Column) -> Column:
-        days = F.filter(F.transform(F.filter(found["stamps"], lambda s: s.rlike(r"^\d{4}-\d\d-\d\d$")), iso_day), lambda d: d.isNotNull())
-        stamped = F.struct(F.get(days, 0).alias("first_date"), F.get(days, F.size(days) - 1).alias("last_date"))
-        return F.when(F.size(days) > 0, stamped).otherwise(parse_range(found["text"], as_of))
+        def told(days: Column) -> Column:
+            ends = F.struct(F.get(days, 0).alias("first_date"), F.get(days, F.size(days) - 1).alias("last_date"))
+            return F.when(F.size(days) > 0, ends).otherwise(parse_range(found["text"], as_of))
 
-    return F.get(F.transform(F.array(_stamped(page, selector)), read), 0)
+        return let(F.filter(F.transform(F.filter(found["stamps"], lambda s: s.rlike(r"^\d{4}-\d\d-\d\d$")), iso_day), lambda d: d.isNotNull()), told)
+
+    return let(stamped, read)
 
 
 def _slug(said: str) -> str:
@@ -188,12 +205,11 @@ def dated_clusters(venues: DataFrame, pages: DataFrame, as_of: Column) -> DataFr
 #: Names of meta elements, the first that says something wins.
 META_TITLE = ("og:title", "twitter:title")
 META_COPY = ("og:description", "twitter:description", "description")
-FACTS = _struct(meta_title=TEXT, heading=TEXT, meta_copy=TEXT, text=TEXT)
+PARTS = _struct(meta_title=TEXT, heading=TEXT, meta_copy=TEXT, text=TEXT, copy=COPY, stamped=STAMPED)
 
 
-def _meta(root: markup.Node, *names: str) -> str | None:
-    """The content of the first named meta element that has one, by property or else by name."""
-    every = _inside(root, "meta")
+def _meta(every: list[markup.Node], *names: str) -> str | None:
+    """The content of the first named of some meta elements that has one, by property or else by name."""
     for name in names:
         found = next((n for key in ("property", "name") for n in every if n.attrs.get(key) == name), None)
         if found is not None and found.attrs.get("content"):
@@ -201,15 +217,18 @@ def _meta(root: markup.Node, *names: str) -> str | None:
     return None
 
 
-@F.pandas_udf(FACTS)
-def page_facts(pages: pd.Series) -> pd.DataFrame:
-    """Meta title, first main heading, meta description and text of each page."""
-    def one(page):
+@F.pandas_udf(PARTS)
+def page_parts(pages: pd.Series, selectors: pd.Series) -> pd.DataFrame:
+    """Of each page, read once: meta title, first main heading, meta description and text, its ``copy_nodes``, and the element of the selector."""
+    def one(page, selector):
         root = markup.tree(page or "")
-        heading = next(iter(_inside(root, "h1")), None)
-        return _meta(root, *META_TITLE), heading.text() if heading else None, _meta(root, *META_COPY), root.text()
+        nodes = root.below()
+        heading = next((n for n in nodes if n.tag == "h1"), None)
+        every = [n for n in nodes if n.tag == "meta"]
+        stamps, said = _stamps(root, selector)
+        return _meta(every, *META_TITLE), heading.text() if heading else None, _meta(every, *META_COPY), root.text(), _copy(root), {"stamps": stamps, "text": said}
 
-    return pd.DataFrame([one(p) for p in pages], columns=["meta_title", "heading", "meta_copy", "text"])
+    return pd.DataFrame([one(*x) for x in zip(pages, selectors, strict=True)], columns=["meta_title", "heading", "meta_copy", "text", "copy", "stamped"])
 
 
 def full_title(facts: Column) -> Column:
@@ -232,9 +251,9 @@ def facts_of(pages: DataFrame, as_of: Column, title: str = "title", selector: st
     Linked data come first, if their run is plausible, then the element of ``selector``; the copy is
     the best of synopsis, linked data and a meta description that names the show.
     """
-    rows = linked.with_objects(pages, "body").withColumn("_f", page_facts("body")).withColumn("_l", F.get(linked.events(F.col("_nodes")), 0))
-    rows = rows.withColumn("_s", synopsis(F.col("body"), F.col(title)))
-    rows = rows.withColumn("_w", detail_dates(F.col("body"), F.col(selector), as_of) if selector else F.lit(None).cast("struct<first_date:date,last_date:date>"))
+    rows = linked.with_objects(pages, "body").withColumn("_f", page_parts("body", F.col(selector) if selector else F.lit(None).cast("string"))).withColumn("_l", F.get(linked.events(F.col("_nodes")), 0))
+    rows = rows.withColumn("_s", synopsis_of(F.col("_f.copy"), F.col(title)))
+    rows = rows.withColumn("_w", dates_of(F.col("_f.stamped"), as_of) if selector else F.lit(None).cast("struct<first_date:date,last_date:date>"))
     start, end = iso_day(F.col("_l.start")), iso_day(F.col("_l.end"))
     linked_run = F.when(plausible(start, end), F.struct(start.alias("first_date"), end.alias("last_date")))
     written_run = F.when(F.col("_w.first_date").isNotNull() & plausible(F.col("_w.first_date"), F.col("_w.last_date")), F.col("_w"))

@@ -156,7 +156,8 @@ ADDRESS = re.compile(r"goToUrl\('([^']+)'")
 
 def _card(card: markup.Node, by: dict[str, str], base: str) -> dict:
     """The fields of one card; those without a selector or a match are None."""
-    first = lambda sel: next(iter(markup.select(card, sel)), None) if sel else None
+    nodes = card.below()
+    first = lambda sel: next(markup.fitting(nodes, sel), None) if sel else None
 
     def said(sel: str | None) -> str | None:
         node = first(sel)
@@ -169,7 +170,7 @@ def _card(card: markup.Node, by: dict[str, str], base: str) -> dict:
         href = found.group(1) if found else ""
     blurb = first(by.get("blurb"))
     drop = {id(n) for n in markup.select(blurb, by["blurb_strip"])} if blurb and by.get("blurb_strip") else set()
-    tags = [n.text() for n in markup.select(card, by["tags"])] if by.get("tags") else []
+    tags = [n.text() for n in markup.fitting(nodes, by["tags"])] if by.get("tags") else []
     return {
         "title": said(by.get("title")), "credits": said(by.get("credits") or by.get("byline")), "space": said(by.get("space")),
         "url": urljoin(base, href) if href else None, "dates": said(by["dates"]) if by.get("dates") else card.text(),

@@ -1,10 +1,39 @@
 """Steps whose cost must not grow faster than their input."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from stagehand.functions import text
+from stagehand.functions import markup, text
+
+
+def _flat(node):
+    return node.tag, node.attrs, [x if isinstance(x, str) else _flat(x) for x in node.inside]
+
+
+def _parsed(page):
+    reader = markup._Reader()
+    reader.feed(page)
+    reader.close()
+    return _flat(reader.root)
+
+
+PARTS = ["<div>", "</div>", '<p class="a b">', "</p>", "<br/>", "<br>", "text &amp; more", "a < b", "<script>", "x<y", "</script>", "<title>", "</title>", "<a href='x?a=1&amp;b' id=q>", "</a>", "<style>p{}</style>", "&copy", "&",
+         "<!-- c -->", '<input disabled value="">', "<IMG SRC=x>", "</b >", '<script type="application/ld+json">{"a": "&amp;"}</script>', "<textarea>", "</textarea>", "\n", "<li/>", "<", ">", '"', "<x-y>", "<a b=c/>", '<a href="x"b="y">', "<a x='1' x='2'>", "&#39;", "<!DOCTYPE html>", "</P>"]
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them(monkeypatch):
+    rng, plain = random.Random(1), 0
+    for _ in range(20_000):
+        page = "".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 7)))
+        plain += markup._plain(page) is not None
+        assert _flat(markup.tree(page)) == _parsed(page), page
+    assert plain > 5_000
+    monkeypatch.setattr(markup, "_Reader", None)
+    root = markup.tree("<!doctype html><div class='card big'><h3>A &amp; B</h3><br><a href=\"/s/1\">more</a></div>")
+    assert [n.text() for n in markup.select(root, "div.card.big > h3, a[href]")] == ["A & B", "more"] and markup.first(root, "em") is None
+    assert markup.compiled("div.card") is markup.compiled("div.card")
 
 
 def test_paragraphs_are_cut_once(spark):
