@@ -18,6 +18,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def stripped(text: Column) -> Column:
+    """``strip`` of a named value, which looks at both ends first."""
+    return F.when(F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1))).rlike(r"(?U)\s"), strip(text)).otherwise(text)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

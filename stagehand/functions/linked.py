@@ -6,6 +6,7 @@ what is in it, and of what an object or array holds the last first. A VARIANT ke
 values in one object; items of an array keep theirs.
 
 Pages are told apart by a digest of their body, so equal bodies are walked once, and pages without linked data aren't walked at all.
+``nodes`` takes the same walk within a page's row, where bodies needn't be shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stagehand.functions.columns import let
+
 SCRIPT = r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
 NODE = "type string, title string, url string, start string, end string, description string, price string, keys array<string>"
 WALK = """
@@ -41,6 +44,14 @@ def _type(v: Column) -> Column:
     return F.nullif(F.coalesce(many, F.try_variant_get(v, '$["@type"]', "string"), F.to_json(F.try_variant_get(v, '$["@type"]', "variant"))), F.lit(""))
 
 
+def _told(v: Column, *wanted: str) -> list[Column]:
+    """The fields of ``NODE`` of an object, or the ``wanted`` ones."""
+    price = F.nullif(F.try_variant_get(v, "$.offers.price", "string"), F.lit(""))
+    told = {"type": _type(v)} | {a: _said(v, n) for n, a in (("name", "title"), ("url", "url"), ("startDate", "start"), ("endDate", "end"), ("description", "description"))}
+    told |= {"price": F.when(~F.coalesce(price.try_cast("double") == 0, F.lit(False)), price), "keys": F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))}
+    return [told[f].alias(f) for f in wanted or told]
+
+
 def objects(pages: DataFrame, key: str, body: str) -> DataFrame:
     """(``key``, ``path``, ``NODE``) of every typed object of pages with distinct keys; ``path`` gives their order."""
     spark = pages.sparkSession
@@ -49,12 +60,7 @@ def objects(pages: DataFrame, key: str, body: str) -> DataFrame:
     spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     texts = pages.select(F.col(key).alias("key"), F.posexplode(blocks(F.col(body))).alias("block", "text")).withColumn("text", F.trim("text"))
     found = spark.sql(WALK, blocks=texts)
-    v = F.col("v")
-    price = F.nullif(F.try_variant_get(v, "$.offers.price", "string"), F.lit(""))
-    told = found.select(
-        F.col("key").alias(key), "path", _type(v).alias("type"), _said(v, "name").alias("title"), *[_said(v, n).alias(a) for n, a in (("url", "url"), ("startDate", "start"), ("endDate", "end"), ("description", "description"))],
-        F.when(~F.coalesce(price.try_cast("double") == 0, F.lit(False)), price).alias("price"), F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))).alias("keys"),
-    )
+    told = found.select(F.col("key").alias(key), "path", *_told(F.col("v")))
     return told.filter(F.col("type").isNotNull())
 
 
@@ -70,6 +76,45 @@ def with_objects(rows: DataFrame, body: str, nodes: str = "_nodes", count: str =
     return joined.select(*rows.columns, listed.alias(nodes), F.when(F.col(body).isNotNull(), F.size(blocks(F.col(body)))).alias(count))
 
 
+TREES = "array<struct<path:array<int>,v:variant>>"
+
+
+def nodes(body: Column, *wanted: str) -> Column:
+    """The typed objects of a page in order, as ``with_objects`` lists them, or only the ``wanted`` fields of them, ``type`` first.
+
+    A level is taken in one step, and there are no more levels than brackets that open. A block that can name a type but once,
+    and does so for the whole, isn't walked; nor are pages that don't name the form of linked data searched for blocks.
+    """
+    as_object = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    as_array = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    is_typed = lambda n: F.try_variant_get(n["v"], '$["@type"]', "variant").isNotNull()
+    none = F.array().cast(TREES)
+
+    def inside(n: Column) -> Column:
+        held = F.coalesce(F.map_values(as_object(n["v"])), as_array(n["v"]), F.array().cast("array<variant>"))
+        placed = F.transform(held, lambda v, i: F.struct(F.concat(n["path"], F.array(-i)).alias("path"), v.alias("v")))
+        return F.filter(placed, lambda m: as_object(m["v"]).isNotNull() | as_array(m["v"]).isNotNull())
+
+    def level(at: Column, _: Column) -> Column:
+        deeper = F.struct(F.concat(at["done"], at["todo"]).alias("done"), F.flatten(F.transform(at["todo"], inside)).alias("todo"))
+        return F.when(F.size(at["todo"]) == 0, at).otherwise(deeper)
+
+    def walked(text: Column, root: Column) -> Column:
+        start = F.struct(none.alias("done"), F.array(root).cast(TREES).alias("todo"))
+        every = F.aggregate(F.sequence(F.lit(0), F.regexp_count(text, F.lit(r"[\[{]"))), start, level, lambda at: at["done"])
+        return F.when(is_typed(root) & (F.regexp_count(text, F.lit(r"@type|\\u")) == 1), F.array(root).cast(TREES)).otherwise(F.filter(every, is_typed))
+
+    def block(text: Column, i: Column) -> Column:
+        return let(F.struct(F.array(i).alias("path"), F.try_parse_json(F.trim(text)).alias("v")), lambda root: walked(text, root))
+
+    texts = F.when(F.contains(F.lower(body), F.lit("ld+json")), blocks(body))
+    told = F.transform(F.flatten(F.transform(texts, block)), lambda n: F.struct(n["path"].alias("path"), *_told(n["v"], *wanted)))
+    fields = wanted or [c.split()[0] for c in NODE.split(", ")]
+    listed = F.transform(F.array_sort(F.filter(told, lambda n: n["type"].isNotNull())), lambda n: F.struct(*[n[f].alias(f) for f in fields]))
+    kinds = dict(c.split() for c in NODE.split(", "))
+    return F.coalesce(listed, F.array().cast(f"array<struct<{','.join(f'{f}:{kinds[f]}' for f in fields)}>>"))
+
+
 def events(nodes: Column) -> Column:
     """The objects of a type that names an Event."""
     return F.filter(nodes, lambda n: n["type"].contains("Event"))

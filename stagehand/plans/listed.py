@@ -146,7 +146,8 @@ SELECT o_orderkey, title AS full_title, CASE WHEN o_orderstatus = 'F' THEN a ||
  CASE WHEN o_orderstatus = 'F' THEN 9.5 ELSE least(12.5, o_totalprice::DECIMAL(12, 2)::DOUBLE) END AS price_min, CASE WHEN o_orderstatus <> 'F' THEN greatest(12.5, o_totalprice::DECIMAL(12, 2)::DOUBLE) END AS price_max FROM t""")
 def show_pages(spark, d):
     """What shows' own pages tell: titles without the site's name, copy, dates of stamped elements, linked data or texts, prices."""
-    told = details.facts_of(_with_pages(_shows(spark, d)), _as_of(), "title", "by")
+    shows = _shows(spark, d).repartition("o_orderkey")  # short rows are dealt out before they become pages, as a file may be one split
+    told = details.facts_of(_with_pages(shows), _as_of(), "title", "by")
     return told.select("o_orderkey", "d.full_title", "d.description", "d.first_date", "d.last_date", "d.price_min", "d.price_max")
 
 

@@ -1,24 +1,30 @@
 """Copy and dates of detail pages, and listings of pages without cards.
 
-A page's tree is walked in a pandas UDF, which returns flat nodes; what to keep is
-decided by built-in functions over them. Null pages have no nodes.
+A page's tree is walked in a pandas or Arrow UDF, which returns flat nodes; what to keep is
+decided by built-in functions over them. Null pages have no nodes. Pages of one template,
+which differ in texts and in values of two attributes only, share the walk of their outline.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html import unescape
 from itertools import product
+from operator import itemgetter
 from urllib.parse import urljoin
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagehand.functions import linked, markup, text
-from stagehand.functions.columns import filled, let
+from stagehand.functions.columns import filled, let, squeeze
 from stagehand.functions.dates import iso_day, parse_range
+from stagehand.functions.text import cleaned, suspect
 from stagehand.operators.windows import plausible
 
 #: Where the copy of a page is, and headings that it stands under.
@@ -32,7 +38,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 TEXT, FLAG = T.StringType(), T.BooleanType()
-COPY = T.ArrayType(_struct(text=TEXT, kind=TEXT, quoted=FLAG, leaf=FLAG, below=FLAG))
+COPY = T.ArrayType(_struct(text=TEXT, kind=TEXT, quoted=FLAG, leaf=FLAG, below=FLAG, suspect=FLAG))
 STAMPED = _struct(stamps=T.ArrayType(TEXT), text=TEXT)
 BOXES = T.ArrayType(_struct(pos=T.IntegerType(), text=TEXT, head=FLAG, short=FLAG, href=TEXT, own=T.ArrayType(_struct(text=TEXT, href=TEXT))))
 
@@ -52,7 +58,8 @@ def _quoted(p: markup.Node) -> bool:
     return len(solid) == 1 and isinstance(solid[0], markup.Node) and solid[0].tag in ("em", "i")
 
 
-def _copy(whole: markup.Node) -> list[dict]:
+def _copy(whole: markup.Node) -> list[tuple]:
+    """(text, kind, quoted, leaf, below) of paragraphs and font elements."""
     root = markup.first(whole, ROOTS)
     if root is None or not _inside(root, "p"):
         root = whole
@@ -61,14 +68,24 @@ def _copy(whole: markup.Node) -> list[dict]:
         if n.tag in ("h2", "h3", "h4"):
             below = below or " ".join(n.text().split()).lower() in PLOT_HEADINGS
         elif n.tag in ("p", "font"):
-            out.append({"text": unescape(unescape(n.text())), "kind": n.tag, "quoted": _quoted(n), "leaf": not _inside(n, n.tag), "below": below})
+            out.append((unescape(unescape(n.text())), n.tag, _quoted(n), not _inside(n, n.tag), below))
     return out
 
 
-@F.pandas_udf(COPY)
-def copy_nodes(pages: pd.Series) -> pd.Series:
-    """Paragraphs and font elements of the part of each page that holds its copy, in page order."""
-    return pages.map(lambda page: _copy(markup.tree(page or "")))
+def _copies(copies: list[list[tuple]]) -> pa.Array:
+    """The lists of ``COPY``, their texts with clean spaces."""
+    nodes = [n for nodes in copies for n in nodes]
+    said, *rest = ([n[i] for n in nodes] for i in range(5))
+    said = cleaned(pa.array(said, pa.string()))
+    columns = [said, *[pa.array(x, kind) for x, kind in zip(rest, (pa.string(), pa.bool_(), pa.bool_(), pa.bool_()), strict=True)], suspect(said)]
+    ends = np.cumsum([0, *map(len, copies)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=COPY.elementType.names))
+
+
+@F.arrow_udf(COPY)
+def copy_nodes(pages: pa.Array) -> pa.Array:
+    """Paragraphs and font elements of the part of each page that holds its copy, in page order, with clean spaces."""
+    return _copies([_copy(markup.tree(page or "")) for page in pages.to_pylist()])
 
 
 def synopsis(page: Column, title: Column, most: int = 3) -> Column:
@@ -83,19 +100,23 @@ def synopsis_of(nodes: Column, title: Column, most: int = 3) -> Column:
     inside to the others, prose to quotations; font elements are read if no paragraph is kept.
     A leading epigraph goes if more follows.
     """
-    def shaped(n: Column) -> Column:
-        def judged(said: Column) -> Column:
-            good = (F.length(said) >= 50) & ~text.is_chrome(said) & ~text.is_credits(said) & ~text.echoes_title(said, title)
-            return F.struct(F.when(good, F.trim(F.regexp_replace(said, text.PRESENTS, ""))).alias("said"), good.alias("good"), *[n[k].alias(k) for k in ("kind", "quoted", "leaf", "below")])
+    def good(name: Column):
+        def judged(n: Column) -> Column:
+            said = n["text"]
+            return (F.length(said) >= 50) & ~text.is_shouted(said) & ~(n["suspect"] & (text.is_chrome(said) | text.is_credits(said))) & ~text.mostly_title(said, name)
 
-        return let(text.clean_spaces(n["text"]), judged)
+        return judged
+
+    def shaped(n: Column) -> Column:
+        said = F.when(n["suspect"], F.trim(F.regexp_replace(n["text"], text.PRESENTS, ""))).otherwise(n["text"])
+        return F.struct(said.alias("said"), *[n[k].alias(k) for k in ("kind", "quoted", "leaf", "below")])
 
     def kept(nodes: Column, fits) -> Column:
         def once(said: Column) -> Column:
             return F.slice(F.filter(said, lambda p, i: (i == 0) | (p != F.get(said, i - 1))), 1, most + 1)
 
         def led(some: Column) -> Column:
-            more = F.when((F.size(some) > 1) & text.is_epigraph(F.get(some, 0)), F.slice(some, 2, most)).otherwise(F.slice(some, 1, most))
+            more = F.when((F.size(some) > 1) & text.opens_as_epigraph(F.get(some, 0)), F.slice(some, 2, most)).otherwise(F.slice(some, 1, most))
             return F.when(F.size(some) > 0, more)
 
         return let(let(F.transform(F.filter(nodes, fits), lambda n: n["said"]), once), led)
@@ -109,19 +130,21 @@ def synopsis_of(nodes: Column, title: Column, most: int = 3) -> Column:
         ways.append(lambda n: (n["kind"] == "font") & n["leaf"])
         return F.array_join(F.coalesce(*[kept(nodes, w) for w in ways]), "\n\n")
 
-    return let(F.filter(F.transform(nodes, shaped), lambda n: n["good"]), choose)
+    given = F.struct(nodes.alias("nodes"), squeeze(F.coalesce(title, F.lit(""))).alias("name"))
+    return let(let(given, lambda v: F.transform(F.filter(v["nodes"], good(v["name"])), shaped)), choose)
 
 
 @F.pandas_udf(STAMPED)
 def _stamped(pages: pd.Series, selectors: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_stamps(markup.tree(page or ""), selector) for page, selector in zip(pages, selectors, strict=True)], columns=["stamps", "text"])
+    told = (_stamps(markup.tree(page or ""), selector) for page, selector in zip(pages, selectors, strict=True))
+    return pd.DataFrame([([s[:10] for s in stamps], said) for stamps, said in told], columns=["stamps", "text"])
 
 
 def _stamps(root: markup.Node, selector: str | None) -> tuple[list[str], str | None]:
     node = markup.first(root, selector) if selector else None
     if node is None:
         return [], None
-    return [n.attrs["datetime"][:10] for n in (node, *node.below()) if n.attrs.get("datetime")], node.text()
+    return [n.attrs["datetime"] for n in (node, *node.below()) if n.attrs.get("datetime")], node.text()
 
 
 def detail_dates(page: Column, selector: Column, as_of: Column) -> Column:
@@ -213,22 +236,61 @@ def _meta(every: list[markup.Node], *names: str) -> str | None:
     for name in names:
         found = next((n for key in ("property", "name") for n in every if n.attrs.get(key) == name), None)
         if found is not None and found.attrs.get("content"):
-            return found.attrs["content"].strip()
+            return found.attrs["content"]
     return None
 
 
-@F.pandas_udf(PARTS)
-def page_parts(pages: pd.Series, selectors: pd.Series) -> pd.DataFrame:
+def _parts(root: markup.Node, selector: str | None) -> tuple:
+    nodes = root.below()
+    heading = next((n for n in nodes if n.tag == "h1"), None)
+    every = [n for n in nodes if n.tag == "meta"]
+    stamps, said = _stamps(root, selector)
+    return _meta(every, *META_TITLE), heading.text() if heading else None, _meta(every, *META_COPY), root.text(), said, stamps, _copy(root)
+
+
+def _form(said: str | None) -> Callable[[list[str]], str | None]:
+    """What puts a page's values into the places of a text."""
+    plain, *rest = markup.PLACE.split(said or "")
+    if not rest:
+        return lambda values: said
+    pick, form = itemgetter(*map(int, rest[::2])), "%s".join(x.replace("%", "%%") for x in (plain, *rest[1::2]))
+    return lambda values: form % pick(values)
+
+
+def _template(frame: str, selector: str | None) -> Callable[[list[str]], tuple] | None:
+    """``_parts`` of the pages of an outline, of which only the values are read; None if the tree is needed."""
+    root = markup.framed(frame)
+    if root is None:
+        return None
+    *said, stamps, copy = _parts(root, selector)
+    said, stamps, copy = [_form(s) for s in said], [_form(s) for s in stamps], [(_form(n[0]), n[1:]) for n in copy]
+    return lambda values: (*[f(values) for f in said], [f(values) for f in stamps], [(f(values), *rest) for f, rest in copy])
+
+
+def _read(page: str, selector: str | None, known: dict, most: int = 128) -> tuple:
+    """``_parts`` of a page, by the template of its outline, of which ``most`` are ``known`` at a time; a selector of attributes or texts needs the tree."""
+    if (selector is None or not ("[" in selector or ":" in selector)) and (outline := markup.outline(page)) is not None:
+        frame, values = outline
+        if (frame, selector) not in known:
+            if len(known) >= most:
+                known.clear()
+            known[frame, selector] = _template(frame, selector)
+        if (form := known[frame, selector]) is not None:
+            return form(values)
+    return _parts(markup.tree(page), selector)
+
+
+@F.arrow_udf(PARTS)
+def page_parts(pages: pa.Array, selectors: pa.Array) -> pa.Array:
     """Of each page, read once: meta title, first main heading, meta description and text, its ``copy_nodes``, and the element of the selector."""
-    def one(page, selector):
-        root = markup.tree(page or "")
-        nodes = root.below()
-        heading = next((n for n in nodes if n.tag == "h1"), None)
-        every = [n for n in nodes if n.tag == "meta"]
-        stamps, said = _stamps(root, selector)
-        return _meta(every, *META_TITLE), heading.text() if heading else None, _meta(every, *META_COPY), root.text(), _copy(root), {"stamps": stamps, "text": said}
-
-    return pd.DataFrame([one(*x) for x in zip(pages, selectors, strict=True)], columns=["meta_title", "heading", "meta_copy", "text", "copy", "stamped"])
+    known = {}
+    read = [_read(page or "", selector, known) for page, selector in zip(pages.to_pylist(), selectors.to_pylist(), strict=True)]
+    title, heading, meta, whole, said, stamps, copies = ([r[i] for r in read] for i in range(7))
+    strip = lambda texts: [t and t.strip() for t in texts]
+    days = [[s[:10] for s in some] for some in stamps]
+    stamped = pa.StructArray.from_arrays([pa.array(days, pa.list_(pa.string())), pa.array(said, pa.string())], names=STAMPED.names)
+    columns = [*[pa.array(x, pa.string()) for x in (strip(title), heading, strip(meta), whole)], _copies(copies), stamped]
+    return pa.StructArray.from_arrays(columns, names=PARTS.names)
 
 
 def full_title(facts: Column) -> Column:
@@ -251,20 +313,21 @@ def facts_of(pages: DataFrame, as_of: Column, title: str = "title", selector: st
     Linked data come first, if their run is plausible, then the element of ``selector``; the copy is
     the best of synopsis, linked data and a meta description that names the show.
     """
-    rows = linked.with_objects(pages, "body").withColumn("_f", page_parts("body", F.col(selector) if selector else F.lit(None).cast("string"))).withColumn("_l", F.get(linked.events(F.col("_nodes")), 0))
-    rows = rows.withColumn("_s", synopsis_of(F.col("_f.copy"), F.col(title)))
-    rows = rows.withColumn("_w", dates_of(F.col("_f.stamped"), as_of) if selector else F.lit(None).cast("struct<first_date:date,last_date:date>"))
+    rows = pages.withColumn("_l", F.get(linked.events(linked.nodes(F.col("body"), "type", "start", "end", "description", "price")), 0)).withColumn("_f", page_parts("body", F.col(selector) if selector else F.lit(None).cast("string")))
+    rows = rows.withColumns({"_s": synopsis_of(F.col("_f.copy"), F.col(title)), "_p": prices(F.col("_f.text"))})
     start, end = iso_day(F.col("_l.start")), iso_day(F.col("_l.end"))
     linked_run = F.when(plausible(start, end), F.struct(start.alias("first_date"), end.alias("last_date")))
+    rows = rows.withColumn("_r", linked_run)
+    rows = rows.withColumn("_w", F.when(F.col("_r.first_date").isNull(), dates_of(F.col("_f.stamped"), as_of)) if selector else F.lit(None).cast("struct<first_date:date,last_date:date>"))
     written_run = F.when(F.col("_w.first_date").isNotNull() & plausible(F.col("_w.first_date"), F.col("_w.last_date")), F.col("_w"))
-    run = F.when(linked_run["first_date"].isNotNull() | written_run.isNull(), linked_run).otherwise(written_run)
-    named, price = prices(F.col("_f.text")), F.col("_l.price").try_cast("double")
+    run = F.when(F.col("_r.first_date").isNotNull() | written_run.isNull(), F.col("_r")).otherwise(written_run)
+    named, price = F.col("_p"), F.col("_l.price").try_cast("double")
     told = F.struct(
         run["first_date"].alias("first_date"), run["last_date"].alias("last_date"), full_title(F.col("_f")).alias("full_title"),
         text.pick_description(F.col("_s"), F.col("_l.description"), text.og_for_show(F.col("_f.meta_copy"), F.col(title))).alias("description"),
         F.coalesce(price, named["price_min"]).alias("price_min"), F.when(price.isNull(), named["price_max"]).alias("price_max"),
     )
-    return rows.withColumn("d", told).drop("_f", "_l", "_s", "_w", "_nodes", "_blocks")
+    return rows.withColumn("d", told).drop("_f", "_l", "_s", "_p", "_r", "_w")
 
 
 def wants_detail(url: Column, listing: Column, description: Column, first_date: Column) -> Column:

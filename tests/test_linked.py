@@ -69,3 +69,19 @@ def test_no_python_in_the_plan(spark):
     rows = spark.createDataFrame([(1, page({"@type": "Event"}))], "id int, body string")
     plan = linked.with_objects(rows, "body").select(F.size(linked.events(F.col("_nodes"))))._jdf.queryExecution().toString()
     assert "Python" not in plan.replace("PythonRDD", "") and "UnionLoop" in plan
+
+
+def test_the_walk_in_a_row_gives_the_same_objects(spark):
+    rng = random.Random(7)
+    pages = [page(*[grown(rng, 6) for _ in range(rng.randrange(4))]) for _ in range(40)]
+    deep = {"@type": "Deep"}
+    for i in range(60):
+        deep = {"a": [deep]}
+    event = {"@type": "Event", "name": "One", "startDate": "2026-10-01", "offers": {"price": 12.5}}
+    pages += [page(deep, {"@type": "Last"}), None, "", page("not json", event, '{"a":1,"a":2}'), page('{"\\u0040type":"Event","x":{"\\u0040type":"B"}}'), page('{"\\u0040type":"Event"}'), page('{"a":{"@type":"Only"}}')]
+    pages += [page('{"@type":""}', '{"@type":null}', '[{"@type":"Event"}]', '{"@type":"Event","name":"@type"}', '{"@type":{"@type":"In"}}'), '<SCRIPT type=APPLICATION/LD+JSON>{"@type":"Event","offers":{"price":"9.50"}}</script>']
+    rows = spark.createDataFrame(list(enumerate(pages)), "id int, body string")
+    want = {r["id"]: r["_nodes"] for r in linked.with_objects(rows, "body").collect()}
+    got = rows.select("id", linked.nodes(F.col("body")).alias("n"), linked.nodes(F.col("body"), "type", "price").alias("some")).collect()
+    assert {r["id"]: r["n"] for r in got} == want and [n["type"] for r in got for n in r["n"]].count("Deep") == 1
+    assert all([tuple(x) for x in r["some"]] == [(x["type"], x["price"]) for x in want[r["id"]]] for r in got)
